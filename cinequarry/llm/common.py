@@ -53,6 +53,13 @@ def int_table(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
 
+def keep_rows(df: DataFrame, condition: Column) -> DataFrame:
+    """A filter that stays above the columns it needs. An ordinary one is pushed down
+    with a copy of every expression it stands on, and nested array functions then
+    repeat exponentially."""
+    return df.select("*", F.explode(F.when(condition, F.array(F.lit(1)))).alias("_keep")).drop("_keep")
+
+
 def salt_of(identity: Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(identity), F.lit(salts)).cast("int")
 

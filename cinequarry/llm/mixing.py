@@ -153,5 +153,5 @@ def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     steps = solve(sized, targets)
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     df = with_posteriors(docs, model).withColumn("_c", F.floor(rate_after(steps) + chance).cast("int"))
-    df = df.select(*[F.col(f"`{c}`") for c in docs.columns], "_c").where("_c > 0")
-    return df.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_c")))).drop("_c")
+    df = df.select(*[F.col(f"`{c}`") for c in docs.columns], "_c")
+    return df.withColumn("_c", F.explode(F.when(F.col("_c") > 0, F.sequence(F.lit(1), F.col("_c"))))).drop("_c")
