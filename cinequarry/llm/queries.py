@@ -6,8 +6,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, packing, quality, simhash
-from .common import table
+from . import licenses, linededup, mixing, neighbours, packing, quality, simhash, tokens, urls, warc
+from .common import new_path, table
+
+
+def op1_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_pages(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_records(spark, path))
+    field = lambda name: F.nullif(F.map_from_entries(F.get("metadata", F.lit(0))["fields"])[name], F.lit("")).cast("long")
+    is_revisit = F.col("response.type") == "revisit"
+    return captures.select(
+        field("page-id").alias("page_id"),
+        F.when(is_revisit, F.regexp_extract("response.http", r"(?i)\nContent-Length: *(\d+)", 1).cast("long")).otherwise(F.octet_length("response.payload").cast("long")).alias("payload_bytes"),
+        F.when(is_revisit, F.regexp_replace("response.payload_digest", "^sha256:", "")).otherwise(F.sha2("response.payload", 256)).alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        field("first-page-id").alias("refers_to"),
+        F.col("response.target_uri").alias("target_uri"),
+        F.col("request.record_id").alias("request_id"),
+    )
+
+
+#: Stands for a null doc_id among the keys of the token store.
+NULL_KEY = -(1 << 63)
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = licenses.scan(table(spark, sf_dir, "documents"))
+    return df.select("doc_id", F.size("sentence_ids").cast("long").alias("n_known"), F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licences", " ").alias("licences"))
+
+
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    store = tokens.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    keys = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_KEY)).alias("key")).distinct()
+    found = store.read(keys, with_ids=False)
+    return found.select(F.nullif("key", F.lit(NULL_KEY)).alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return df.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +60,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -39,7 +84,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_captures": op1_warc_captures,
+    "op2_license_scan": op2_license_scan,
+    "op3_token_shards": op3_token_shards,
+    "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,
+    "op6_permutation_index": op6_permutation_index,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_soft_mixing": op9_soft_mixing,
