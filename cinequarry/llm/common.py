@@ -47,10 +47,10 @@ def words_of(text: str | Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_SEPARATOR), "")
 
 
-def int_table(values: list[int]) -> Column:
-    """A literal ``array<int>``, folded once into a constant of the plan. Meant
+def int_table(values: list[int], kind: str = "int") -> Column:
+    """A literal array of integers, folded once into a constant of the plan. Meant
     for model tables of a fixed, documented number of entries."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def keep_rows(df: DataFrame, condition: Column) -> DataFrame:

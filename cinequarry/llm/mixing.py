@@ -21,10 +21,13 @@ from .common import int_table, materialize, words_of
 TARGETS = {"good": 0.98, "poor": 0.01, "toxic": 0.01}
 #: The domain whose tokens set the size of the mixture, and how much of them it should have.
 ANCHOR, HEADROOM = "good", 1.05
-BUCKETS = 16384
+BUCKETS = 65536
 #: Labelled rows used at most, those with the least hash of their id.
 MAX_LABELLED = 50_000
-SCALE = 100
+#: Weights are integers, SCALE * log ratio, within LIMIT; a word counts only if its ratio is this many standard errors above 1.
+SCALE, LIMIT, ERRORS = 25, 127, 4.0
+#: Two sums of weights share a long: as a word counts once a document, each stays within half a FIELD.
+FIELD = 1 << 25
 #: Highest rate of a document; rates are projected onto [0, MAX_RATE].
 MAX_RATE = 3.0
 ROUNDS, TOLERANCE = 40, 1e-4
@@ -32,7 +35,8 @@ ROUNDS, TOLERANCE = 40, 1e-4
 
 @dataclass(frozen=True)
 class DomainModel:
-    """prior: log share of each domain; weights: by domain, SCALE * log probability of each bucket, less the first domain's."""
+    """prior: log share of each domain, with what it tells to hold no bucket; weights: for each domain but the first, by bucket,
+    SCALE * log of how much likelier its documents hold the bucket than the first's."""
 
     prior: list[float]
     weights: list[list[int]]
@@ -43,8 +47,8 @@ def domain_of() -> Column:
     return F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
 
 
-def _buckets(text_col: str, buckets: int) -> Column:
-    return F.transform(words_of(text_col), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
+def _buckets(words: Column | str, buckets: int) -> Column:
+    return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")))
 
 
 def learn(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int = MAX_LABELLED) -> DomainModel:
@@ -54,7 +58,7 @@ def learn(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("_id"), domain_of().alias("_d"))
     own = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("_id"))
     k = len(TARGETS)
-    by = own.select("_d", F.explode(F.concat(F.array(F.lit(-1)), F.array_distinct(_buckets("text", buckets)))).alias("b"))
+    by = own.select("_d", F.explode(F.concat(F.array(F.lit(-1)), _buckets(words_of("text"), buckets))).alias("b"))
     counts = by.groupBy("b").agg(*[F.count_if(F.col("_d") == i).alias(f"n{i}") for i in range(k)]).collect()
     seen = np.zeros((k, buckets))
     n_docs = np.zeros(k)
@@ -64,24 +68,32 @@ def learn(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int
             n_docs = np.array(column, float)
         else:
             seen[:, r.b] = column
-    share = (seen.sum(axis=0) + 0.5) / (n_docs.sum() + 1)
-    log = np.log((seen + 4 * share) / (n_docs[:, None] + 4))  # shrunk to the share over all domains
-    prior = np.log((n_docs + 1) / (n_docs.sum() + k))
-    return DomainModel(prior.tolist(), [np.rint(SCALE * (log[i] - log[0])).astype(int).tolist() for i in range(k)])
+    held = (seen + 0.5) / (n_docs[:, None] + 1)
+    ratio, error = np.log(held[1:] / held[0]), np.sqrt(1 / (seen[1:] + 0.5) + 1 / (seen[0] + 0.5))
+    telling = ratio >= ERRORS * error  # a common word that is missing says more of a text's length
+    absent = np.where(telling, np.log((1 - held[1:]) / (1 - held[0])), 0.0)  # what not to hold a bucket tells
+    weights = np.where(telling, np.clip(np.rint(SCALE * (ratio - absent)), -LIMIT, LIMIT), 0)
+    prior = np.log((n_docs + 1) / (n_docs.sum() + k)) + np.concatenate([[0.0], absent.sum(axis=1)])
+    return DomainModel(prior.tolist(), weights.astype(int).tolist())
 
 
 def with_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> DataFrame:
     """Adds _n (double: words) and _p (array<double>: posterior of each domain)."""
-    df = docs.withColumn("_n", F.size(words_of(text_col)).cast("double")).withColumn("_b", F.array_distinct(_buckets(text_col, len(model.weights[0]))))
-
-    def evidence(weights: list[int]) -> Column:
-        known = int_table(weights)
-        return F.aggregate("_b", F.lit(0).cast("long"), lambda s, b: s + F.get(known, b)) / SCALE
-
-    logits = [F.lit(model.prior[0]), *[F.lit(p) + evidence(w) for p, w in zip(model.prior[1:], model.weights[1:], strict=True)]]
+    df = docs.withColumn("_w", words_of(text_col)).withColumn("_n", F.size("_w").cast("double"))
+    df = df.withColumn("_b", _buckets("_w", len(model.weights[0])))
+
+    def sums(weights: list[list[int]]) -> list[Column]:
+        """Sums of two domains' weights over a document, gathered at once."""
+        packed = int_table([sum(w * FIELD**i for i, w in enumerate(both)) for both in zip(*weights, strict=True)], "bigint")
+        whole = F.aggregate("_b", F.lit(0).cast("long"), lambda s, b: s + F.get(packed, b))
+        low = F.pmod(whole + FIELD // 2, F.lit(FIELD)) - FIELD // 2
+        return [low, (whole - low) / FIELD][: len(weights)]
+
+    rest = [x for i in range(0, len(model.weights), 2) for x in sums(model.weights[i : i + 2])]
+    logits = [F.lit(model.prior[0]), *[F.lit(p) + x / SCALE for p, x in zip(model.prior[1:], rest, strict=True)]]
     df = df.withColumn("_z", F.array(*logits)).withColumn("_z", F.transform("_z", lambda z: F.exp(z - F.array_max("_z"))))
     total = F.aggregate("_z", F.lit(0.0), lambda s, z: s + z)
-    return df.withColumn("_p", F.transform("_z", lambda z: z / total)).drop("_b", "_z")
+    return df.withColumn("_p", F.transform("_z", lambda z: z / total)).drop("_w", "_b", "_z")
 
 
 def rate_after(steps: list[list[float]]) -> Column:
@@ -101,31 +113,32 @@ def solve(sized: DataFrame, targets: dict[str, float] | None = None, rounds: int
 
     Minimises |A r - T| over rates in [0, MAX_RATE], A[k, i] = n_i p_ik. The gradient
     needs only the residual by domain, so a round is one sum over the documents and
-    sends as many numbers as there are domains. The residual is scaled by the inverse
-    of A D A' (D: 1 / tokens), which makes a unit step safe."""
+    sends as many numbers as there are pairs of domains. The residual is scaled by the
+    inverse of A D A' (D: 1 / tokens) over the documents that no bound holds, which makes
+    a unit step right wherever no further document meets a bound."""
     weights = np.array(list((targets or TARGETS).values()))
     weights = weights / weights.sum()
     k = len(weights)
     p = [F.col("_p")[i] for i in range(k)]
-    first = sized.agg(*[F.sum(F.col("_n") * p[i]).alias(f"t{i}") for i in range(k)], *[F.sum(F.col("_n") * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    now = np.array([first[f"t{i}"] or 0.0 for i in range(k)])
+
+    def state(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens by domain, and A D A' over documents whose rate is free to move."""
+        rated = sized.withColumn("_r", rate_after(steps))
+        tokens = [F.sum(F.col("_n") * p[i] * F.col("_r")) for i in range(k)]
+        free = F.when((F.col("_r") > 0) & (F.col("_r") < MAX_RATE), F.col("_n"))
+        gram = [F.sum(free * p[i] * p[j]) for i in range(k) for j in range(k)]
+        row = [x or 0.0 for x in rated.agg(*tokens, *gram).first()]
+        return np.array(row[:k]), np.array(row[k:]).reshape(k, k)
+
+    now, gram = state([])
     if now.sum() <= 0:
         return []
-    gram = np.array([[first[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-    inverse = np.linalg.inv(gram + 1e-6 * np.trace(gram) / k * np.eye(k))
     at = list(targets or TARGETS).index(ANCHOR) if ANCHOR in (targets or TARGETS) else int(np.argmax(now))
-    aims = np.minimum(weights / weights[at] * now[at] * HEADROOM, now * MAX_RATE / 2)
+    aims = np.minimum(weights / weights[at] * now[at], now) * HEADROOM
     steps: list[list[float]] = []
-    for _ in range(rounds):
-        off = now - aims
-        if np.abs(off).sum() <= TOLERANCE * aims.sum():
-            break
-        step = (inverse @ off).tolist()
-        if steps and max(map(abs, step)) < 1e-9:
-            break
-        steps.append(step)
-        r = sized.withColumn("_r", rate_after(steps)).agg(*[F.sum(F.col("_n") * p[i] * F.col("_r")).alias(f"t{i}") for i in range(k)]).first()
-        now = np.array([r[f"t{i}"] for i in range(k)])
+    while len(steps) < rounds and np.abs(now - aims).sum() > TOLERANCE * aims.sum() and np.trace(gram) > 0:
+        steps.append(np.linalg.solve(gram + 1e-5 * np.trace(gram) / k * np.eye(k), now - aims).tolist())
+        now, gram = state(steps)
     return steps
 
 
@@ -135,8 +148,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
     Null and empty texts have no tokens, the prior as posterior and a rate like any
     other. Repeated rows are each a document. With no labelled documents all domains
-    are equally likely. A target beyond MAX_RATE / 2 times a domain's tokens is lowered
-    to that. Extra columns are not read."""
+    are equally likely. A target beyond HEADROOM times a domain's own tokens is lowered
+    to that, so no domain is repeated for want of documents. Extra columns are not read."""
     model = learn(docs, labels)
     sized = materialize(with_posteriors(docs.select("doc_id", "text"), model).select("doc_id", "_n", "_p"), "posteriors")
     steps = solve(sized, targets)
@@ -148,10 +161,9 @@ def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     """The mixture itself: every document as often as its rate says. The whole part
     of a rate is kept as copies; the rest decides by a hash of the id, the same at
     every run. Columns are those of ``docs``; a document of rate 1 or more always stays."""
-    model = learn(docs, labels)
-    sized = materialize(with_posteriors(docs.select("doc_id", "text"), model).select("_n", "_p"), "posteriors")
-    steps = solve(sized, targets)
+    known = materialize(with_posteriors(docs, learn(docs, labels)), "posteriors")
+    steps = solve(known.select("_n", "_p"), targets)
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    df = with_posteriors(docs, model).withColumn("_c", F.floor(rate_after(steps) + chance).cast("int"))
+    df = known.withColumn("_c", F.floor(rate_after(steps) + chance).cast("int"))
     df = df.select(*[F.col(f"`{c}`") for c in docs.columns], "_c")
     return df.withColumn("_c", F.explode(F.when(F.col("_c") > 0, F.sequence(F.lit(1), F.col("_c"))))).drop("_c")
