@@ -86,7 +86,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id
     vectors = materialize(vectors.where(F.size("vector") == F.lit(length)).groupBy("id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks")), "vectors")
     distinct = vectors.groupBy("vector").agg(F.min("id").alias("rep"), F.max("asks").alias("asks"))
     first = distinct.orderBy(F.xxhash64("rep"), "rep").limit(pivots).select("rep", "vector").collect()
-    centres = np.array([r.vector for r in sorted(first, key=lambda r: r.rep)], np.float64).reshape(len(first), -1)
+    centres = np.array([r.vector for r in sorted(first, key=lambda r: r.rep)], np.float64).reshape(len(first), length or 0)
     prefix, n_pivots = min(PREFIX, max(1, len(first))), max(1, len(first))
     named = materialize(with_orders(distinct.select("rep", "asks", "vector"), centres, prefix), "orders")
 

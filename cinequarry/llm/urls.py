@@ -119,13 +119,12 @@ def fit(judged: DataFrame, url_col: str = "url") -> UrlModel:
     scores = known.withColumn("_m", bounded).select("verdict", F.floor(F.col("_m") * STEPS).alias("s"))
     by = scores.groupBy("s").agg(F.count_if(F.col("verdict") == "allow").alias("allow"), F.count_if(F.col("verdict") == "block").alias("block")).orderBy("s").collect()
     n_allow, n_block = sum(r.allow for r in by), sum(r.block for r in by)
-    best, threshold, below_allow, below_block = -1.0, 0.0, 0, 0
+    best, threshold, below_allow, below_block, last = -1.0, 0.0, 0, 0, None
     for r in by:
         right = (n_allow - below_allow) / n_allow + below_block / n_block
-        if right > best + 1e-12 or (abs(right - best) <= 1e-12 and abs(r.s) < abs(threshold * STEPS)):
-            best, threshold = right, r.s / STEPS
-        below_allow += r.allow
-        below_block += r.block
+        if right > best:  # halfway down to the next lower score
+            best, threshold = right, (r.s if last is None else (r.s + last + 1) / 2) / STEPS
+        below_allow, below_block, last = below_allow + r.allow, below_block + r.block, r.s
     return UrlModel(model.grams, model.contexts, threshold)
 
 
