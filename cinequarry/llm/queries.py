@@ -96,4 +96,36 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _urn_sql(kind: str, page: str = "page_id") -> str:
+    h = f"md5('{kind}|' || coalesce({page}::VARCHAR, '-') || '|' || digest)"
+    parts = " || '-' || ".join(f"substr({h}, {i}, {n})" for i, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"'<urn:uuid:' || {parts} || '>'"
+
+
+OP1_SQL = f"""WITH p AS (SELECT page_id, url, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS n FROM pages),
+  f AS (SELECT *, CASE WHEN n >= {warc.LEAST_REVISIT} THEN min(coalesce(page_id, 9223372036854775807)) OVER (PARTITION BY digest, n >= {warc.LEAST_REVISIT}) END AS first FROM p),
+  r AS (SELECT *, coalesce(first < coalesce(page_id, 9223372036854775807), false) AS revisit FROM f)
+  SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN first END AS refers_to,
+    trim(regexp_replace(coalesce(url, ''), '[\r\n]', ' ', 'g')) AS target_uri, {_urn_sql("request")} AS request_id FROM r"""
+
+
+def _op2_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"{quote(k)}: {quote(v)}" for k, v in licenses.SENTENCES.items())
+    sizes = list(map(len, licenses.SENTENCES))
+    told = "(' ' || array_to_string(ids, ' ') || ' ')"
+    fits = [f"regexp_matches({told}, {quote(' ' + ' (?:.* )?'.join(need) + ' ')})" for _, need in licenses.RULES]
+    by_name: dict[str, list[str]] = {}
+    for i, (name, need) in enumerate(licenses.RULES):
+        above = [fits[j] for j, (_, other) in enumerate(licenses.RULES[:i]) if set(need) <= set(other)]
+        by_name.setdefault(name, []).append("(" + " AND NOT ".join([fits[i], *above]) + ")")
+    names = ", ".join(f"CASE WHEN {' OR '.join(c)} THEN {quote(n)} END" for n, c in by_name.items())
+    return f"""WITH s AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), {quote(licenses.SENTENCE_END)}), lambda x: length(x) BETWEEN {min(sizes)} AND {2 * max(sizes)}) AS parts FROM documents),
+  i AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: MAP {{{known}}}[trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL) AS ids FROM s)
+  SELECT doc_id, len(ids)::BIGINT AS n_known, array_to_string(ids, ' ') AS sentence_ids, array_to_string(list_filter([{names}], lambda x: x IS NOT NULL), ' ') AS licences FROM i"""
+
+
+#: The other queries stand on a tokenizer, learned models, trees or iteration; tests hold them against brute force.
+ORACLE_SQL = {"op1_warc_captures": OP1_SQL, "op2_license_scan": _op2_sql()}
