@@ -128,3 +128,22 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert got.where("item % 3 <> bucket").count() == 0
     t = sampling.timesteps(spark, 4000).agg(F.min("t"), F.max("t"), F.avg((F.col("t") == 1).cast("double")), F.avg(F.col("kept").cast("double")), F.min(F.col("t2") - F.col("t"))).first()
     assert 0 <= t[0] and t[1] == 1 and 0.03 < t[2] < 0.07 and 0.88 < t[3] < 0.92 and t[4] >= 0
+
+
+def test_window_table_function(spark):
+    from cinequarry.functions import udtf
+
+    udtf.install(spark)
+    rows = spark.sql("SELECT d, start FROM VALUES (20.1D), (20.2D), (7.0D), (CAST(NULL AS DOUBLE)) AS t(d), LATERAL clip_windows(d, 5.0D, 5.0D, 6) ORDER BY d, start").collect()
+    assert [tuple(r) for r in rows] == [(7.0, 0.0), *[(d, s) for d in (20.1, 20.2) for s in (0.0, 5.0, 10.0, 15.0) if d > 20.15 or s < 15.0]]
+
+
+def test_config(tmp_path):
+    from cinequarry import config
+
+    (tmp_path / "c.json").write_text('{"a": {"b": 2}}')
+    got = config.load(str(tmp_path / "c.json"), {"a": {"b": 1, "c": 3}, "d": "x"}, ("a.c=[1, 2]", "e.f.g=text", "d=null"))
+    assert got == {"a": {"b": 2, "c": [1, 2]}, "d": None, "e": {"f": {"g": "text"}}}
+    for bad in ("a", "=1", "a..b=1", "d.x=1"):
+        with pytest.raises(ValueError):
+            config.override({"d": "x"}, bad)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from cinequarry.sources import fixtures as X
 from cinequarry.streaming import metrics as T
+from cinequarry.streaming import sinks
 
 
 def run(spark, df, name, mode, tmp_path):
@@ -40,3 +41,20 @@ def test_chunks(spark, tmp_path):
     want = sorted((r.clip, r.frame, r.chunk, min(2, 0 if r.chunk == 0 else 1 + (r.chunk - 1) * 4)) for r in want.collect())
     clips = {r[0] for r in want}
     assert want and [g for g in got if g[0] in clips] == want
+
+
+def test_metric_table(spark, tmp_path):
+    s = stream(spark, "events").select((F.col("event_id") + 1).alias("step"), F.col("value").alias("loss"), F.lit(0.5).alias("lr"), F.lit(None).cast("double").alias("mfu"))
+    for _ in range(2):  # the second run finds nothing new
+        sinks.append_metrics(sinks.long_metrics(s), f"file://{tmp_path}/table", f"file://{tmp_path}/cp").awaitTermination(120)
+    got = spark.read.parquet(f"file://{tmp_path}/table")
+    n = X.table(spark, SF, "events").count()
+    assert {r.name: r["count"] for r in got.groupBy("name").count().collect()} == {"loss": n, "lr": n}
+
+
+def test_report(spark, tmp_path):
+    summary = spark.createDataFrame([("a", 0.5, 2), ("b", 1.0, 0)], "label string, accuracy double, n int")
+    records = spark.createDataFrame([("a", 2, "p", True), ("a", 1, "q", False)], "label string, seed int, prompt string, ok boolean")
+    sinks.write_report(summary, records, f"file://{tmp_path}/report")
+    back = {r.label: r for r in sinks.read_report(spark, f"file://{tmp_path}/report").collect()}
+    assert [x.prompt for x in back["a"].records] == ["q", "p"] and back["b"].records is None
