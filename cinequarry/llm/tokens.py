@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,16 +36,18 @@ BUCKET_KEYS = 8192
 #: Keys that share a displacement on average.
 LOAD = 4
 _FOOT, _FOOT_BYTES = "<QQ", 16
-_CACHE = 300_000
+#: Pieces of text whose ids a worker keeps at most.
+_CACHE = 1_000_000
 
 
 class Encoder:
     """Encodes whole texts with a tokenizer of the ``tokenizers`` library.
 
     The byte-level pre-tokenizer always cuts between a character that is no white space
-    and a single space before another such character. What lies between two such cuts
-    is encoded once and its ids kept, as long as there is room; a text that has other
-    white space around a space is encoded as a whole."""
+    and a single space before another such character. What lies between two such cuts,
+    a space and what follows it, is encoded once and its ids kept as long as there is
+    room; new ones are encoded as one text, whose ids part where a token begins with a
+    space. A text that has other white space around a space is encoded as a whole."""
 
     def __init__(self, path: str, width: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,32 +55,52 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # in a text, their names are ordinary text
-        self.kind = f"<u{width}"
-        self.known: dict[str, bytes | None] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        self.width = width
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for x, i in vocabulary.items() if x.startswith("\u0120")]] = True
+        # Kept by the worker process: tasks that follow find what earlier ones have encoded.
+        kept = sys.modules.setdefault("_encoded_pieces", types.ModuleType("_encoded_pieces"))
+        self.known: dict[str, bytes | None] = kept.__dict__.setdefault(f"{path}:{width}", {})
+
+    def raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, f"<u{self.width}") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def learn(self, pieces: list[str]) -> None:
+        """Ids of " " + piece; None for pieces that can't stand alone."""
+        known, width = self.known, self.width
+        for x in pieces:
+            if not x or x[0].isspace() or x[-1].isspace():
+                known[x] = None
+        pieces = [x for x in pieces if x not in known]
+        for at in range(0, len(pieces), 4096):
+            some = pieces[at : at + 4096]
+            ids = self.raw([" " + " ".join(some)])[0]
+            cuts = [*(np.flatnonzero(self.opens[ids]) * width).tolist(), len(ids) * width]
+            if len(cuts) == len(some) + 1:
+                whole = ids.tobytes()
+                known.update(zip(some, [whole[i:j] for i, j in zip(cuts, cuts[1:])]))
+            else:
+                known.update(zip(some, [x.tobytes() for x in self.raw([f" {x}" for x in some])]))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > _CACHE:
             known.clear()
-        pieces = []
-        for text in texts:
-            first, *rest = text.split(" ")
-            pieces.append([first, *[f" {x}" for x in rest]])
-        new = list({x for p in pieces for x in p if x not in known})
-        for piece in new:
-            # Only a first piece may begin with other white space, or be anything at all.
-            if not piece or piece == " " or piece[-1].isspace() or piece[:1].isspace() and (piece[0] != " " or piece[1].isspace()):
-                known[piece] = None
-        cut = [x for x in new if x not in known]
-        for piece, ids in zip(cut, self.tokenizer.encode_batch_fast(cut, add_special_tokens=False) if cut else [], strict=True):
-            known[piece] = np.array(ids.ids, self.kind).tobytes()
-        out = []
-        for text, p in zip(texts, pieces, strict=True):
-            found = [known[x] for x in p]
-            out.append(self.whole(text) if None in found else b"".join(found))
+        cut = [x.split(" ") for x in texts]
+        first = [x[0] for x in cut]
+        for x in cut:
+            del x[0]
+        self.learn(list(set().union(*cut) - known.keys()))
+        out: list[bytes | None] = []
+        for head, head_ids, rest in zip(first, self.raw(first), cut, strict=True):
+            try:
+                out.append(head_ids.tobytes() + b"".join(map(known.__getitem__, rest)) if not rest or head and not head[-1].isspace() else None)
+            except TypeError:  # a piece that can't stand alone
+                out.append(None)
+        odd = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(odd, self.raw([texts[i] for i in odd]), strict=True):
+            out[i] = ids.tobytes()
         return out
 
 
