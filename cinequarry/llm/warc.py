@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, group_minimum, salt_of
+from .common import SALTS, group_minimum, materialize, salt_of
 
 #: Payloads below this many bytes are never told as revisits.
 LEAST_REVISIT = 100
@@ -72,7 +72,7 @@ def write_pages(pages: DataFrame, path: str, salts: int = SALTS) -> None:
     told = F.concat_ws("\r\n", F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))), F.concat(F.lit("first-page-id: "), F.when(F.col("revisit"), F.col("first")).cast("string")), F.lit(""))
     about = _record([("WARC-Type", "metadata"), ("WARC-Record-ID", notes), *common, ("WARC-Concurrent-To", request), ("Content-Type", "application/warc-fields")], told)
     records = df.select(F.explode(F.array(response, asking, about)).alias("record"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 class _Stream:
@@ -167,7 +167,9 @@ def assemble(records: DataFrame) -> DataFrame:
     without an identifier is left out. Only identifiers are shuffled to find captures."""
     records = records.where(F.col("record_id").isNotNull())
     is_main = F.col("type").isin("response", "revisit")
-    ids = records.select("record_id", is_main.alias("main"), F.explode_outer("concurrent_to").alias("other"))
+    # All but the payloads is read once and kept; payloads are read once more, where they are needed.
+    light = materialize(records.select(*[F.when(~is_main, F.col(c)).alias(c) if c in ("target_uri", "date", "http", "fields") else F.col(c) for c in records.columns if c not in ("payload", "refers_to", "payload_digest")]), "records")
+    ids = light.select("record_id", is_main.alias("main"), F.explode_outer("concurrent_to").alias("other"))
     named = ids.where("main and other is not null").select(F.col("other").alias("record_id"), F.col("record_id").alias("capture_id"))
     points = ids.where("not main").select("record_id", "other").distinct()
     mains = ids.where("main").select(F.col("record_id").alias("other"), F.lit(True).alias("hit")).distinct()
@@ -176,9 +178,8 @@ def assemble(records: DataFrame) -> DataFrame:
     hop = direct.select(F.col("record_id").alias("via"), F.coalesce("capture_id", "record_id").alias("hop"))
     owner = direct.join(hop, "via", "left").select("record_id", F.coalesce("capture_id", "hop", "record_id").alias("capture_id"))
 
-    columns = [c for c in records.columns]
-    whole = F.struct(*columns)
-    rest = records.where(~is_main).join(owner, "record_id").groupBy("capture_id").agg(
+    whole = F.struct(*records.columns)
+    rest = light.where(~is_main).join(owner, "record_id").groupBy("capture_id").agg(
         F.min(F.when(F.col("type") == "request", F.struct("record_id", "target_uri", "date", "http"))).alias("request"),
         F.sort_array(F.collect_set(F.when(F.col("type") == "metadata", F.struct("record_id", "date", F.array_sort(F.map_entries("fields")).alias("fields"))))).alias("metadata"),
     )
