@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,10 @@ LONG, MIN_DOCS = 16, 2
 SHORTEST, MIN_DOCS_SHORT = 3, 8
 #: A document that keeps less than this share of its words is a copy of others and goes as a whole.
 LEAST_KEPT = 0.2
+#: Distinct lines of a leaf that one task places.
+LEAF_LINES = 50_000
 _CACHE = 400_000
+_DIGIT = re.compile(rb"[0-9]").search
 
 
 class _Tokens:
@@ -30,17 +35,14 @@ class _Tokens:
     def __init__(self) -> None:
         self.codes: dict[bytes, int] = {}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+    def __call__(self, lines: list[list[bytes]]) -> np.ndarray:
+        """Codes of all tokens of all lines, one after the other."""
         codes = self.codes
         if len(codes) > _CACHE:
             codes.clear()
-        out = [codes.get(w, -1) for w in words]
-        if -1 in out:
-            for i, code in enumerate(out):
-                if code < 0:
-                    w = words[i]
-                    out[i] = codes[w] = 0 if any(c in b"0123456789" for c in w) else xxhash.xxh32_intdigest(w) % 65535 + 1
-        return np.array(out, "<u2")
+        for w in set().union(*lines) - codes.keys():
+            codes[w] = 0 if _DIGIT(w) else xxhash.xxh32_intdigest(w) % 65535 + 1
+        return np.fromiter(map(codes.__getitem__, chain.from_iterable(lines)), "<u2", sum(map(len, lines)))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, shortest: int = SHORTEST, depth: int = DEPTH) -> DataFrame:
@@ -51,25 +53,33 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, shortest: int = SHORTE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, digest = _Tokens(), xxhash.xxh64_intdigest
         for batch in batches:
-            ids, cols = [], ([], [], [], [], [])
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                seen = set()
-                for at, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
-                    words = line.split()
-                    if len(words) < shortest:
-                        continue
-                    codes = tokens(words)
-                    raw = codes.tobytes()
-                    exact = b" ".join(words) if codes.all() else b" ".join([w if c else b"\0" for w, c in zip(words, codes.tolist(), strict=True)])
-                    code = digest(exact) - (1 << 63)
-                    ids.append(row)
-                    for c, v in zip(cols, (at, int(code not in seen), digest(raw[: 2 * depth], len(words)) - (1 << 63), code, raw), strict=True):
-                        c.append(v)
-                    seen.add(code)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(ids, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)]],
-                names=["id", "line", "first", "leaf", "code", "tokens"],
-            )
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                lines: list[list[bytes]] = []
+                rows, places = [], []
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    for at, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
+                        words = line.split()
+                        if len(words) >= shortest:
+                            lines.append(words)
+                            rows.append(row)
+                            places.append(at)
+                if not lines:
+                    continue
+                codes = tokens(lines)
+                sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+                ends = np.cumsum(sizes)
+                fields = np.minimum.reduceat(codes, ends - sizes) == 0  # lines with a variable field
+                whole = codes.tobytes()
+                raw = [whole[i:j] for i, j in zip((2 * (ends - sizes)).tolist(), (2 * ends).tolist(), strict=True)]
+                leaf = [digest(r[: 2 * depth], n) - (1 << 63) for r, n in zip(raw, sizes.tolist(), strict=True)]
+                exact = [digest(b" ".join([b"\0" if _DIGIT(w) else w for w in words] if f else words)) - (1 << 63) for words, f in zip(lines, fields.tolist(), strict=True)]
+                first, seen = [], set()
+                for row, code in zip(rows, exact, strict=True):
+                    first.append(int((row, code) not in seen))
+                    seen.add((row, code))
+                columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.int32()), pa.array(first, pa.int32()), pa.array(leaf, pa.int64()), pa.array(exact, pa.int64()), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "line", "first", "leaf", "code", "tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -102,28 +112,59 @@ class Leaf:
         return self.n - 1
 
 
-def line_templates(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(code, template: long, long: int) of distinct lines (leaf, code, tokens, least).
-
-    A leaf's lines arrive in order of (least, code) and are placed one by one; what is
-    held is the leaf's templates, never its lines."""
+def _grown(rows: DataFrame, keys: list[str], similarity: float, kind: str) -> DataFrame:
+    """Places (keys..., code, tokens, least, docs, hot), dealt by ``keys`` and in order of
+    (least, code), into a leaf for each key: (leaf, code, template: long, size: int, least,
+    docs, tokens). Of a hot leaf its templates follow, as rows without a code that hold
+    their tokens. What a task holds is a leaf's templates, never its lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, tree = None, Leaf(similarity)
+        key, tree, hot = None, Leaf(similarity), False
+
+        def name(i: int) -> int:
+            return xxhash.xxh64_intdigest(i.to_bytes(8, "little") + b"".join(k.to_bytes(8, "little", signed=True) for k in key)) - (1 << 63)
+
+        def templates() -> list[tuple]:
+            return [(key[0], None, name(i), tree.rows.shape[1], None, 0, tree.rows[i].tobytes()) for i in range(tree.n)] if hot else []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), least_type, pa.int64(), pa.binary()), strict=True)], names=["leaf", "code", "template", "size", "least", "docs", "tokens"])
+
+        least_type = pa.int64()
         for batch in batches:
-            leaves, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            names, sizes = [], []
-            for key, raw in zip(leaves, lines, strict=True):
-                if key != leaf:
-                    leaf, tree = key, Leaf(similarity)
+            least_type = batch.schema.field("least").type
+            got = zip(*[batch.column(c).to_pylist() for c in (*keys, "code", "tokens", "least", "docs", "hot")], strict=True)
+            out = []
+            for *own, code, raw, least, docs, is_hot in got:
+                if own != key:
+                    out += templates()
+                    key, tree, hot = own, Leaf(similarity), is_hot
                 line = np.frombuffer(raw, "<u2")
-                names.append(xxhash.xxh64_intdigest(tree.place(line).to_bytes(8, "little") + key.to_bytes(8, "little", signed=True)) - (1 << 63))
-                sizes.append(len(line))
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), batch.column(3), batch.column(4)], names=["code", "template", "size", "least", "docs"])
+                out.append((own[0], code, name(tree.place(line)), len(line), least, docs, None))
+            if out:
+                yield batch_of(out)
+        if rest := templates():
+            yield batch_of(rest)
+
+    dealt = rows.select(*keys, "code", "tokens", "least", "docs", "hot").repartition(*keys).sortWithinPartitions(*keys, "least", "code")
+    return dealt.mapInArrow(run, f"leaf bigint, code bigint, template bigint, size int, least {kind}, docs bigint, tokens binary")
+
+
+def line_templates(distinct: DataFrame, similarity: float = SIMILARITY, leaf_lines: int = LEAF_LINES) -> DataFrame:
+    """(code, template: long, size: int, least, docs) of distinct lines (leaf, code, tokens, least, docs).
 
+    A leaf with more than ``leaf_lines`` distinct lines is grown in parts, dealt by the
+    lines' codes; then the parts' templates, which are few, are placed into one leaf as if
+    they were lines, and equal ones become one."""
     kind = distinct.schema["least"].dataType.simpleString()
-    dealt = distinct.select("leaf", "tokens", "code", "least", "docs").repartition("leaf").sortWithinPartitions("leaf", "least", "code")
-    return dealt.mapInArrow(run, f"code bigint, template bigint, size int, least {kind}, docs bigint")
+    hot = distinct.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / leaf_lines).cast("long").alias("parts")).where("parts > 1")
+    rows = distinct.join(materialize(hot, "hot-leaves"), "leaf", "left").withColumn("hot", F.col("parts").isNotNull())
+    rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("code"), F.col("parts")), F.lit(0)))
+    grown = materialize(_grown(rows, ["leaf", "part"], similarity, kind), "templates")
+    parts = grown.where("tokens is not null").select("leaf", F.col("template").alias("code"), "tokens", "least", "docs", F.lit(False).alias("hot"))
+    whole = materialize(_grown(parts, ["leaf"], similarity, kind).select(F.col("code").alias("template"), F.col("template").alias("whole")), "whole-templates")
+    return grown.where("code is not null").join(whole, "template", "left").select("code", F.coalesce("whole", "template").alias("template"), "size", "least", "docs")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -131,10 +172,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     template recurs in enough documents, but for the document with the least id."""
     lines = materialize(lines_of(docs, id_col, text_col), "lines")
     distinct = lines.groupBy("leaf", "code", "tokens").agg(F.min("id").alias("least"), F.sum("first").alias("docs"))
-    named = materialize(line_templates(distinct, similarity), "templates")
+    named = materialize(line_templates(materialize(distinct, "distinct-lines"), similarity), "line-templates")
     recurring = named.groupBy("template").agg(F.min("least").alias("least_id"), F.sum("docs").alias("in_docs"), F.max("size").alias("n"))
     recurring = recurring.where(F.when(F.col("n") >= LONG, F.col("in_docs") >= MIN_DOCS).otherwise(F.col("in_docs") >= MIN_DOCS_SHORT))
-    codes = materialize(named.join(recurring, "template").select("code", "least_id").groupBy("code").agg(F.min("least_id").alias("least_id")), "recurring-lines")
+    codes = materialize(named.join(materialize(recurring, "recurring-templates"), "template").select("code", "least_id").groupBy("code").agg(F.min("least_id").alias("least_id")), "recurring-lines")
     gone = lines.select("id", "line", "code").join(codes, "code").where(F.col("id") != F.col("least_id"))
     return gone.groupBy("id").agg(F.collect_list("line").alias("lines"))
 
@@ -146,10 +187,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines end at ``\\n``; a token is a run without ASCII white space; tokens with a digit
     are variable fields. A leaf of the tree holds the lines of one token count with the
     same leading tokens; within it, lines with at least ``similarity`` of their tokens in
-    place share a template, whose other places become variable. Documents that hold a
+    place share a template, whose other places become variable (a leaf of more than
+    LEAF_LINES distinct lines is grown in parts that are then joined). Documents that hold a
     template are counted once for each distinct line of it. Null texts stay null, rows
     without an id stay whole, and rows that repeat an id count as one document. Other
-    columns pass through; columns of the names above are replaced."""
+    columns pass through; columns of the names above are replaced, and those named _id,
+    _gone and _kept dropped."""
+    docs = docs.drop(*{"_id", "_gone", "_kept"} - {id_col, text_col})
     gone = dropped_lines(docs, id_col, text_col, similarity).select(F.col("id").alias("_id"), F.col("lines").alias("_gone"))
     df = docs.join(gone, docs[id_col] == gone["_id"], "left").drop("_id")
     lost = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))

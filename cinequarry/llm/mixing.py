@@ -161,9 +161,10 @@ def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     """The mixture itself: every document as often as its rate says. The whole part
     of a rate is kept as copies; the rest decides by a hash of the id, the same at
     every run. Columns are those of ``docs``; a document of rate 1 or more always stays."""
-    known = materialize(with_posteriors(docs, learn(docs, labels)), "posteriors")
+    rest = F.struct(F.lit(0).alias("__row"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("_row")
+    known = materialize(with_posteriors(docs.select("doc_id", "text", rest), learn(docs, labels)), "posteriors")
     steps = solve(known.select("_n", "_p"), targets)
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     df = known.withColumn("_c", F.floor(rate_after(steps) + chance).cast("int"))
-    df = df.select(*[F.col(f"`{c}`") for c in docs.columns], "_c")
-    return df.withColumn("_c", F.explode(F.when(F.col("_c") > 0, F.sequence(F.lit(1), F.col("_c"))))).drop("_c")
+    df = df.withColumn("_c", F.explode(F.when(F.col("_c") > 0, F.sequence(F.lit(1), F.col("_c")))))
+    return df.select(*[F.col(c if c in ("doc_id", "text") else f"_row.`{c}`").alias(c) for c in docs.columns])

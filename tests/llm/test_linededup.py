@@ -97,6 +97,26 @@ def test_leaf_of_many_templates():
     assert (leaf.rows[:50, 3:8] == 0).all()
 
 
+def test_hot_leaf_in_parts(spark):
+    rng = random.Random(3)
+
+    def family(k):
+        letters = "abcdefghijklmnopqr"
+        words = [f"{k}{c}" for c in letters]
+        return ["alpha beta gamma delta " + " ".join("".join(rng.choice(letters) for _ in range(9)) if i % 5 == 2 else w for i, w in enumerate(words)) for _ in range(150)]
+
+    rows = [(i, line) for i, line in enumerate(family("u") + family("v"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    lines = L.lines_of(docs, "doc_id", "text").groupBy("leaf", "code", "tokens").agg(F.min("id").alias("least"), F.sum("first").alias("docs"))
+    for limit in (10_000, 40):
+        got = L.line_templates(lines, leaf_lines=limit).collect()
+        assert len(got) == len({line for _, line in rows})
+        by = {}
+        for r in got:
+            by.setdefault(r.template, set()).add(r.least >= 150)
+        assert len(by) == 2 and all(len(v) == 1 for v in by.values())
+
+
 def test_empty_and_repeated_ids(spark):
     docs = spark.createDataFrame([(1, "same text of a document that has more than sixteen words in it so that it could be dropped"), (1, "same text of a document that has more than sixteen words in it so that it could be dropped")], "doc_id long, text string")
     assert L.dedup_lines(docs).where("n_dropped > 0").count() == 0
