@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,24 +23,62 @@ SHORTEST, MIN_DOCS_SHORT = 3, 8
 LEAST_KEPT = 0.2
 #: Distinct lines of a leaf that one task places.
 LEAF_LINES = 50_000
-_CACHE = 400_000
-_DIGIT = re.compile(rb"[0-9]").search
 
 
-class _Tokens:
-    """16-bit codes of tokens; every token with a digit is the variable field 0."""
+#: Texts are taken together up to this many characters.
+_CHUNK = 1 << 20
+_BASE, _SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(_SPREAD)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(_SPREAD)
+        return x ^ (x >> np.uint64(32))
 
-    def __init__(self) -> None:
-        self.codes: dict[bytes, int] = {}
 
-    def __call__(self, lines: list[list[bytes]]) -> np.ndarray:
-        """Codes of all tokens of all lines, one after the other."""
-        codes = self.codes
-        if len(codes) > _CACHE:
-            codes.clear()
-        for w in set().union(*lines) - codes.keys():
-            codes[w] = 0 if _DIGIT(w) else xxhash.xxh32_intdigest(w) % 65535 + 1
-        return np.fromiter(map(codes.__getitem__, chain.from_iterable(lines)), "<u2", sum(map(len, lines)))
+class _Runs:
+    """64-bit hashes of runs of an array: sums of values times powers of an odd number,
+    modulo 2**64, brought to the same first power."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(self.up) < len(values):
+            n = len(values) + len(values) // 4
+            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, x, np.uint64))]) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self.up[: len(values)])])
+        return _mixed((sums[ends] - sums[starts]) * self.down[starts])
+
+
+def _read_lines(texts: list[str], runs: _Runs, shortest: int, depth: int) -> tuple[np.ndarray, ...]:
+    """Row, line, leaf, code, and start and end among ``tokens`` of every line of at least
+    ``shortest`` tokens; and ``tokens``, 16-bit codes of which 0 is a token with a digit."""
+    raw = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
+    counts = np.fromiter((x.count("\n") + 1 for x in texts), np.int64, len(texts))
+    row = np.repeat(np.arange(len(texts)), counts)
+    line = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    word = np.zeros(len(raw) + 2, np.int8)
+    word[1:-1] = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    edge = np.diff(word)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    digits = np.concatenate([np.zeros(1, np.int64), np.cumsum((raw >= 48) & (raw <= 57))])
+    hashes = runs(raw.astype(np.uint64) + np.uint64(1), starts, ends)
+    variable = digits[ends] > digits[starts]
+    hashes[variable] = 0
+    tokens = np.where(variable, 0, hashes % np.uint64(65535) + np.uint64(1)).astype("<u2")
+    sizes = np.bincount(np.searchsorted(np.flatnonzero(raw == 10), starts), minlength=len(row))
+    until = np.cumsum(sizes)
+    keep = sizes >= shortest
+    row, line, sizes, until = row[keep], line[keep], sizes[keep], until[keep]
+    since = until - sizes
+    code = runs(hashes, since, until) ^ _mixed(sizes.astype(np.uint64))
+    leaf = sizes.astype(np.uint64)
+    for k in range(depth):
+        inside = since + k < until
+        leaf = _mixed(leaf * np.uint64(_BASE) + np.where(inside, tokens[np.where(inside, since + k, 0)] if len(tokens) else 0, 0).astype(np.uint64))
+    return row, line, leaf.view(np.int64), code.view(np.int64), since, until, tokens
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, shortest: int = SHORTEST, depth: int = DEPTH) -> DataFrame:
@@ -51,35 +87,22 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, shortest: int = SHORTE
     masked text, the codes of its tokens, and 1 for its first place in the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, digest = _Tokens(), xxhash.xxh64_intdigest
+        runs = _Runs()
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
-                lines: list[list[bytes]] = []
-                rows, places = [], []
-                for row, text in enumerate(part.column(1).to_pylist()):
-                    for at, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
-                        words = line.split()
-                        if len(words) >= shortest:
-                            lines.append(words)
-                            rows.append(row)
-                            places.append(at)
-                if not lines:
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            begin, held = 0, 0
+            for at, text in enumerate(texts):
+                held += len(text)
+                if held < _CHUNK and at + 1 < len(texts):
                     continue
-                codes = tokens(lines)
-                sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-                ends = np.cumsum(sizes)
-                fields = np.minimum.reduceat(codes, ends - sizes) == 0  # lines with a variable field
-                whole = codes.tobytes()
-                raw = [whole[i:j] for i, j in zip((2 * (ends - sizes)).tolist(), (2 * ends).tolist(), strict=True)]
-                leaf = [digest(r[: 2 * depth], n) - (1 << 63) for r, n in zip(raw, sizes.tolist(), strict=True)]
-                exact = [digest(b" ".join([b"\0" if _DIGIT(w) else w for w in words] if f else words)) - (1 << 63) for words, f in zip(lines, fields.tolist(), strict=True)]
-                first, seen = [], set()
-                for row, code in zip(rows, exact, strict=True):
-                    first.append(int((row, code) not in seen))
-                    seen.add((row, code))
-                columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.int32()), pa.array(first, pa.int32()), pa.array(leaf, pa.int64()), pa.array(exact, pa.int64()), pa.array(raw, pa.binary())]
+                row, line, leaf, code, since, until, tokens = _read_lines(texts[begin : at + 1], runs, shortest, depth)
+                whole = tokens.tobytes()
+                raw = [whole[i:j] for i, j in zip((2 * since).tolist(), (2 * until).tolist(), strict=True)]
+                first = np.zeros(len(row), np.int32)
+                first[np.unique(np.stack([row, code]), axis=1, return_index=True)[1]] = 1
+                columns = [batch.column(0).take(pa.array(row + begin)), pa.array(line.astype(np.int32)), pa.array(first), pa.array(leaf), pa.array(code), pa.array(raw, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "line", "first", "leaf", "code", "tokens"])
+                begin, held = at + 1, 0
 
     kind = docs.schema[id_col].dataType.simpleString()
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
