@@ -14,6 +14,7 @@ slot lead from a document key to its ids."""
 from __future__ import annotations
 
 import os
+import re
 import struct
 import sys
 import types
@@ -37,7 +38,9 @@ BUCKET_KEYS = 8192
 LOAD = 4
 _FOOT, _FOOT_BYTES = "<QQ", 16
 #: Pieces of text whose ids a worker keeps at most.
-_CACHE = 1_000_000
+_CACHE = 1_500_000
+#: Latin letters, then what is no letter, digit or white space.
+_TAIL = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([^\w\s]+)").fullmatch
 
 
 class Encoder:
@@ -59,9 +62,16 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for x, i in vocabulary.items() if x.startswith("\u0120")]] = True
-        # Kept by the worker process: tasks that follow find what earlier ones have encoded.
-        kept = sys.modules.setdefault("_encoded_pieces", types.ModuleType("_encoded_pieces"))
-        self.known: dict[str, bytes | None] = kept.__dict__.setdefault(f"{path}:{width}", {})
+        self.known: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {}
+
+    @classmethod
+    def of_worker(cls, path: str, width: int) -> Encoder:
+        """The worker process's own: tasks that follow find what earlier ones have encoded."""
+        kept = sys.modules.setdefault("_token_encoders", types.ModuleType("_token_encoders")).__dict__
+        if f"{path}:{width}" not in kept:
+            kept[f"{path}:{width}"] = cls(path, width)
+        return kept[f"{path}:{width}"]
 
     def raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, f"<u{self.width}") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -72,9 +82,12 @@ class Encoder:
         for x in pieces:
             if not x or x[0].isspace() or x[-1].isspace():
                 known[x] = None
-        pieces = [x for x in pieces if x not in known]
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
+        # Letters with punctuation after them: the pre-tokenizer parts the two.
+        tails = [(x, *m.groups()) for x in pieces if (m := _TAIL(x))]
+        pieces = [x for x in pieces if x not in known and not _TAIL(x)]
+        pieces += {head for _, head, _ in tails if head not in known} - set(pieces)
+        for at in range(0, len(pieces), 256):  # the tokenizer's time grows faster than a text's length
+            some = pieces[at : at + 256]
             ids = self.raw([" " + " ".join(some)])[0]
             cuts = [*(np.flatnonzero(self.opens[ids]) * width).tolist(), len(ids) * width]
             if len(cuts) == len(some) + 1:
@@ -82,11 +95,15 @@ class Encoder:
                 known.update(zip(some, [whole[i:j] for i, j in zip(cuts, cuts[1:])]))
             else:
                 known.update(zip(some, [x.tobytes() for x in self.raw([f" {x}" for x in some])]))
+        new = list({tail for *_, tail in tails} - self.tails.keys())
+        self.tails.update(zip(new, [x.tobytes() for x in self.raw(new)]))
+        known.update([(x, known[head] + self.tails[tail]) for x, head, tail in tails])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > _CACHE:
             known.clear()
+            self.tails.clear()
         cut = [x.split(" ") for x in texts]
         first = [x[0] for x in cut]
         for x in cut:
@@ -116,7 +133,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
         width, end = 4, end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer_path, width)
+        encode = Encoder.of_worker(tokenizer_path, width)
         keys, lengths = [], []
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -218,7 +235,7 @@ class PerfectHash:
                 base = (h1[own] + a * h2[own]) % n
                 if len(set(base.tolist())) < len(own):
                     continue
-                shift = np.flatnonzero(free)[: 4096 if a < 64 else n]  # put the first key on a free slot
+                shift = np.flatnonzero(free)[: 128 if a < 32 else n]  # put the first key on a free slot
                 shift = (shift - base[0]) % n
                 good = free[(base[:, None] + shift[None, :]) % n].all(axis=0)
                 if good.any():

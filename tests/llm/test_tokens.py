@@ -10,7 +10,7 @@ from cinequarry.llm import tokens
 from cinequarry.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["", " ", "  ", "a  b", "a   b", " lead", "trail ", "a\n b", "a \nb", "don't stop's 'll", "x\x85 y", "x\x1c y", " \x1c z", "12 345 6!? ..", "é è  ü", "<|endoftext|> a", "\tq", "日本 語 テキスト", "a  b", "#", "w " * 3000, " \n", "end.\nNew line 's"]
+ODD = ["", " ", "  ", "a  b", "a   b", " lead", "trail ", "a\n b", "a \nb", "don't stop's 'll", "word. word, word! word!!! naïve, naïve. a_b, x's. x', ×. a×. ½. a½, 3. a3. ª, aª.", "x\x85 y", "x\x1c y", " \x1c z", "12 345 6!? ..", "é è  ü", "<|endoftext|> a", "\tq", "日本 語 テキスト", "a  b", "#", "w " * 3000, " \n", "end.\nNew line 's"]
 
 
 def whole():
