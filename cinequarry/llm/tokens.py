@@ -108,16 +108,18 @@ class Encoder:
         first = [x[0] for x in cut]
         for x in cut:
             del x[0]
-        self.learn(list(set().union(*cut) - known.keys()))
+        held = set().union(*cut)
+        self.learn(list(held - known.keys()))
+        ids = {x: known[x] for x in held}.__getitem__  # small enough to stay near the processor
         out: list[bytes | None] = []
         for head, head_ids, rest in zip(first, self.raw(first), cut, strict=True):
             try:
-                out.append(head_ids.tobytes() + b"".join(map(known.__getitem__, rest)) if not rest or head and not head[-1].isspace() else None)
+                out.append(head_ids.tobytes() + b"".join(map(ids, rest)) if not rest or head and not head[-1].isspace() else None)
             except TypeError:  # a piece that can't stand alone
                 out.append(None)
         odd = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(odd, self.raw([texts[i] for i in odd]), strict=True):
-            out[i] = ids.tobytes()
+        for i, whole in zip(odd, self.raw([texts[i] for i in odd]), strict=True):
+            out[i] = whole.tobytes()
         return out
 
 

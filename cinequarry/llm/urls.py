@@ -60,16 +60,14 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RU
 
 
 def _symbols(url: Column) -> Column:
-    """Code of each character of a url, digits as one; 0 ends it. Null and empty urls have only the end."""
+    """Code of each character of a url, digits as one, after ORDER zeros; 0 ends it too. Null and empty urls have only the end."""
     text = F.regexp_replace(F.coalesce(url, F.lit("")), "[0-9]", "0")
-    return F.concat(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c)), F.array(F.lit(0)))
+    return F.concat(F.array_repeat(F.lit(0), ORDER), F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c)), F.array(F.lit(0)))
 
 
-def _cells(symbols: Column) -> Column:
+def _cells(padded: Column) -> Column:
     """For every place: struct(g, c) of each context length from 0 to ORDER, where g is
     the cell of the context with the place's character and c that of the context."""
-    padded = F.concat(F.array_repeat(F.lit(0), ORDER), symbols)
-
     def at(i: Column) -> Column:
         def of(n: int) -> Column:
             context = [F.get(padded, i + ORDER - k) for k in range(n, 0, -1)]
@@ -78,7 +76,7 @@ def _cells(symbols: Column) -> Column:
 
         return F.array(*[of(n) for n in range(ORDER + 1)])
 
-    return F.transform(F.sequence(F.lit(0), F.size(symbols) - 1), at)
+    return F.transform(F.sequence(F.lit(0), F.size(padded) - ORDER - 1), at)
 
 
 def with_cells(df: DataFrame, url_col: str = "url") -> DataFrame:
