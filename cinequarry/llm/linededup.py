@@ -52,9 +52,11 @@ class _Runs:
         return _mixed((sums[ends] - sums[starts]) * self.down[starts])
 
 
-def _read_lines(texts: list[str], runs: _Runs, shortest: int, depth: int) -> tuple[np.ndarray, ...]:
+def _read_lines(texts: list[str], runs: _Runs, shortest: int, depth: int, similarity: float) -> tuple[np.ndarray, ...]:
     """Row, line, leaf, code, and start and end among ``tokens`` of every line of at least
-    ``shortest`` tokens; and ``tokens``, 16-bit codes of which 0 is a token with a digit."""
+    ``shortest`` tokens; and ``tokens``, 16-bit codes of which 0 is a token with a digit.
+    A line with less than ``similarity`` of its tokens fixed has the code of its unmasked
+    text and a leaf of its own, so that only equal ones recur."""
     raw = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
     counts = np.fromiter((x.count("\n") + 1 for x in texts), np.int64, len(texts))
     row = np.repeat(np.arange(len(texts)), counts)
@@ -66,6 +68,7 @@ def _read_lines(texts: list[str], runs: _Runs, shortest: int, depth: int) -> tup
     digits = np.concatenate([np.zeros(1, np.int64), np.cumsum((raw >= 48) & (raw <= 57))])
     hashes = runs(raw.astype(np.uint64) + np.uint64(1), starts, ends)
     variable = digits[ends] > digits[starts]
+    unmasked = hashes.copy()
     hashes[variable] = 0
     tokens = np.where(variable, 0, hashes % np.uint64(65535) + np.uint64(1)).astype("<u2")
     sizes = np.bincount(np.searchsorted(np.flatnonzero(raw == 10), starts), minlength=len(row))
@@ -78,13 +81,18 @@ def _read_lines(texts: list[str], runs: _Runs, shortest: int, depth: int) -> tup
     for k in range(depth):
         inside = since + k < until
         leaf = _mixed(leaf * np.uint64(_BASE) + np.where(inside, tokens[np.where(inside, since + k, 0)] if len(tokens) else 0, 0).astype(np.uint64))
+    open_fields = np.concatenate([np.zeros(1, np.int64), np.cumsum(variable)])
+    loose = sizes - (open_fields[until] - open_fields[since]) < similarity * sizes
+    if loose.any():
+        code[loose] = _mixed(runs(unmasked, since[loose], until[loose]) ^ _mixed(sizes[loose].astype(np.uint64)))
+        leaf[loose] = _mixed(code[loose])
     return row, line, leaf.view(np.int64), code.view(np.int64), since, until, tokens
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, shortest: int = SHORTEST, depth: int = DEPTH) -> DataFrame:
+def lines_of(docs: DataFrame, id_col: str, text_col: str, shortest: int = SHORTEST, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
     """(id, line: int, first: int, leaf: long, code: long, tokens: binary) for every
     line of at least ``shortest`` tokens: its leaf in the tree, a hash of its whole
-    masked text, the codes of its tokens, and 1 for its first place in the document."""
+    masked text (unmasked, if few tokens are fixed), the codes of its tokens, and 1 for its first place in the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = _Runs()
@@ -95,7 +103,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, shortest: int = SHORTE
                 held += len(text)
                 if held < _CHUNK and at + 1 < len(texts):
                     continue
-                row, line, leaf, code, since, until, tokens = _read_lines(texts[begin : at + 1], runs, shortest, depth)
+                row, line, leaf, code, since, until, tokens = _read_lines(texts[begin : at + 1], runs, shortest, depth, similarity)
                 whole = tokens.tobytes()
                 raw = [whole[i:j] for i, j in zip((2 * since).tolist(), (2 * until).tolist(), strict=True)]
                 first = np.zeros(len(row), np.int32)
@@ -193,7 +201,7 @@ def line_templates(distinct: DataFrame, similarity: float = SIMILARITY, leaf_lin
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, lines: array<int>): the lines that each document loses. A line goes if its
     template recurs in enough documents, but for the document with the least id."""
-    lines = materialize(lines_of(docs, id_col, text_col), "lines")
+    lines = materialize(lines_of(docs, id_col, text_col, similarity=similarity), "lines")
     distinct = lines.groupBy("leaf", "code", "tokens").agg(F.min("id").alias("least"), F.sum("first").alias("docs"))
     named = materialize(line_templates(materialize(distinct, "distinct-lines"), similarity), "line-templates")
     recurring = named.groupBy("template").agg(F.min("least").alias("least_id"), F.sum("docs").alias("in_docs"), F.max("size").alias("n"))
@@ -211,7 +219,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are variable fields. A leaf of the tree holds the lines of one token count with the
     same leading tokens; within it, lines with at least ``similarity`` of their tokens in
     place share a template, whose other places become variable (a leaf of more than
-    LEAF_LINES distinct lines is grown in parts that are then joined). Documents that hold a
+    LEAF_LINES distinct lines is grown in parts that are then joined). Lines with fewer
+    fixed tokens than that, such as rows of numbers, recur only if they are equal. Documents that hold a
     template are counted once for each distinct line of it. Null texts stay null, rows
     without an id stay whole, and rows that repeat an id count as one document. Other
     columns pass through; columns of the names above are replaced, and those named _id,
