@@ -19,8 +19,8 @@ SIMILARITY = 0.6
 #: Lines of LONG tokens or more recur from MIN_DOCS documents on, shorter ones from MIN_DOCS_SHORT; those under SHORTEST never do.
 LONG, MIN_DOCS = 16, 2
 SHORTEST, MIN_DOCS_SHORT = 3, 8
-#: A document that keeps less than this share of its words is a copy of others and goes as a whole.
-LEAST_KEPT = 0.2
+#: Least share of its words that a document has to keep: it goes as a whole if no word is left, and any one is enough to stay.
+LEAST_KEPT = 1e-9
 #: Distinct lines of a leaf that one task places.
 LEAF_LINES = 50_000
 
