@@ -29,6 +29,17 @@ SENTENCES = {
     "all rights reserved": "reserved",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd-redistribution",
     "neither the name of the copyright holder nor the names of its contributors may be used": "bsd-no-endorsement",
+    # The standard texts' own sentences.
+    "licensed under the apache license version 2 0 the license": "apache-2-notice",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-2-as-is",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-keep-notice",
+    "this program is free software": "gpl-free-software",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-3-grant",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-terms",
+    "either version 2 of the license or at your option any later version": "gpl-2-or-later",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-redistribution",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-no-endorsement",
 }
 
 #: Ordered rules: (licence, identifiers that must come in this order). A document has the licence of every rule that fits, unless an earlier rule that fits holds all its identifiers.
@@ -39,6 +50,8 @@ RULES = (
     ("MIT", ("mit-grant", "mit-keep-notice")),
     ("MIT", ("mit-notice",)),
     ("GPL-3.0-or-later", ("gpl-free-software", "gpl-terms", "gpl-3-or-later")),
+    ("GPL-3.0-or-later", ("gpl-3-grant",)),
+    ("GPL-2.0-or-later", ("gpl-free-software", "gpl-terms", "gpl-2-or-later")),
     ("GPL-3.0-only", ("gpl-3-notice",)),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-no-endorsement")),
     ("BSD-2-Clause", ("bsd-redistribution",)),
