@@ -27,10 +27,6 @@ def op1_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Stands for a null doc_id among the keys of the token store.
-NULL_KEY = -(1 << 63)
-
-
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = licenses.scan(table(spark, sf_dir, "documents"))
     return df.select("doc_id", F.size("sentence_ids").cast("long").alias("n_known"), F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licences", " ").alias("licences"))
@@ -41,9 +37,8 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     store = tokens.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    keys = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_KEY)).alias("key")).distinct()
-    found = store.read(keys, with_ids=False)
-    return found.select(F.nullif("key", F.lit(NULL_KEY)).alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(tokens.NULL_KEY)).alias("key")).distinct()
+    return store.read(keys, with_ids=False).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

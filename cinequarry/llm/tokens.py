@@ -5,19 +5,20 @@ write to will do. A file holds the raw ids of its documents, little-endian, one
 the other, each document closed by the end id; then a directory of its documents; then
 the directory's place:
 
-    ids ... | keys int64[n] | lengths uint32[n] | n uint64, width uint64 | 0x00
+    ids ... | keys int64[n] | lengths uint32[n] | n, width, documents without an id uint64 | 0x00
 
 The index is a table of buckets. A bucket's row holds the displacements of its minimal
-perfect hash and, by slot, a fingerprint, shard, offset and length: one hash and one
-slot lead from a document key to its ids."""
+perfect hash and, by slot, a fingerprint and the place of the key's first document: its
+shard, number and byte there, and length. One hash and one slot lead from a key to its
+ids; the shard's directory then tells whether the key is really there. A few keys read
+only the buckets they fall into."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,110 +26,171 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import new_path
 
 END_ID = 2
+#: Stands for a null id among keys.
+NULL_KEY = -(1 << 63)
 #: Keys that a bucket of the index holds on average.
 BUCKET_KEYS = 8192
 #: Keys that share a displacement on average.
 LOAD = 4
-_FOOT, _FOOT_BYTES = "<QQ", 16
-#: Pieces of text whose ids a worker keeps at most.
-_CACHE = 1_500_000
-#: Latin letters, then what is no letter, digit or white space.
-_TAIL = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([^\w\s]+)").fullmatch
+_FOOT, _FOOT_BYTES = "<QQQ", 24
+#: Folders that the buckets of an index are dealt to; buckets that a lookup asks for one by one at most.
+INDEX_PIECES, PRUNED = 256, 256
+#: Bytes of pieces and their ids that a worker keeps, about; twice that while old ones are given up.
+CACHE_BYTES = 112 << 20
+#: Characters of a piece that is kept at most, and bytes that an entry takes besides its piece and ids.
+_LONGEST, _ENTRY = 64, 200
+#: Texts are encoded together up to this many characters.
+_CHUNK = 1 << 23
+#: What a byte-level pre-tokenizer takes for white space; a piece begins with a space or line end that none comes before.
+_SPACE = r"[\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_CUT = r"([^\x00" + _SPACE[1:] + r")([ \n])"
+#: A space or line end, Latin letters, then what is no letter, digit or white space.
+_TAIL = re.compile(r"([ \n][A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([^\w\s]+)").fullmatch
 
 
 class Encoder:
     """Encodes whole texts with a tokenizer of the ``tokenizers`` library.
 
-    The byte-level pre-tokenizer always cuts between a character that is no white space
-    and a single space before another such character. What lies between two such cuts,
-    a space and what follows it, is encoded once and its ids kept as long as there is
-    room; new ones are encoded as one text, whose ids part where a token begins with a
-    space. A text that has other white space around a space is encoded as a whole."""
+    A byte-level pre-tokenizer always cuts where white space follows something else, and
+    looks at nothing that is further back. So texts are cut there, each distinct piece is
+    encoded once and its ids are kept as long as there is room; new pieces are encoded as
+    one text, whose ids part where a token begins with a space or line end. A text that
+    names a special token, and any text if the tokenizer is of another kind, is encoded as
+    a whole."""
 
     def __init__(self, path: str, width: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text, their names are ordinary text
         self.width = width
+        kind = json.loads(self.tokenizer.to_str())
+        way = kind.get("pre_tokenizer") or {}
+        self.parts = way.get("type") == "ByteLevel" and way.get("use_regex", True) and not way.get("add_prefix_space") and not kind.get("normalizer")
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()] + ["\0"]  # which is the mark of a cut
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.opens[[i for x, i in vocabulary.items() if x.startswith("\u0120")]] = True
-        self.known: dict[str, bytes | None] = {}
-        self.tails: dict[str, bytes] = {}
+        self.opens[[i for x, i in vocabulary.items() if x[:1] in ("\u0120", "\u010a")]] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
-    @classmethod
-    def of_worker(cls, path: str, width: int) -> Encoder:
+    @staticmethod
+    def of_worker(path: str, width: int) -> Encoder:
         """The worker process's own: tasks that follow find what earlier ones have encoded."""
-        kept = sys.modules.setdefault("_token_encoders", types.ModuleType("_token_encoders")).__dict__
-        if f"{path}:{width}" not in kept:
-            kept[f"{path}:{width}"] = cls(path, width)
-        return kept[f"{path}:{width}"]
-
-    def raw(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, f"<u{self.width}") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def learn(self, pieces: list[str]) -> None:
-        """Ids of " " + piece; None for pieces that can't stand alone."""
-        known, width = self.known, self.width
-        for x in pieces:
-            if not x or x[0].isspace() or x[-1].isspace():
-                known[x] = None
-        # Letters with punctuation after them: the pre-tokenizer parts the two.
-        tails = [(x, *m.groups()) for x in pieces if (m := _TAIL(x))]
-        pieces = [x for x in pieces if x not in known and not _TAIL(x)]
-        pieces += {head for _, head, _ in tails if head not in known} - set(pieces)
-        for at in range(0, len(pieces), 256):  # the tokenizer's time grows faster than a text's length
-            some = pieces[at : at + 256]
-            ids = self.raw([" " + " ".join(some)])[0]
-            cuts = [*(np.flatnonzero(self.opens[ids]) * width).tolist(), len(ids) * width]
-            if len(cuts) == len(some) + 1:
-                whole = ids.tobytes()
-                known.update(zip(some, [whole[i:j] for i, j in zip(cuts, cuts[1:])]))
+        if (path, width) not in _OF_WORKER:
+            _OF_WORKER[path, width] = Encoder(path, width)
+        return _OF_WORKER[path, width]
+
+    def raw(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, f"<u{self.width}").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def keep(self, pieces: list[str], ids: list[bytes]) -> None:
+        self.known.update(zip(pieces, ids, strict=True))
+        self.held += sum(map(len, pieces)) + sum(map(len, ids)) + _ENTRY * len(pieces)
+        if self.held > CACHE_BYTES:
+            self.older, self.known, self.held = self.known, {}, 0
+
+    def together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that begin with their only space or line end."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 64):  # the tokenizer's time grows faster than a text's length
+            some = pieces[at : at + 64]
+            whole = self.raw(["".join(some)])[0]
+            cuts = [*(np.flatnonzero(self.opens[np.frombuffer(whole, f"<u{self.width}")]) * self.width).tolist(), len(whole)]
+            out += [whole[i:j] for i, j in zip(cuts, cuts[1:])] if len(cuts) == len(some) + 1 else self.raw(some)
+        return out
+
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, kept or new."""
+        out = list(map(self.known.get, pieces))
+        lacking = [i for i, x in enumerate(out) if x is None]
+        if not lacking:
+            return out
+        found: dict[str, bytes] = {}
+        if self.older:
+            for i in lacking:
+                out[i] = self.older.get(pieces[i])
+            found = {pieces[i]: out[i] for i in lacking if out[i] is not None}
+            lacking = [i for i in lacking if out[i] is None]
+        known, tails, plain, odd = self.known, [], [], []
+        for i in lacking:
+            x = pieces[i]
+            if m := _TAIL(x):
+                tails.append((i, *m.groups()))
+            elif x[:1] in (" ", "\n") and x.split(None, 1) == [x[1:]]:
+                plain.append(x)
             else:
-                known.update(zip(some, [x.tobytes() for x in self.raw([f" {x}" for x in some])]))
-        new = list({tail for *_, tail in tails} - self.tails.keys())
-        self.tails.update(zip(new, [x.tobytes() for x in self.raw(new)]))
-        known.update([(x, known[head] + self.tails[tail]) for x, head, tail in tails])
+                odd.append(x)
+        simple = list(dict.fromkeys(plain + [h for _, h, _ in tails if h not in known and h not in found]))
+        found.update(zip(simple, self.together(simple), strict=True))
+        found.update(zip(odd, self.raw(odd), strict=True))
+        ends = list({t for *_, t in tails})
+        parts = dict(zip(ends, self.raw(ends), strict=True))
+        for i, h, t in tails:
+            found[pieces[i]] = (found[h] if h in found else known[h]) + parts[t]
+        for i in lacking:
+            out[i] = found[pieces[i]]
+        short = [x for x in found if len(x) <= _LONGEST]
+        self.keep(short, [found[x] for x in short])
+        return out
+
+    def together_cut(self, texts: list[str]) -> list[bytes]:
+        marked = pa.array(texts, pa.large_string())
+        runs = pc.any(pc.match_substring_regex(marked, _SPACE + r"[ \n]")).as_py()
+        if runs:  # a piece begins with the whole of a run of white space
+            marked = pc.replace_substring_regex(marked, _CUT, r"\1" + "\0" + r"\2")
+        else:
+            marked = pc.replace_substring(pc.replace_substring(marked, " ", "\0 "), "\n", "\0\n")
+        cut = pc.split_pattern(marked, "\0")
+        coded = pc.dictionary_encode(cut.flatten())
+        ids = self.ids_of(coded.dictionary.to_pylist())
+        which = coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        flat, starts = np.frombuffer(b"".join(ids), f"<u{self.width}"), np.cumsum(sizes) - sizes
+        own = sizes[which]
+        until = np.concatenate([np.zeros(1, np.int64), np.cumsum(own)])
+        whole = flat[np.repeat(starts[which] - until[:-1], own) + np.arange(until[-1])].tobytes()
+        edges = (until[cut.offsets.to_numpy()] * self.width).tolist()
+        return [whole[i:j] for i, j in zip(edges, edges[1:])]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > _CACHE:
-            known.clear()
-            self.tails.clear()
-        cut = [x.split(" ") for x in texts]
-        first = [x[0] for x in cut]
-        for x in cut:
-            del x[0]
-        held = set().union(*cut)
-        self.learn(list(held - known.keys()))
-        ids = {x: known[x] for x in held}.__getitem__  # small enough to stay near the processor
-        out: list[bytes | None] = []
-        for head, head_ids, rest in zip(first, self.raw(first), cut, strict=True):
-            try:
-                out.append(head_ids.tobytes() + b"".join(map(ids, rest)) if not rest or head and not head[-1].isspace() else None)
-            except TypeError:  # a piece that can't stand alone
-                out.append(None)
-        odd = [i for i, x in enumerate(out) if x is None]
-        for i, whole in zip(odd, self.raw([texts[i] for i in odd]), strict=True):
-            out[i] = whole.tobytes()
+        """Little-endian ids of each text. Texts are worked on about _CHUNK characters at a time."""
+        out: list[bytes] = []
+        begin, size = 0, 0
+        for at, text in enumerate(texts):
+            size += len(text)
+            if size < _CHUNK and at + 1 < len(texts):
+                continue
+            some = texts[begin : at + 1]
+            whole = [not self.parts or any(x in t for x in self.special) for t in some]
+            by_piece = iter(self.together_cut([t for t, w in zip(some, whole, strict=True) if not w]))
+            as_whole = iter(self.raw([t for t, w in zip(some, whole, strict=True) if w]))
+            out += [next(as_whole if w else by_piece) for w in whole]
+            begin, size = at + 1, 0
         return out
 
 
+_OF_WORKER: dict[tuple[str, int], Encoder] = {}
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, vocabulary: int = 50_257) -> int:
     """Write every document's ids in ascending order of ``id_col`` and return the bytes of
     an id: 2 if the vocabulary fits, else 4. A null text is empty and has only its end id.
 
     One file is one range of ids, sorted; a null id sorts first. Rows that repeat an id
-    follow each other, in order of their texts."""
+    follow each other, in order of a hash of their texts; one id's many rows can fill
+    several files, unless their texts are equal too."""
     width = 2 if max(vocabulary - 1, end_id) < 1 << 16 else 4
     end = end_id.to_bytes(width, "little")
     if end[-1] >= 0x80:  # the writer's line end, which is text
@@ -136,19 +198,19 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder.of_worker(tokenizer_path, width)
-        keys, lengths = [], []
+        keys, lengths, nulls = [], [], 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 512):
-                rows = encode([x or "" for x in texts[at : at + 512]])
-                lengths += [len(r) // width + 1 for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([r + end[:-1] for r in rows], pa.binary())], names=["row"])
-            keys.append(batch.column(0).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy())
+            rows = encode([x or "" for x in batch.column(1).to_pylist()])
+            lengths += [len(r) // width + 1 for r in rows]
+            nulls += batch.column(0).null_count
+            yield pa.RecordBatch.from_arrays([pa.array([r + end[:-1] for r in rows], pa.binary())], names=["row"])
+            keys.append(batch.column(0).cast(pa.int64()).fill_null(NULL_KEY).to_numpy())
         if lengths:  # the directory closes with a zero byte, or the end id's last byte
-            directory = np.concatenate(keys).astype("<i8").tobytes() + np.array(lengths, "<u4").tobytes() + struct.pack(_FOOT, len(lengths), width)
+            directory = np.concatenate(keys).astype("<i8").tobytes() + np.array(lengths, "<u4").tobytes() + struct.pack(_FOOT, len(lengths), width, nulls)
             yield pa.RecordBatch.from_arrays([pa.array([directory], pa.binary())], names=["row"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
+    rows = rows.repartitionByRange("key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
     rows = rows.mapInArrow(run, "row binary").select(F.col("row").cast("string").alias("row"))
     rows.write.option("lineSep", end[-1:].decode()).text(path)
     return width
@@ -159,30 +221,49 @@ def _open(path: str) -> pa.NativeFile:
     return fs.open_input_file(name)
 
 
+class _Shard:
+    """An open shard, its directory and how many of its documents have no id."""
+
+    def __init__(self, path: str) -> None:
+        self.file = _open(path)
+        size = self.file.size()
+        self.n = self.width = self.nulls = self.at = 0
+        if size > _FOOT_BYTES:
+            self.n, self.width, self.nulls = struct.unpack(_FOOT, self.bytes(size - _FOOT_BYTES - 1, _FOOT_BYTES))
+            self.at = size - _FOOT_BYTES - 1 - 12 * self.n
+
+    def bytes(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
+
+    def keys(self, first: int, n: int) -> np.ndarray:
+        return np.frombuffer(self.bytes(self.at + 8 * first, 8 * n), "<i8")
+
+    def lengths(self, first: int, n: int) -> np.ndarray:
+        return np.frombuffer(self.bytes(self.at + 8 * self.n + 4 * first, 4 * n), "<u4").astype(np.int64)
+
+
+def shard_files(spark: SparkSession, path: str) -> DataFrame:
+    """(part: int, path): the shards, numbered in order of their documents."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.where("length > 0").select(F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("int").alias("part"), "path")
+
+
 def read_directories(spark: SparkSession, path: str) -> DataFrame:
-    """(shard: path, at: int, key, offset: bytes, n_tokens, width) of every document, in
-    file order. Only the ends of the files are read."""
+    """(part, at: number of the document in its shard, key, offset: bytes, n_tokens, width)
+    of every document, in file order. Only the ends of the files are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                with _open(name) as f:
-                    size = f.size()
-                    if size < _FOOT_BYTES + 1:
-                        continue
-                    f.seek(size - _FOOT_BYTES - 1)
-                    n, width = struct.unpack(_FOOT, f.read(_FOOT_BYTES))
-                    f.seek(size - _FOOT_BYTES - 1 - 12 * n)
-                    raw = f.read(12 * n)
-                keys, lengths = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64)
-                offsets = (np.cumsum(lengths) - lengths) * width
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * n), pa.array(np.arange(n), pa.int64()), pa.array(keys), pa.array(offsets), pa.array(lengths), pa.array(np.full(n, width, np.int64))],
-                    names=["shard", "at", "key", "offset", "n_tokens", "width"],
-                )
-
-    files = spark.read.format("binaryFile").load(path).select("path")
-    return files.mapInArrow(run, "shard string, at bigint, key bigint, offset bigint, n_tokens bigint, width bigint")
+            for part, name in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                shard = _Shard(name)
+                with shard.file:
+                    n, keys, lengths = shard.n, shard.keys(0, shard.n), shard.lengths(0, shard.n)
+                offsets = (np.cumsum(lengths) - lengths) * shard.width
+                columns = [np.full(n, part, np.int32), np.arange(n), keys, offsets, lengths, np.full(n, shard.width)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "at", "key", "offset", "n_tokens", "width"])
+
+    return shard_files(spark, path).mapInArrow(run, "part int, at bigint, key bigint, offset bigint, n_tokens bigint, width bigint")
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -257,40 +338,42 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (_mix(keys, 0) >> np.uint64(32)).astype(np.uint32)
 
 
-INDEX = "bucket int, n bigint, seed int, d0 binary, d1 binary, prints binary, shard array<string>, offset array<bigint>, n_tokens array<array<bigint>>, start array<bigint>, width bigint"
+#: By slot of a bucket: the place of the key's first document, and how many documents of the key follow in the shard.
+_SLOT = {"part": "<i4", "at": "<i8", "offset": "<i8", "start": "<i8", "n_tokens": "<i8", "copies": "<i8"}
+_PLACE = "part int, at bigint, offset bigint, start bigint, n_tokens bigint, copies bigint"
+INDEX = f"bucket int, n bigint, seed int, d0 binary, d1 binary, prints binary, {', '.join(f'{c} binary' for c in _SLOT)}, more array<struct<slot: bigint, places: array<struct<{_PLACE.replace(' ', ': ').replace(',:', ',')}>>>>"
 
 
-def build_index(directories: DataFrame, buckets: int) -> DataFrame:
-    """The index table: a row for each bucket of keys. By slot it holds the fingerprint,
-    the shard, the place of the first id in the shard (bytes) and in all shards (ids), and
-    the lengths of the documents with that key, which follow each other.
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
 
-    Shards are few next to documents, so their running totals are one small window."""
-    from pyspark.sql import Window
 
-    totals = directories.groupBy("shard").agg(F.sum("n_tokens").alias("ids"))
-    before = totals.select("shard", (F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("ids")).alias("before"))
-    rows = directories.join(before, "shard").withColumn("start", F.col("before") + F.col("offset") / F.col("width"))
-    keyed = rows.groupBy("key").agg(F.min(F.struct("start", "shard", "offset", "width")).alias("f"), F.sort_array(F.collect_list(F.struct("start", "n_tokens"))).alias("all"))
-    keyed = keyed.select("key", "f.shard", "f.offset", F.col("f.start").cast("long").alias("start"), "f.width", F.col("all.n_tokens").alias("n_tokens"))
+def build_index(directories: DataFrame, buckets: int) -> DataFrame:
+    """The index table, a row for each bucket of keys.
+
+    Shards are numbered in order of their documents, so their running totals, which are
+    few next to documents, give every document's place among all ids. A key's documents
+    in one shard are one place; the places of a key in further shards are listed in
+    ``more``."""
+    totals = directories.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
+    before = totals.select("part", (F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("ids")).alias("before"))
+    places = directories.groupBy("key", "part").agg(F.min(F.struct("at", "offset", "n_tokens", "width")).alias("f"), F.count(F.lit(1)).alias("copies")).join(before, "part")
+    place = F.struct("part", F.col("f.at").alias("at"), F.col("f.offset").alias("offset"), (F.col("before") + (F.col("f.offset") / F.col("f.width")).cast("long")).alias("start"), F.col("f.n_tokens").alias("n_tokens"), "copies")
+    keyed = places.groupBy("key").agg(F.sort_array(F.collect_list(place)).alias("places"))
+    keyed = keyed.select("key", "places", F.col("places")[0].alias("p")).select("key", "p.*", F.when(F.size("places") > 1, F.slice("places", 2, 1 << 30)).alias("rest"), bucket_of(buckets).alias("bucket"))
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
+        hashed = PerfectHash.build(rows["key"].to_numpy().astype(np.int64).view(np.uint64))
+        rows = rows.take(pa.array(np.argsort(hashed.slots(rows["key"].to_numpy().astype(np.int64).view(np.uint64)))))
         keys = rows["key"].to_numpy().astype(np.int64).view(np.uint64)
-        hashed = PerfectHash.build(keys)
-        by_slot = pa.array(np.argsort(hashed.slots(keys)))
-        rows = rows.take(by_slot).combine_chunks()
-        prints = fingerprints(rows["key"].to_numpy().astype(np.int64).view(np.uint64))
-        one = {
-            "bucket": [key[0].as_py()], "n": [hashed.n], "seed": [hashed.seed], "d0": [hashed.d0.tobytes()], "d1": [hashed.d1.tobytes()], "prints": [prints.tobytes()],
-            "shard": [rows["shard"].to_pylist()], "offset": [rows["offset"].to_pylist()], "n_tokens": [rows["n_tokens"].to_pylist()], "start": [rows["start"].to_pylist()], "width": [rows["width"][0].as_py()],
-        }
-        return pa.table(one, schema=pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("seed", pa.int32()), ("d0", pa.binary()), ("d1", pa.binary()), ("prints", pa.binary()), ("shard", pa.list_(pa.string())), ("offset", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.list_(pa.int64()))), ("start", pa.list_(pa.int64())), ("width", pa.int64())]))
-
-    return keyed.withColumn("bucket", bucket_of(buckets)).groupBy("bucket").applyInArrow(run, INDEX)
-
+        further = np.flatnonzero(rows["rest"].is_valid().to_numpy()).tolist()
+        one = {"bucket": key[0].as_py(), "n": hashed.n, "seed": hashed.seed, "d0": hashed.d0.tobytes(), "d1": hashed.d1.tobytes(), "prints": fingerprints(keys).tobytes()}
+        one |= {c: rows[c].to_numpy().astype(kind).tobytes() for c, kind in _SLOT.items()}
+        one["more"] = [{"slot": i, "places": rows["rest"][i].as_py()} for i in further]
+        return pa.Table.from_pylist([one], schema=to_arrow_schema(schema))
 
-def bucket_of(buckets: int):
-    return F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+    schema = StructType.fromDDL(INDEX)
+    return keyed.groupBy("bucket").applyInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -301,56 +384,81 @@ class Store:
     index_path: str
     buckets: int
 
+    def index_for(self, keyed: DataFrame) -> DataFrame:
+        """The index; for keys (key, bucket) of a few buckets, only those are read."""
+        index = keyed.sparkSession.read.schema(f"{INDEX}, piece int").parquet(self.index_path)
+        wanted = [r.bucket for r in keyed.select("bucket").distinct().limit(PRUNED + 1).collect()]
+        if len(wanted) <= PRUNED:
+            index = index.where(F.col("piece").isin(sorted({b % INDEX_PIECES for b in wanted})) & F.col("bucket").isin(wanted))
+        return index.drop("piece")
+
     def look_up(self, keys: DataFrame) -> DataFrame:
-        """(key, shard, offset, start, n_tokens, width), a row for each document of each of
-        ``keys`` (key: long, distinct); none for a key that isn't in the index."""
-        index = keys.sparkSession.read.parquet(self.index_path)
+        """(key, part, at, offset, start, n_tokens, copies), a row for each shard that holds
+        documents of each of ``keys`` (key: long, distinct). A key that isn't in the index
+        has none, or, if its fingerprint is another key's, one that ``read`` leaves out."""
+        names = ["key", *_SLOT]
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            columns: list[list] = [[] for _ in range(6)]
+            columns = [np.zeros(0, np.int64) for _ in names]
             if right.num_rows and left.num_rows:
-                row = right.to_pylist()[0]
+                row = {c: right[c][0].as_py() for c in right.column_names}
                 keys = left["key"].to_numpy().astype(np.int64)
                 hashed = PerfectHash(row["n"], row["seed"], np.frombuffer(row["d0"], np.int32), np.frombuffer(row["d1"], np.int32))
                 slots = hashed.slots(keys.view(np.uint64))
                 known = np.frombuffer(row["prints"], np.uint32)[slots] == fingerprints(keys.view(np.uint64))
-                for key, slot in zip(keys[known].tolist(), slots[known].tolist(), strict=True):
-                    offset, start = row["offset"][slot], row["start"][slot]
-                    for n in row["n_tokens"][slot]:
-                        for c, v in zip(columns, (key, row["shard"][slot], offset, start, n, row["width"]), strict=True):
-                            c.append(v)
-                        offset, start = offset + n * row["width"], start + n
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "shard", "offset", "start", "n_tokens", "width"])
-
-        keyed = keys.withColumn("bucket", bucket_of(self.buckets))
-        return keyed.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(run, "key bigint, shard string, offset bigint, start bigint, n_tokens bigint, width bigint")
+                keys, slots = keys[known], slots[known]
+                columns = [keys, *[np.frombuffer(row[c], kind)[slots] for c, kind in _SLOT.items()]]
+                if row["more"]:
+                    asked = dict(zip(slots.tolist(), keys.tolist(), strict=True))
+                    rest = [(asked[m["slot"]], *[place[c] for c in _SLOT]) for m in row["more"] if m["slot"] in asked for place in m["places"]]
+                    columns = [np.concatenate([c, np.array(r, np.int64)]) for c, r in zip(columns, zip(*rest, strict=True), strict=True)] if rest else columns
+            return pa.table({c: pa.array(v, pa.int32() if c == "part" else pa.int64()) for c, v in zip(names, columns, strict=True)})
+
+        keyed = keys.select("key", bucket_of(self.buckets).alias("bucket"))
+        return keyed.groupBy("bucket").cogroup(self.index_for(keyed).groupBy("bucket")).applyInArrow(run, f"key bigint, {_PLACE}")
 
     def read(self, keys: DataFrame, with_ids: bool = True) -> DataFrame:
-        """``look_up`` with ids (array<int>, unless ``with_ids`` is off) and ids_crc32 (long:
-        crc32 of the ids as little-endian unsigned 32-bit integers). A task reads its
-        places in order of shard and offset, opening each shard once."""
+        """(key, part, start, n_tokens, ids_crc32: crc32 of the ids as little-endian unsigned
+        32-bit integers) for every document of ``keys``, with ids (array<int>) unless
+        ``with_ids`` is off. Documents without an id are found under NULL_KEY and have a
+        null key. A task reads its places in order, opening each shard once a batch."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            name, file = None, None
             for batch in batches:
-                sums, ids = [], []
-                for shard, offset, n, width in zip(*[batch.column(c).to_pylist() for c in ("shard", "offset", "n_tokens", "width")], strict=True):
-                    if shard != name:
-                        if file is not None:
-                            file.close()
-                        name, file = shard, _open(shard)
-                    file.seek(offset)
-                    got = np.frombuffer(file.read(n * width), f"<u{width}").astype("<u4")
-                    sums.append(zlib.crc32(got.tobytes()))
-                    if with_ids:
-                        ids.append(got.astype(np.int32))
-                out = [batch.column(c) for c in ("key", "shard", "offset", "start", "n_tokens")] + [pa.array(sums, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(ids, pa.list_(pa.int32()))] if with_ids else out, names=["key", "shard", "offset", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
-
-        places = self.look_up(keys)
-        places = places.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
-        return places.mapInArrow(run, "key bigint, shard string, offset bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
+                table = {c: batch.column(c).to_numpy() for c in ("key", *_SLOT)}
+                paths = batch.column("path").to_pylist()
+                cuts = [0, *(np.flatnonzero(np.diff(table["part"])) + 1).tolist(), batch.num_rows]
+                for i, j in zip(cuts, cuts[1:]):
+                    if i < j:
+                        shard = _Shard(paths[i])
+                        with shard.file:
+                            yield from documents(shard, {c: v[i:j] for c, v in table.items()})
+
+        def documents(shard: _Shard, t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            low, high = int(t["at"].min()), int((t["at"] + t["copies"]).max())
+            keys, lengths = shard.keys(low, high - low), shard.lengths(low, high - low)
+            real = keys[t["at"] - low] == t["key"]
+            key, at, offset, start, copies = (t[c][real] for c in ("key", "at", "offset", "start", "copies"))
+            out: list[tuple] = []
+            for k, first, byte, before, n in zip(key.tolist(), at.tolist(), offset.tolist(), start.tolist(), copies.tolist(), strict=True):
+                for doc in range(first, first + n):
+                    size = int(lengths[doc - low])
+                    ids = np.frombuffer(shard.bytes(byte, size * shard.width), f"<u{shard.width}").astype("<u4")
+                    out.append((None if doc < shard.nulls else k, before, size, zlib.crc32(ids.tobytes()), ids.astype(np.int32) if with_ids else None))
+                    byte, before = byte + size * shard.width, before + size
+                    if len(out) == 4096:
+                        yield batch_of(out, int(t["part"][0]))
+                        out = []
+            yield batch_of(out, int(t["part"][0]))
+
+        def batch_of(rows: list[tuple], part: int) -> pa.RecordBatch:
+            key, start, n, sums, ids = zip(*rows, strict=True) if rows else ((),) * 5
+            columns = [pa.array(key, pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(sums, pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))] if with_ids else columns, names=["key", "part", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
+
+        places = self.look_up(keys).join(shard_files(keys.sparkSession, self.path), "part")
+        places = places.repartitionByRange("part", "offset").sortWithinPartitions("part", "offset")
+        return places.mapInArrow(run, "key bigint, part int, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, vocabulary: int = 50_257) -> Store:
@@ -361,5 +469,6 @@ def write_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     write_shards(docs, tokenizer_path, path, id_col, text_col, end_id, vocabulary)
     directories = read_directories(spark, path)
     buckets = max(1, -(-directories.count() // BUCKET_KEYS))
-    build_index(directories, buckets).write.parquet(index_path)
+    index = build_index(directories, buckets).withColumn("piece", F.col("bucket") % INDEX_PIECES)
+    index.repartition("piece").sortWithinPartitions("piece", "bucket").write.partitionBy("piece").parquet(index_path)
     return Store(path, index_path, buckets)

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,12 +11,11 @@ from cinequarry.llm import tokens
 from cinequarry.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["", " ", "  ", "a  b", "a   b", " lead", "trail ", "a\n b", "a \nb", "don't stop's 'll", "word. word, word! word!!! naïve, naïve. a_b, x's. x', ×. a×. ½. a½, 3. a3. ª, aª.", "x\x85 y", "x\x1c y", " \x1c z", "12 345 6!? ..", "é è  ü", "<|endoftext|> a", "\tq", "日本 語 テキスト", "a  b", "#", "w " * 3000, " \n", "end.\nNew line 's"]
+ODD = ["", " ", "  ", "a  b", "a   b", " lead", "trail ", "a\n b", "a \nb", "don't stop's 'll", "word. word, word! word!!! naïve, naïve. a_b, x's. x', ×. a×. ½. a½, 3. a3. ª, aª.", "x\x85 y", "x\x1c y", " \x1c z", "12 345 6!? ..", "é è  ü", "<|endoftext|> a", "a <|endoftext|> b", "a\x00 b", "\n\nTitle\n\n\n Body", "\tq", "日本 語 テキスト", "a  b", "#", "w " * 3000, " \n", "end.\nNew line 's"]
 
 
 def whole():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -32,13 +32,54 @@ def test_query(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, start long, shard string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(map(tuple, QUERIES["op3_token_shards"](spark, str(tmp_path)).collect()), key=lambda r: r[1])
     encode, want, start = whole(), [], 0
-    for doc_id, text in sorted([r[:2] for r in rows], key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for doc_id, text, *_ in spark.read.parquet(f"{tmp_path}/documents.parquet").orderBy("doc_id", F.xxhash64("text"), "text").collect():
         ids = np.array([*encode(text), 2], "<u4")
         want.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert got == want
 
 
+def test_special_token_is_the_librarys(spark):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    row = tokens.write_store(docs, PATH).read(docs.select(F.col("doc_id").alias("key"))).first()
+    assert row.ids == [64, 220, 50256, 275, 2]
+
+
+def test_one_key_reads_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "BUCKET_KEYS", 100)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    store = tokens.write_store(docs, PATH)
+    one = spark.createDataFrame([(17,)], "key long")
+    index = store.index_for(one.select("key", tokens.bucket_of(store.buckets).alias("bucket")))
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert store.buckets == 30 and index.count() == 1
+    assert re.search(r"PartitionFilters: \[isnotnull\(piece#\d+\), \(piece#\d+ = \d+\)\]", plan) and "PushedFilters: [IsNotNull(bucket), EqualTo(bucket," in plan
+    assert [r.ids for r in store.read(one).collect()] == [[*whole()("text 17"), 2]]
+
+
+def test_hot_and_least_ids(spark):
+    """One id's rows fill several shards; the least long and a missing id keep apart."""
+    hot = [(7, f"copy {i}") for i in range(4000)]
+    docs = spark.createDataFrame([(-(1 << 63), "least"), (None, "none"), (9, "other"), *hot], "doc_id long, text string")
+    store = tokens.write_store(docs, PATH)
+    keys = docs.select(F.coalesce("doc_id", F.lit(tokens.NULL_KEY)).alias("key")).distinct()
+    got = store.read(keys).collect()
+    assert len({r.part for r in got if r.key == 7}) > 1
+    encode = whole()
+    assert sorted([(r.key, tuple(r.ids)) for r in got], key=str) == sorted([(i, (*encode(t), 2)) for i, t in [(-(1 << 63), "least"), (None, "none"), (9, "other"), *hot]], key=str)
+    spans = sorted((r.start, r.n_tokens) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
+
+
+def test_cache_gives_up_old_pieces(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 20_000)
+    encode, want = tokens.Encoder(PATH, 2), whole()
+    for k in range(30):
+        texts = [f"word{i} and word{i + k}, then" for i in range(k, k + 60)]
+        assert [np.frombuffer(x, "<u2").tolist() for x in encode(texts)] == [want(x) for x in texts]
+        assert len(encode.known) + len(encode.older) < 400
+
+
 def test_store_keyed_access(spark):
     docs = spark.range(3000).select((F.col("id") * 1_000_003 - 500_000_000).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
     store = tokens.write_store(docs, PATH)
