@@ -59,14 +59,16 @@ def test_one_key_reads_one_bucket(spark, monkeypatch):
 
 def test_hot_and_least_ids(spark):
     """One id's rows fill several shards; the least long and a missing id keep apart."""
-    hot = [(7, f"copy {i}") for i in range(4000)]
-    docs = spark.createDataFrame([(-(1 << 63), "least"), (None, "none"), (9, "other"), *hot], "doc_id long, text string")
+    hot = [(7, f"copy {i} {'long ' * 200}") for i in range(4000)]
+    docs = spark.createDataFrame([(-(1 << 63), "least"), (None, "none"), (9, "other"), *hot], "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     store = tokens.write_store(docs, PATH)
     keys = docs.select(F.coalesce("doc_id", F.lit(tokens.NULL_KEY)).alias("key")).distinct()
     got = store.read(keys).collect()
     assert len({r.part for r in got if r.key == 7}) > 1
     encode = whole()
     assert sorted([(r.key, tuple(r.ids)) for r in got], key=str) == sorted([(i, (*encode(t), 2)) for i, t in [(-(1 << 63), "least"), (None, "none"), (9, "other"), *hot]], key=str)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     spans = sorted((r.start, r.n_tokens) for r in got)
     assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
 
