@@ -6,26 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import WORD_SEPARATOR, materialize
 
-#: Leading tokens that, after the token count, lead to a leaf of the tree.
+#: Leading tokens that, after the token count, lead to a node of the tree.
 DEPTH = 4
-#: Share of a template's tokens that a line must have in place to belong to it.
+#: Runs into which the other tokens are cut. A template fixes all of them but one.
+RUNS = 3
+#: Share of a line's tokens that have to be fixed; a line with fewer is its own template, digits and all.
 SIMILARITY = 0.6
-#: Lines of LONG tokens or more recur from MIN_DOCS documents on, shorter ones from MIN_DOCS_SHORT; those under SHORTEST never do.
-LONG, MIN_DOCS = 16, 2
-SHORTEST, MIN_DOCS_SHORT = 3, 8
-#: Least share of its words that a document has to keep: it goes as a whole if no word is left, and any one is enough to stay.
-LEAST_KEPT = 1e-9
-#: Distinct lines of a leaf that one task places.
-LEAF_LINES = 50_000
-
-
-#: Texts are taken together up to this many characters.
+#: Fixed tokens that a recurring template must have repeated: tokens * (documents - 1).
+EVIDENCE = 16
+#: Texts are taken together up to this many bytes; a longer one is read in slices.
 _CHUNK = 1 << 20
 _BASE, _SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -52,47 +47,73 @@ class _Runs:
         return _mixed((sums[ends] - sums[starts]) * self.down[starts])
 
 
-def _read_lines(texts: list[str], runs: _Runs, shortest: int, depth: int, similarity: float) -> tuple[np.ndarray, ...]:
-    """Row, line, leaf, code, and start and end among ``tokens`` of every line of at least
-    ``shortest`` tokens; and ``tokens``, 16-bit codes of which 0 is a token with a digit.
-    A line with less than ``similarity`` of its tokens fixed has the code of its unmasked
-    text and a leaf of its own, so that only equal ones recur."""
+def _blank(raw: np.ndarray) -> np.ndarray:
+    return (raw == 32) | ((raw >= 9) & (raw <= 13))
+
+
+def _tokens(raw: np.ndarray, runs: _Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, line and whether it holds a digit of every token. Slices end at white space."""
+    parts, at, line = [], 0, 0
+    while at < len(raw):
+        end = at + _CHUNK
+        while end < len(raw) and not _blank(raw[end - 1 : end]).any():
+            more = np.flatnonzero(_blank(raw[end : end + _CHUNK]))
+            end += int(more[0]) + 1 if len(more) else _CHUNK
+        some = raw[at:end]
+        word = np.zeros(len(some) + 2, np.int8)
+        word[1:-1] = ~_blank(some)
+        edge = np.diff(word)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        digits = np.concatenate([np.zeros(1, np.int64), np.cumsum((some >= 48) & (some <= 57))])
+        breaks = np.flatnonzero(some == 10)
+        parts.append((runs(some.astype(np.uint64) + np.uint64(1), starts, ends), line + np.searchsorted(breaks, starts), digits[ends] > digits[starts]))
+        at, line = end, line + len(breaks)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))
+
+
+def _places(texts: list[str], runs: _Runs, depth: int, similarity: float) -> tuple[np.ndarray, ...]:
+    """Row, line, node, fixed tokens and whether it is the first of its document, for every
+    line with a token and each of its templates."""
     raw = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
     counts = np.fromiter((x.count("\n") + 1 for x in texts), np.int64, len(texts))
     row = np.repeat(np.arange(len(texts)), counts)
     line = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    word = np.zeros(len(raw) + 2, np.int8)
-    word[1:-1] = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    edge = np.diff(word)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    digits = np.concatenate([np.zeros(1, np.int64), np.cumsum((raw >= 48) & (raw <= 57))])
-    hashes = runs(raw.astype(np.uint64) + np.uint64(1), starts, ends)
-    variable = digits[ends] > digits[starts]
-    unmasked = hashes.copy()
-    hashes[variable] = 0
-    tokens = np.where(variable, 0, hashes % np.uint64(65535) + np.uint64(1)).astype("<u2")
-    sizes = np.bincount(np.searchsorted(np.flatnonzero(raw == 10), starts), minlength=len(row))
+    hashes, of_line, variable = _tokens(raw, runs)
+    sizes = np.bincount(of_line, minlength=len(row))
     until = np.cumsum(sizes)
-    keep = sizes >= shortest
-    row, line, sizes, until = row[keep], line[keep], sizes[keep], until[keep]
+    some = sizes > 0
+    row, line, sizes, until = row[some], line[some], sizes[some], until[some]
     since = until - sizes
-    code = runs(hashes, since, until) ^ _mixed(sizes.astype(np.uint64))
-    leaf = sizes.astype(np.uint64)
-    for k in range(depth):
-        inside = since + k < until
-        leaf = _mixed(leaf * np.uint64(_BASE) + np.where(inside, tokens[np.where(inside, since + k, 0)] if len(tokens) else 0, 0).astype(np.uint64))
     open_fields = np.concatenate([np.zeros(1, np.int64), np.cumsum(variable)])
-    loose = sizes - (open_fields[until] - open_fields[since]) < similarity * sizes
-    if loose.any():
-        code[loose] = _mixed(runs(unmasked, since[loose], until[loose]) ^ _mixed(sizes[loose].astype(np.uint64)))
-        leaf[loose] = _mixed(code[loose])
-    return row, line, leaf.view(np.int64), code.view(np.int64), since, until, tokens
-
-
-def lines_of(docs: DataFrame, id_col: str, text_col: str, shortest: int = SHORTEST, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, line: int, first: int, leaf: long, code: long, tokens: binary) for every
-    line of at least ``shortest`` tokens: its leaf in the tree, a hash of its whole
-    masked text (unmasked, if few tokens are fixed), the codes of its tokens, and 1 for its first place in the document."""
+    fields = lambda i, j: open_fields[j] - open_fields[i]
+    loose = sizes - fields(since, until) < similarity * sizes
+    masked = np.where(variable, np.uint64(0), hashes)
+    lead = since + np.minimum(depth, sizes)
+    cuts = [lead + (until - lead) * i // RUNS for i in range(RUNS + 1)]
+    start = _mixed(runs(masked, since, lead) ^ _mixed(sizes.astype(np.uint64)))
+    told = [runs(masked, cuts[i], cuts[i + 1]) for i in range(RUNS)]
+    nodes, fixed = [], []
+    for left_out in range(RUNS):
+        node, n = start, (lead - since) - fields(since, lead)
+        for i in range(RUNS):
+            node = _mixed(node * np.uint64(_BASE) + (np.uint64(left_out + 1) if i == left_out else told[i]))
+            n = n + (0 if i == left_out else cuts[i + 1] - cuts[i] - fields(cuts[i], cuts[i + 1]))
+        nodes.append(node[~loose])
+        fixed.append(n[~loose])
+    nodes.append(_mixed(runs(hashes, since[loose], until[loose]) ^ _mixed(sizes[loose].astype(np.uint64) + np.uint64(_SPREAD))))
+    fixed.append(sizes[loose])
+    row = np.concatenate([*[row[~loose]] * RUNS, row[loose]])
+    line = np.concatenate([*[line[~loose]] * RUNS, line[loose]])
+    node = np.concatenate(nodes).view(np.int64)
+    first = np.zeros(len(row), np.int32)
+    order = np.lexsort((node, row))
+    first[order] = np.concatenate([[1], (np.diff(row[order]) != 0) | (np.diff(node[order]) != 0)])[: len(row)]
+    return row, line.astype(np.int32), node, np.concatenate(fixed).astype(np.int32), first
+
+
+def places_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, line: int, node: long, fixed: int, first: int): the templates of every line
+    with a token, RUNS for each. Rows without an id are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = _Runs()
@@ -103,136 +124,61 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, shortest: int = SHORTE
                 held += len(text)
                 if held < _CHUNK and at + 1 < len(texts):
                     continue
-                row, line, leaf, code, since, until, tokens = _read_lines(texts[begin : at + 1], runs, shortest, depth, similarity)
-                whole = tokens.tobytes()
-                raw = [whole[i:j] for i, j in zip((2 * since).tolist(), (2 * until).tolist(), strict=True)]
-                first = np.zeros(len(row), np.int32)
-                first[np.unique(np.stack([row, code]), axis=1, return_index=True)[1]] = 1
-                columns = [batch.column(0).take(pa.array(row + begin)), pa.array(line.astype(np.int32)), pa.array(first), pa.array(leaf), pa.array(code), pa.array(raw, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "line", "first", "leaf", "code", "tokens"])
+                row, *columns = _places(texts[begin : at + 1], runs, depth, similarity)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + begin)), *map(pa.array, columns)], names=["id", "line", "node", "fixed", "first"])
                 begin, held = at + 1, 0
 
     kind = docs.schema[id_col].dataType.simpleString()
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return named.mapInArrow(run, f"id {kind}, line int, first int, leaf bigint, code bigint, tokens binary")
-
-
-class Leaf:
-    """Templates of one leaf. Variable fields are 0 in a template and match any token."""
-
-    def __init__(self, similarity: float) -> None:
-        self.similarity, self.n = similarity, 0
-        self.rows = np.zeros((0, 0), np.uint16)
-
-    def place(self, line: np.ndarray) -> int:
-        """The template with most tokens in place, the oldest of equals, made more
-        general where the line differs; a new one if none is similar enough."""
-        if self.n:
-            known = self.rows[: self.n]
-            same = ((known == line) & (known != 0)).sum(axis=1)
-            fixed = (known != 0).sum(axis=1)
-            good = (same >= self.similarity * len(line)) | (same == fixed)
-            if good.any():
-                best = int(np.where(good, same, -1).argmax())
-                self.rows[best][known[best] != line] = 0
-                return best
-        if self.n == len(self.rows):
-            self.rows = np.concatenate([self.rows.reshape(-1, len(line)), np.zeros((max(4, self.n), len(line)), np.uint16)])
-        self.rows[self.n] = line
-        self.n += 1
-        return self.n - 1
-
-
-def _grown(rows: DataFrame, keys: list[str], similarity: float, kind: str) -> DataFrame:
-    """Places (keys..., code, tokens, least, docs, hot), dealt by ``keys`` and in order of
-    (least, code), into a leaf for each key: (leaf, code, template: long, size: int, least,
-    docs, tokens). Of a hot leaf its templates follow, as rows without a code that hold
-    their tokens. What a task holds is a leaf's templates, never its lines."""
+    return named.mapInArrow(run, f"id {kind}, line int, node bigint, fixed int, first int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tree, hot = None, Leaf(similarity), False
 
-        def name(i: int) -> int:
-            return xxhash.xxh64_intdigest(i.to_bytes(8, "little") + b"".join(k.to_bytes(8, "little", signed=True) for k in key)) - (1 << 63)
+def recurring(places: DataFrame, evidence: int = EVIDENCE) -> DataFrame:
+    """(node, least_id): templates that recur across documents. A template is in a document
+    once, however many of its lines are; the documents have two ids at least."""
+    nodes = places.groupBy("node").agg(F.min("id").alias("least_id"), F.max("id").alias("most_id"), F.sum("first").alias("docs"), F.max("fixed").alias("fixed"))
+    return nodes.where((F.col("least_id") < F.col("most_id")) & (F.col("fixed") * (F.col("docs") - 1) >= evidence)).select("node", "least_id")
 
-        def templates() -> list[tuple]:
-            return [(key[0], None, name(i), tree.rows.shape[1], None, 0, tree.rows[i].tobytes()) for i in range(tree.n)] if hot else []
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), least_type, pa.int64(), pa.binary()), strict=True)], names=["leaf", "code", "template", "size", "least", "docs", "tokens"])
+@F.arrow_udf(StringType())
+def _without(texts: pa.Array, lines: pa.Array) -> pa.Array:
+    out = []
+    for text, gone in zip(texts.to_pylist(), lines.to_pylist(), strict=True):
+        if gone is not None:
+            parts, lost = text.split("\n"), set(gone)
+            text = "\n".join([x for i, x in enumerate(parts) if i not in lost])
+        out.append(text)
+    return pa.array(out, pa.string())
 
-        least_type = pa.int64()
-        for batch in batches:
-            least_type = batch.schema.field("least").type
-            got = zip(*[batch.column(c).to_pylist() for c in (*keys, "code", "tokens", "least", "docs", "hot")], strict=True)
-            out = []
-            for *own, code, raw, least, docs, is_hot in got:
-                if own != key:
-                    out += templates()
-                    key, tree, hot = own, Leaf(similarity), is_hot
-                line = np.frombuffer(raw, "<u2")
-                out.append((own[0], code, name(tree.place(line)), len(line), least, docs, None))
-            if out:
-                yield batch_of(out)
-        if rest := templates():
-            yield batch_of(rest)
-
-    dealt = rows.select(*keys, "code", "tokens", "least", "docs", "hot").repartition(*keys).sortWithinPartitions(*keys, "least", "code")
-    return dealt.mapInArrow(run, f"leaf bigint, code bigint, template bigint, size int, least {kind}, docs bigint, tokens binary")
-
-
-def line_templates(distinct: DataFrame, similarity: float = SIMILARITY, leaf_lines: int = LEAF_LINES) -> DataFrame:
-    """(code, template: long, size: int, least, docs) of distinct lines (leaf, code, tokens, least, docs).
-
-    A leaf with more than ``leaf_lines`` distinct lines is grown in parts, dealt by the
-    lines' codes; then the parts' templates, which are few, are placed into one leaf as if
-    they were lines, and equal ones become one."""
-    kind = distinct.schema["least"].dataType.simpleString()
-    hot = distinct.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / leaf_lines).cast("long").alias("parts")).where("parts > 1")
-    rows = distinct.join(materialize(hot, "hot-leaves"), "leaf", "left").withColumn("hot", F.col("parts").isNotNull())
-    rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("code"), F.col("parts")), F.lit(0)))
-    grown = materialize(_grown(rows, ["leaf", "part"], similarity, kind), "templates")
-    parts = grown.where("tokens is not null").select("leaf", F.col("template").alias("code"), "tokens", "least", "docs", F.lit(False).alias("hot"))
-    whole = materialize(_grown(parts, ["leaf"], similarity, kind).select(F.col("code").alias("template"), F.col("template").alias("whole")), "whole-templates")
-    return grown.where("code is not null").join(whole, "template", "left").select("code", F.coalesce("whole", "template").alias("template"), "size", "least", "docs")
-
-
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id, lines: array<int>): the lines that each document loses. A line goes if its
-    template recurs in enough documents, but for the document with the least id."""
-    lines = materialize(lines_of(docs, id_col, text_col, similarity=similarity), "lines")
-    distinct = lines.groupBy("leaf", "code", "tokens").agg(F.min("id").alias("least"), F.sum("first").alias("docs"))
-    named = materialize(line_templates(materialize(distinct, "distinct-lines"), similarity), "line-templates")
-    recurring = named.groupBy("template").agg(F.min("least").alias("least_id"), F.sum("docs").alias("in_docs"), F.max("size").alias("n"))
-    recurring = recurring.where(F.when(F.col("n") >= LONG, F.col("in_docs") >= MIN_DOCS).otherwise(F.col("in_docs") >= MIN_DOCS_SHORT))
-    codes = materialize(named.join(materialize(recurring, "recurring-templates"), "template").select("code", "least_id").groupBy("code").agg(F.min("least_id").alias("least_id")), "recurring-lines")
-    gone = lines.select("id", "line", "code").join(codes, "code").where(F.col("id") != F.col("least_id"))
-    return gone.groupBy("id").agg(F.collect_list("line").alias("lines"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, evidence: int = EVIDENCE, keep_first: bool = False) -> DataFrame:
     """``docs`` with the text of their remaining lines, and n_lines, n_dropped (long) and
     kept_words, all_words (long).
 
     Lines end at ``\\n``; a token is a run without ASCII white space; tokens with a digit
-    are variable fields. A leaf of the tree holds the lines of one token count with the
-    same leading tokens; within it, lines with at least ``similarity`` of their tokens in
-    place share a template, whose other places become variable (a leaf of more than
-    LEAF_LINES distinct lines is grown in parts that are then joined). Lines with fewer
-    fixed tokens than that, such as rows of numbers, recur only if they are equal. Documents that hold a
-    template are counted once for each distinct line of it. Null texts stay null, rows
-    without an id stay whole, and rows that repeat an id count as one document. Other
-    columns pass through; columns of the names above are replaced, and those named _id,
-    _gone and _kept dropped."""
+    are variable fields. From the root, a line goes by its token count, then its DEPTH
+    leading tokens, then the others, of which one of RUNS runs is passed over: what ends
+    in one node agrees in two thirds of its tokens or more, the rest are variable. So a
+    line has RUNS templates, whatever other lines there are, and goes if one of them
+    recurs: if its fixed tokens, times the documents that it is in besides one, are
+    ``evidence`` or more. Lines with too few fixed tokens, such as rows of numbers, recur
+    only if they are equal.
+
+    A recurring template's lines go from all documents; with ``keep_first`` the document
+    with the least id keeps them. Null texts stay null, rows without an id stay whole,
+    rows that repeat an id are counted one by one, but no template recurs that is under
+    one id only, and they lose lines alike. Other columns pass through; columns of the
+    names above are replaced, and those named _id, _gone and _kept dropped."""
     docs = docs.drop(*{"_id", "_gone", "_kept"} - {id_col, text_col})
-    gone = dropped_lines(docs, id_col, text_col, similarity).select(F.col("id").alias("_id"), F.col("lines").alias("_gone"))
+    places = materialize(places_of(docs, id_col, text_col, similarity=similarity), "line-places")
+    met = places.select("id", "line", "node").join(materialize(recurring(places, evidence), "recurring-templates"), "node")
+    met = met.where(F.col("id") != F.col("least_id")) if keep_first else met
+    gone = met.groupBy("id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("id", "_id")
     df = docs.join(gone, docs[id_col] == gone["_id"], "left").drop("_id")
-    lost = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
-    whole = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    left = F.filter(whole, lambda x, i: ~F.array_contains(lost, i))
+    cut = F.col("_gone").isNotNull() & F.col(text_col).isNotNull()
     n_words = lambda t: F.size(F.array_remove(F.split(F.coalesce(t, F.lit("")), WORD_SEPARATOR), "")).cast("long")
-    df = df.withColumn("n_lines", F.size(whole).cast("long")).withColumn("n_dropped", F.size(lost).cast("long"))
-    df = df.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
-    df = df.withColumn("all_words", n_words(F.col(text_col))).withColumn("kept_words", F.when(F.col("_gone").isNull(), F.col("all_words")).otherwise(n_words(F.col("_kept"))))
+    breaks = F.length(text := F.coalesce(F.col(text_col), F.lit(""))) - F.length(F.translate(text, "\n", ""))
+    df = df.withColumn("_kept", F.when(cut, _without(F.when(cut, F.col(text_col)), F.col("_gone"))).otherwise(F.col(text_col)))
+    df = df.withColumn("n_lines", (breaks + 1).cast("long")).withColumn("n_dropped", F.when(cut, F.size("_gone")).otherwise(F.lit(0)).cast("long"))
+    df = df.withColumn("all_words", n_words(F.col(text_col))).withColumn("kept_words", F.when(cut, n_words(F.col("_kept"))).otherwise(F.col("all_words")))
     return df.withColumn(text_col, F.col("_kept")).drop("_kept", "_gone")

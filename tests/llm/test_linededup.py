@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -6,49 +7,34 @@ from pyspark.sql import functions as F
 from cinequarry.llm import linededup as L
 
 
-def naive(docs):
-    """One dictionary of lists instead of a tree dealt over tasks."""
-    def masked(words):
-        return ["\0" if any(c.isdigit() and c.isascii() for c in w) else w for w in words]
-
-    lines, first = {}, {}
-    for doc_id, text in docs:
-        if doc_id is None:
-            continue
-        seen = set()
-        for at, line in enumerate((text or "").split("\n")):
-            words = line.split()
-            if len(words) >= L.SHORTEST:
-                m = tuple(masked(words))
-                first.setdefault(m, [doc_id, 0])
-                first[m][0] = min(first[m][0], doc_id)
-                first[m][1] += m not in seen
-                seen.add(m)
-                lines.setdefault(m, []).append((doc_id, at))
-    leaves = {}
-    for m, (least, n) in first.items():
-        leaves.setdefault((len(m), m[: L.DEPTH]), []).append((least, m, n))
+def templates(words):
+    """(key, fixed tokens) of a line's templates."""
+    masked = ["\0" if any(c.isdigit() and c.isascii() for c in w) else w for w in words]
+    if sum(w != "\0" for w in masked) < L.SIMILARITY * len(words):
+        return [(("as it is", *words), len(words))]
+    lead, rest = masked[: L.DEPTH], masked[L.DEPTH :]
+    runs = [rest[len(rest) * i // L.RUNS : len(rest) * (i + 1) // L.RUNS] for i in range(L.RUNS)]
+    out = []
+    for left_out in range(L.RUNS):
+        told = [tuple(r) if i != left_out else None for i, r in enumerate(runs)]
+        fixed = sum(w != "\0" for w in lead + [w for r in told if r for w in r])
+        out.append(((len(words), tuple(lead), *told, left_out), fixed))
+    return out
+
+
+def naive(docs, keep_first=False):
+    """Dictionaries of all templates' documents."""
+    of, lines = {}, []
+    for row, (doc_id, text) in enumerate(docs):
+        for at, line in enumerate((text or "").split("\n") if doc_id is not None else []):
+            for key, fixed in templates(line.split()) if line.split() else []:
+                of.setdefault((key, fixed), set()).add((row, doc_id))
+                lines.append((doc_id, at, (key, fixed)))
     gone = {}
-    for own in leaves.values():
-        templates = []
-        for least, m, n in sorted(own):
-            best, most = None, -1
-            for t in templates:
-                same = sum(a == b and a != "\0" for a, b in zip(t["t"], m))
-                if (same >= L.SIMILARITY * len(m) or same == sum(a != "\0" for a in t["t"])) and same > most:
-                    best, most = t, same
-            if best is None:
-                best = {"t": list(m), "least": least, "n": 0, "own": []}
-                templates.append(best)
-            best["t"] = [a if a == b else "\0" for a, b in zip(best["t"], m)]
-            best["n"] += n
-            best["own"].append(m)
-        for t in templates:
-            if t["n"] >= (L.MIN_DOCS if len(t["t"]) >= L.LONG else L.MIN_DOCS_SHORT):
-                for m in t["own"]:
-                    for doc_id, at in lines[m]:
-                        if doc_id != t["least"]:
-                            gone.setdefault(doc_id, set()).add(at)
+    for doc_id, at, key in lines:
+        ids = {i for _, i in of[key]}
+        if len(ids) > 1 and key[1] * (len(of[key]) - 1) >= L.EVIDENCE and not (keep_first and doc_id == min(ids)):
+            gone.setdefault(doc_id, set()).add(at)
     return gone
 
 
@@ -73,48 +59,57 @@ def corpus():
 def test_matches_brute_force(spark):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_lines string").repartition(5)
-    want = naive(rows)
-    # codes order a leaf's lines of one document where ids tie, so only whole documents' kept lines are compared
-    got = {r.doc_id: (r.n_dropped, r.text, r.n_lines) for r in L.dedup_lines(docs).collect()}
-    for doc_id, text in rows:
-        gone = want.get(doc_id, set())
-        left = None if text is None else "\n".join(x for at, x in enumerate(text.split("\n")) if at not in gone)
-        assert got[doc_id] == (len(gone), left, len((text or "").split("\n"))), doc_id
-    assert not any(i in got and got[i][0] for i in (None, 102, 103, 104))
-    assert got[106][0] == 1 and got[105][0] == 0
-    assert sum(1 for i in range(0, 60, 3) if not got[i][0]) <= 5  # each passage stays once
-
-
-def test_leaf_of_many_templates():
-    rng = np.random.default_rng(1)
-    leaf = L.Leaf(0.6)
-    lines = rng.integers(1, 60000, (50, 20)).astype(np.uint16)
-    assert [leaf.place(x) for x in lines] == list(range(50))
-    for i, x in enumerate(lines):
-        y = x.copy()
-        y[3:8] = 7
-        assert leaf.place(y) == i
-    assert (leaf.rows[:50, 3:8] == 0).all()
-
-
-def test_hot_leaf_in_parts(spark):
+    for keep_first in (False, True):
+        want = naive(rows, keep_first)
+        got = {r.doc_id: (r.n_dropped, r.text, r.n_lines, r.kept_words, r.all_words) for r in L.dedup_lines(docs, keep_first=keep_first).collect()}
+        for doc_id, text in rows:
+            gone = want.get(doc_id, set())
+            left = None if text is None else "\n".join(x for at, x in enumerate(text.split("\n")) if at not in gone)
+            assert got[doc_id] == (len(gone), left, len((text or "").split("\n")), len((left or "").split()), len((text or "").split())), doc_id
+        assert not any(i in got and got[i][0] for i in (None, 102, 103, 104))
+        assert got[106][0] == 1 and got[105][0] == (not keep_first)
+        assert all(got[i][0] for i in range(3 if keep_first else 0, 60, 3) if not (keep_first and i < 9))
+
+
+def test_documents_are_counted_once(spark):
+    """Seven lines of a template in one document and one in another are two documents."""
+    rows = [(1, "\n".join(f"seen {i} times in the log" for i in range(7))), (2, "seen 9 times in the log")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert naive(rows) == {} and L.dedup_lines(docs).where("n_dropped > 0").count() == 0
+    more = rows + [(i, f"seen {i} times in the log") for i in range(3, 9)]
+    got = {r.doc_id: r.n_dropped for r in L.dedup_lines(spark.createDataFrame(more, "doc_id long, text string")).collect()}
+    assert got == {i: len(x) for i, x in naive(more).items()} == {1: 7, **{i: 1 for i in range(2, 9)}}
+
+
+def test_variable_field_in_any_run(spark):
+    words = [f"w{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    change = lambda at: " ".join("other" if i == at else w for i, w in enumerate(words))
+    for at, goes in ((None, True), (5, True), (15, True), (25, True), (0, False)):
+        docs = spark.createDataFrame([(1, " ".join(words)), (2, change(at))], "doc_id long, text string")
+        assert L.dedup_lines(docs).where("n_dropped = 1").count() == (2 if goes else 0), at
+
+
+def test_hot_node_with_many_unlike_lines(spark):
+    """Leading fields alike, everything else not: no line is compared with another."""
     rng = random.Random(3)
+    rows = [(i, " ".join(["12:00", "0", "1", "2", *("".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(12))])) for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert L.dedup_lines(docs).where("n_dropped > 0").count() == 0
 
-    def family(k):
-        letters = "abcdefghijklmnopqr"
-        words = [f"{k}{c}" for c in letters]
-        return ["alpha beta gamma delta " + " ".join("".join(rng.choice(letters) for _ in range(9)) if i % 5 == 2 else w for i, w in enumerate(words)) for _ in range(150)]
 
-    rows = [(i, line) for i, line in enumerate(family("u") + family("v"))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    lines = L.lines_of(docs, "doc_id", "text").groupBy("leaf", "code", "tokens").agg(F.min("id").alias("least"), F.sum("first").alias("docs"))
-    for limit in (10_000, 40):
-        got = L.line_templates(lines, leaf_lines=limit).collect()
-        assert len(got) == len({line for _, line in rows})
-        by = {}
-        for r in got:
-            by.setdefault(r.template, set()).add(r.least >= 150)
-        assert len(by) == 2 and all(len(v) == 1 for v in by.values())
+def test_slices_and_long_texts(monkeypatch):
+    text = "\n".join(f"line {i} of a long text, {'x' * (i % 50)} ends" for i in range(400))
+    whole = [x.tolist() for x in L._tokens(np.frombuffer(text.encode(), np.uint8), L._Runs())]
+    monkeypatch.setattr(L, "_CHUNK", 37)
+    assert [x.tolist() for x in L._tokens(np.frombuffer(text.encode(), np.uint8), L._Runs())] == whole
+
+
+def test_a_million_lines(spark):
+    text = "\n".join(f"own{i}" for i in range(1_000_000)) + "\n" + (same := "a line of twenty words " * 4 + "that two texts share")
+    docs = spark.createDataFrame([(1, text), (2, f"{same}\nown words")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_words) for r in L.dedup_lines(docs).drop("text").collect()}
+    assert got == {1: (1_000_001, 1, 1_000_000), 2: (2, 1, 2)} and time.time() - began < 90
 
 
 def test_empty_and_repeated_ids(spark):
