@@ -19,8 +19,8 @@ from .common import int_table, materialize, words_of
 
 #: Domains, in this order, and the share of the tokens each should have.
 TARGETS = {"good": 0.98, "poor": 0.01, "toxic": 0.01}
-#: The domain whose tokens set the size of the mixture, and how much of them it should have.
-ANCHOR, HEADROOM = "good", 1.05
+#: The domain whose own tokens set the size of a mixture, unless a size is given.
+ANCHOR = "good"
 BUCKETS = 65536
 #: Labelled rows used at most, those with the least hash of their id.
 MAX_LABELLED = 50_000
@@ -28,9 +28,10 @@ MAX_LABELLED = 50_000
 SCALE, LIMIT, ERRORS = 25, 127, 4.0
 #: Two sums of weights share a long: as a word counts once a document, each stays within half a FIELD.
 FIELD = 1 << 25
-#: Highest rate of a document; rates are projected onto [0, MAX_RATE].
-MAX_RATE = 3.0
-ROUNDS, TOLERANCE = 40, 1e-4
+#: How often a document may be drawn at most; rates are projected onto [0, MAX_RATE].
+MAX_RATE = 4.0
+#: The descent ends when expected tokens miss the targets by this share in sum, or no longer come nearer.
+ROUNDS, TOLERANCE = 200, 1e-4
 
 
 @dataclass(frozen=True)
@@ -108,15 +109,33 @@ def rate_after(steps: list[list[float]]) -> Column:
     return F.aggregate(parsed, rate, lambda r, y: F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), r - dot(y))))
 
 
-def solve(sized: DataFrame, targets: dict[str, float] | None = None, rounds: int = ROUNDS) -> list[list[float]]:
-    """Gradient steps whose rates make expected tokens meet the targets.
+@dataclass(frozen=True)
+class Mixture:
+    """Gradient steps, and tokens by domain: wanted and expected."""
+
+    steps: list[list[float]]
+    wanted: list[float]
+    expected: list[float]
+
+    @property
+    def missed(self) -> float:
+        """Share of the wanted tokens that is missed, in sum: above TOLERANCE, the targets can't be met."""
+        return sum(abs(a - b) for a, b in zip(self.wanted, self.expected, strict=True)) / (sum(self.wanted) or 1.0)
+
+
+def solve(sized: DataFrame, targets: dict[str, float] | None = None, size: float | None = None, rounds: int = ROUNDS) -> Mixture:
+    """Gradient steps whose rates make expected tokens meet the targets: ``size`` tokens
+    dealt by the targets' weights. Without a size, the anchor domain's tokens stay as they
+    are and the others follow.
 
     Minimises |A r - T| over rates in [0, MAX_RATE], A[k, i] = n_i p_ik. The gradient
     needs only the residual by domain, so a round is one sum over the documents and
     sends as many numbers as there are pairs of domains. The residual is scaled by the
     inverse of A D A' (D: 1 / tokens) over the documents that no bound holds, which makes
-    a unit step right wherever no further document meets a bound."""
-    weights = np.array(list((targets or TARGETS).values()))
+    a unit step right wherever no further document meets a bound; a step that doesn't
+    come nearer is halved. Targets are never changed: what can't be met is ``missed``."""
+    targets = targets or TARGETS
+    weights = np.array(list(targets.values()), float)
     weights = weights / weights.sum()
     k = len(weights)
     p = [F.col("_p")[i] for i in range(k)]
@@ -131,39 +150,43 @@ def solve(sized: DataFrame, targets: dict[str, float] | None = None, rounds: int
         return np.array(row[:k]), np.array(row[k:]).reshape(k, k)
 
     now, gram = state([])
-    if now.sum() <= 0:
-        return []
-    at = list(targets or TARGETS).index(ANCHOR) if ANCHOR in (targets or TARGETS) else int(np.argmax(now))
-    aims = np.minimum(weights / weights[at] * now[at], now) * HEADROOM
+    at = list(targets).index(ANCHOR) if targets.get(ANCHOR) else int(np.argmax(now * (weights > 0)))
+    aims = weights * (now[at] / weights[at] if size is None else size)
     steps: list[list[float]] = []
-    while len(steps) < rounds and np.abs(now - aims).sum() > TOLERANCE * aims.sum() and np.trace(gram) > 0:
-        steps.append(np.linalg.solve(gram + 1e-5 * np.trace(gram) / k * np.eye(k), now - aims).tolist())
-        now, gram = state(steps)
-    return steps
+    scale = 1.0
+    while len(steps) < rounds and np.abs(now - aims).sum() > TOLERANCE * aims.sum() and np.trace(gram) > 0 and scale > 1e-3:
+        step = scale * np.linalg.solve(gram + 1e-5 * np.trace(gram) / k * np.eye(k), now - aims)
+        then, then_gram = state([*steps, step.tolist()])
+        if np.linalg.norm(then - aims) < np.linalg.norm(now - aims) * (1 - 1e-4):
+            steps, now, gram, scale = [*steps, step.tolist()], then, then_gram, min(1.0, 2 * scale)
+        else:
+            scale /= 2
+    return Mixture(steps, aims.tolist(), now.tolist())
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, size: float | None = None) -> DataFrame:
     """One row for each document: doc_id, n_tokens (long: words), p_<domain> (double,
     posteriors, sum 1) and rate (double, how often the document should be drawn).
 
     Null and empty texts have no tokens, the prior as posterior and a rate like any
     other. Repeated rows are each a document. With no labelled documents all domains
-    are equally likely. A target beyond HEADROOM times a domain's own tokens is lowered
-    to that, so no domain is repeated for want of documents. Extra columns are not read."""
+    are equally likely. A domain that has fewer tokens than its target is repeated, up to
+    MAX_RATE; what is missing then shows in expected tokens. Extra columns are not read."""
     model = learn(docs, labels)
     sized = materialize(with_posteriors(docs.select("doc_id", "text"), model).select("doc_id", "_n", "_p"), "posteriors")
-    steps = solve(sized, targets)
+    steps = solve(sized, targets, size).steps
     names = list(targets or TARGETS)
     return sized.select("doc_id", F.col("_n").cast("long").alias("n_tokens"), *[F.round(F.col("_p")[i], 6).alias(f"p_{x}") for i, x in enumerate(names)], F.round(rate_after(steps), 6).alias("rate"))
 
 
-def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, size: float | None = None) -> DataFrame:
     """The mixture itself: every document as often as its rate says. The whole part
     of a rate is kept as copies; the rest decides by a hash of the id, the same at
-    every run. Columns are those of ``docs``; a document of rate 1 or more always stays."""
+    every run. Columns are those of ``docs``, whatever their names (doc_id and text
+    aside, they travel in one struct); a document of rate 1 or more always stays."""
     rest = F.struct(F.lit(0).alias("__row"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("_row")
     known = materialize(with_posteriors(docs.select("doc_id", "text", rest), learn(docs, labels)), "posteriors")
-    steps = solve(known.select("_n", "_p"), targets)
+    steps = solve(known.select("_n", "_p"), targets, size).steps
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     df = known.withColumn("_c", F.floor(rate_after(steps) + chance).cast("int"))
     df = df.withColumn("_c", F.explode(F.when(F.col("_c") > 0, F.sequence(F.lit(1), F.col("_c")))))
