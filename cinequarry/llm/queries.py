@@ -109,7 +109,6 @@ OP1_SQL = f"""WITH p AS (SELECT page_id, url, sha256(coalesce(html, '')) AS dige
 def _op2_sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     known = ", ".join(f"{quote(k)}: {quote(v)}" for k, v in licenses.SENTENCES.items())
-    sizes = list(map(len, licenses.SENTENCES))
     told = "(' ' || array_to_string(ids, ' ') || ' ')"
     fits = [f"regexp_matches({told}, {quote(' ' + ' (?:.* )?'.join(need) + ' ')})" for _, need in licenses.RULES]
     by_name: dict[str, list[str]] = {}
@@ -117,8 +116,10 @@ def _op2_sql() -> str:
         above = [fits[j] for j, (_, other) in enumerate(licenses.RULES[:i]) if set(need) <= set(other)]
         by_name.setdefault(name, []).append("(" + " AND NOT ".join([fits[i], *above]) + ")")
     names = ", ".join(f"CASE WHEN {' OR '.join(c)} THEN {quote(n)} END" for n, c in by_name.items())
-    return f"""WITH s AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), {quote(licenses.SENTENCE_END)}), lambda x: length(x) BETWEEN {min(sizes)} AND {2 * max(sizes)}) AS parts FROM documents),
-  i AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: MAP {{{known}}}[trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL) AS ids FROM s)
+    plain = lambda x: f"MAP {{{known}}}[trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))]"
+    return f"""WITH s AS (SELECT doc_id, string_split_regex(coalesce(text, ''), {quote(licenses.SENTENCE_END)}) AS parts FROM documents),
+  k AS (SELECT doc_id, list_transform(parts, lambda x: CASE WHEN {plain("x")} IS NOT NULL THEN [{plain("x")}] ELSE list_transform(string_split(x, chr(10)), lambda y: {plain("y")}) END) AS found FROM s),
+  i AS (SELECT doc_id, list_filter(flatten(found), lambda x: x IS NOT NULL) AS ids FROM k)
   SELECT doc_id, len(ids)::BIGINT AS n_known, array_to_string(ids, ' ') AS sentence_ids, array_to_string(list_filter([{names}], lambda x: x IS NOT NULL), ' ') AS licences FROM i"""
 
 

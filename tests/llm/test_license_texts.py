@@ -1,3 +1,5 @@
+import textwrap
+
 from cinequarry.llm import licenses
 
 MIT = '''Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -19,6 +21,29 @@ Unless required by applicable law or agreed to in writing, software distributed
 '''
 GPL_3 = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
 GPL_2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+ZLIB = '''This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.
+'''
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+LGPL = GPL_3.replace("program", "library").replace("General", "Lesser General")
+AGPL = GPL_3.replace("GNU General", "GNU Affero General")
+ALL = [(MIT, ["MIT"]), (BSD_2, ["BSD-2-Clause"]), (BSD_3, ["BSD-3-Clause"]), (APACHE, ["Apache-2.0"]), (GPL_3, ["GPL-3.0-or-later"]), (GPL_2, ["GPL-2.0-or-later"]), (MPL, ["MPL-2.0"]), (ZLIB, ["Zlib"]), (ISC, ["ISC"]), (LGPL, ["LGPL-3.0-or-later"]), (AGPL, ["AGPL-3.0-or-later"])]
+
+
+def wrapped(text, mark):
+    """At 70 columns, every line after a comment mark."""
+    lines = [x for part in text.split("\n") for x in textwrap.wrap(part, 70) or [""]]
+    return "\n".join(f"{mark}{x}".rstrip() for x in lines)
+
+
+def test_wrapped_and_commented_texts(spark):
+    rows = [(i, mark, f"{mark}A readme of ours.\n{mark.rstrip()}\n{wrapped(t, mark)}\n") for i, (t, _) in enumerate(ALL) for mark in ("", "# ", " * ", "// ")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, mark string, text string")).collect()
+    assert {(r.doc_id, r.mark): r.licences for r in got} == {(i, mark): want for i, (_, want) in enumerate(ALL) for mark in ("", "# ", " * ", "// ")}
 
 
 def test_standard_texts(spark):

@@ -9,7 +9,7 @@ TEXTS = [
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. Something else! The above copyright notice and this permission notice shall be included in all copies.",
     "The above copyright notice and this permission notice shall be included in all copies. Permission is hereby granted, free of charge, to any person obtaining a copy of this software.",
     "Released under the MIT License.\nReleased under the MIT License.\nThis work is licensed under the GNU General Public License, version 3.",
-    "not released under the MIT License", "RELEASED   under the  MIT-License!", "a " * 50_000 + "\nReleased under the MIT License.",
+    "not released under the MIT License", "Released under the" + " " * 300 + "MIT License.", "# Released under the\n#\tMIT License", "A title\nReleased under the MIT License\nand more", "RELEASED   under the  MIT-License!", "a " * 50_000 + "\nReleased under the MIT License.",
     "This program is free software: you can redistribute it and/or modify it\nunder the terms of the GNU General Public License",
 ]
 
@@ -17,9 +17,10 @@ TEXTS = [
 def naive(text):
     ids = []
     for part in re.split(licenses.SENTENCE_END, text or ""):
-        plain = " ".join(re.findall("[a-z0-9]+", part.lower()))
-        if plain in licenses.SENTENCES:
-            ids.append(licenses.SENTENCES[plain])
+        plain = lambda x: " ".join(re.findall("[a-z0-9]+", x.lower()))
+        for x in [part] if plain(part) in licenses.SENTENCES else part.split("\n"):
+            if plain(x) in licenses.SENTENCES:
+                ids.append(licenses.SENTENCES[plain(x)])
 
     def fits(need):
         at = iter(ids)
