@@ -123,5 +123,35 @@ def _op2_sql() -> str:
   SELECT doc_id, len(ids)::BIGINT AS n_known, array_to_string(ids, ' ') AS sentence_ids, array_to_string(list_filter([{names}], lambda x: x IS NOT NULL), ' ') AS licences FROM i"""
 
 
+def _op4_sql() -> str:
+    """Plain counts of whole contexts, with the operator's constants."""
+    o, quote = urls.ORDER, lambda x: "'" + x.replace("'", "''") + "'"
+    fits = [(r, v, h, "/" + p) for r, v in sorted(urls.RULES, key=lambda x: -len(x[0])) for h, _, p in [r.partition("/")]]
+    rule = " ".join(f"WHEN (host = {quote(h)} OR ends_with(host, {quote('.' + h)})) AND starts_with(path, {quote(p)}) THEN {{'rule': {quote(r)}, 'verdict': {quote(v)}}}" for r, v, h, p in fits)
+    levels = ", ".join(f"t{n} AS (SELECT substr(gram, {o + 1 - n}) AS gram, sum(allow) AS allow, sum(block) AS block FROM counted GROUP BY 1)" for n in range(o + 1))
+    mixed = lambda k, p: f"(t.{k} + {p} * {urls.BACKOFF}) / (c.{k} + {urls.BACKOFF}) AS p_{k}"
+    estimates = []
+    for n in range(o + 1):
+        context = f"(SELECT substr(gram, 1, {n}) AS context, sum(allow) AS allow, sum(block) AS block FROM t{n} GROUP BY 1) c"
+        p = (f"b.p_{k}" for k in ("allow", "block")) if n else iter([repr(1.0 / urls.ALPHABET)] * 2)
+        shorter = f" JOIN e{n - 1} b ON b.gram = substr(t.gram, 2)" if n else ""
+        estimates.append(f"e{n} AS (SELECT t.gram, {mixed('allow', next(p))}, {mixed('block', next(p))} FROM t{n} t JOIN {context} ON c.context = substr(t.gram, 1, {n}){shorter})")
+    return f"""WITH parts AS (SELECT page_id, coalesce(url, '') AS url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+  ruled AS (SELECT *, CASE {rule} END AS r FROM parts),
+  met AS (SELECT DISTINCT url, r.verdict AS verdict FROM ruled),
+  padded AS (SELECT url, verdict, verdict IS NOT NULL AND substr(md5(url), 1, 1) < '8' AS trains, repeat(chr(2), {o}) || translate(regexp_replace(url, '[^\\x00-\\x7F]', chr(128), 'g'), chr(2) || chr(3) || '123456789', chr(1) || chr(1) || '000000000') || chr(3) AS p FROM met),
+  placed AS (SELECT *, length(p) - {o} AS n, unnest(range(1, length(p) - {o} + 1)) AS i FROM padded),
+  each AS (SELECT url, verdict, trains, n, substr(p, i, {o + 1}) AS gram FROM placed),
+  counted AS (SELECT gram, count(*) FILTER (trains AND verdict = 'allow') AS allow, count(*) FILTER (trains AND verdict = 'block') AS block FROM each GROUP BY 1),
+  {levels}, {", ".join(estimates)},
+  ratios AS (SELECT gram, round(ln(p_allow / p_block) * {urls.SCALE})::BIGINT AS lr FROM e{o}),
+  scores AS (SELECT url, verdict, sum(lr)::BIGINT / n / {urls.SCALE} AS score FROM each JOIN ratios USING (gram) WHERE NOT trains GROUP BY url, verdict, n),
+  steps AS (SELECT floor(score * {urls.STEPS})::BIGINT AS s, count(*) FILTER (verdict = 'allow') AS allow, count(*) FILTER (verdict = 'block') AS block FROM scores WHERE verdict IS NOT NULL GROUP BY 1),
+  shares AS (SELECT s, lag(s) OVER (ORDER BY s) AS last, 1 - coalesce(sum(allow) OVER w, 0) / sum(allow) OVER () + coalesce(sum(block) OVER w, 0) / sum(block) OVER () AS judged FROM steps WINDOW w AS (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  least AS (SELECT coalesce(max(t), '-infinity'::DOUBLE) AS t FROM (SELECT coalesce((s + last + 1) / 2, s) / {urls.STEPS} AS t FROM shares WHERE judged IS NOT NULL ORDER BY judged DESC, s LIMIT 1))
+  SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, CASE WHEN score >= t THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score
+  FROM ruled LEFT JOIN scores ON scores.url = ruled.url CROSS JOIN least"""
+
+
 #: The other queries stand on a tokenizer, learned models, trees or iteration; tests hold them against brute force.
-ORACLE_SQL = {"op1_warc_captures": OP1_SQL, "op2_license_scan": _op2_sql()}
+ORACLE_SQL = {"op1_warc_captures": OP1_SQL, "op2_license_scan": _op2_sql(), "op4_url_filter": _op4_sql()}

@@ -1,5 +1,8 @@
+import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -36,55 +39,67 @@ def test_rules_and_models(spark):
         host, path, rule, verdict = naive(u)
         assert (by[i].host, by[i].path, by[i].rule) == (host, path, rule)
         assert by[i].verdict == (verdict or by[i].verdict) and by[i].verdict in ("allow", "block")
-    again = {r.page_id: (r.verdict, round(r.score, 9)) for r in urls.judge(df.repartition(6)).collect()}
-    assert again == {i: (r.verdict, round(r.score, 9)) for i, r in by.items()}
+    want, least = brute(sorted({(u or "", naive(u)[3]) for _, u, _ in rows}, key=str))
+    for i, u, _ in rows:
+        score = want.get(u or "")
+        assert (by[i].score is None) == (score is None) and (score is None or abs(by[i].score - score) < 2e-6)
+        assert by[i].verdict == (naive(u)[3] or ("allow" if score >= least else "block"))
+    again = {r.page_id: (r.verdict, r.score) for r in urls.judge(df.repartition(6)).collect()}
+    assert again == {i: (r.verdict, r.score) for i, r in by.items()}
 
 
-def test_score_equals_plain_counts(spark):
-    """Counts by whole contexts instead of cells: the same unless cells are shared."""
-    known = [("http://ok.com/aa/bb", "allow"), ("http://ok.com/ab/ba", "allow"), ("http://no.net/zz/zy", "block"), ("http://no.net/yz", "block")]
-    grams, contexts = ({}, {}), ({}, {})
-    symbols = lambda u: [ord(c) for c in re.sub("[0-9]", "0", u or "")] + [0]
+def places(u):
+    s = "\2" * urls.ORDER + re.sub("[0-9]", "0", re.sub("[^\\x00-\\x7f]", "\x80", u)) + "\3"
+    for i in range(urls.ORDER, len(s)):
+        yield [(s[i - n : i], s[i]) for n in range(urls.ORDER + 1)]
 
-    def places(u):
-        s = [0] * urls.ORDER + symbols(u)
-        for i in range(urls.ORDER, len(s)):
-            yield [(tuple(s[i - n : i]), s[i]) for n in range(urls.ORDER + 1)]
 
-    for u, v in known:
-        for place in places(u):
-            for c, x in place:
-                k = int(v == "block")
-                grams[k][c, x] = grams[k].get((c, x), 0) + 1
-                contexts[k][c] = contexts[k].get(c, 0) + 1
-    import math
+def brute(met):
+    """Scores of the urls that don't train, and the threshold, by dictionaries of whole contexts."""
+    grams, contexts = (Counter(), Counter()), (Counter(), Counter())
+    trains = lambda u, v: v is not None and hashlib.md5(u.encode()).hexdigest()[0] < "8"
+    for u, v in met:
+        if trains(u, v):
+            for place in places(u):
+                grams[v == "block"].update(place)
+                contexts[v == "block"].update([c for c, _ in place])
 
     def score(u):
-        total, n = 0.0, 0
+        total = []
         for place in places(u):
-            n += 1
-            for k, sign in ((0, 1), (1, -1)):
-                p = 1 / urls.ALPHABET
-                for c, x in place:
-                    p = (grams[k].get((c, x), 0) + p * urls.BACKOFF) / (contexts[k].get(c, 0) + urls.BACKOFF)
-                total += sign * math.log(p)
-        return total / n
-
-    judged = spark.createDataFrame(known, "url string, verdict string")
-    model = urls.fit(judged)
-    asked = ["http://ok.com/aa", "http://no.net/zz", None, "", "q"]
-    df = urls.with_cells(spark.createDataFrame([(u,) for u in asked], "url string")).select("url", urls.mean_log_ratio(model).alias("s"))
-    assert all(abs(r.s - score(r.url)) < 1e-9 for r in df.collect())
-    assert score("http://ok.com/aa") > model.threshold > score("http://no.net/zz")
+            p = [1 / urls.ALPHABET] * 2
+            for c, x in place:
+                p = [(grams[k][c, x] + p[k] * urls.BACKOFF) / (contexts[k][c] + urls.BACKOFF) for k in (0, 1)]
+            total.append(math.log(p[0] / p[1]))
+        return sum(total) / len(total)
+
+    scores = {u: score(u) for u, v in met if not trains(u, v)}
+    held = [(math.floor(scores[u] * urls.STEPS), v) for u, v in met if v and u in scores]
+    n = Counter(v for _, v in held)
+    best, last = None, None
+    for s in sorted({s for s, _ in held}):
+        right = sum(v == "allow" and x >= s for x, v in held) / n["allow"] + sum(v == "block" and x < s for x, v in held) / n["block"]
+        if best is None or right > best[0] + 1e-12:
+            best = (right, s if last is None else (s + last + 1) / 2)
+        last = s
+    return scores, best[1] / urls.STEPS
 
 
 def test_held_out_accuracy(spark):
     rng = random.Random(8)
     make = lambda bad: "http://" + ("".join(rng.choice("xzq") for _ in range(6)) if bad else "".join(rng.choice("aeilnrst") for _ in range(6))) + ".org/" + str(rng.randint(0, 99))
-    rows = [(make(i % 3 == 0), "block" if i % 3 == 0 else "allow") for i in range(600)]
-    model = urls.fit(spark.createDataFrame(rows[:400], "url string, verdict string"))
-    held = urls.with_cells(spark.createDataFrame(rows[400:], "url string, verdict string")).select("verdict", urls.mean_log_ratio(model).alias("s")).collect()
-    assert sum((r.s >= model.threshold) == (r.verdict == "allow") for r in held) / len(held) > 0.97
+    rows = [(make(i % 3 == 0), ("block" if i % 3 == 0 else "allow") if i < 400 else None) for i in range(600)]
+    bad = {u for i, (u, _) in enumerate(rows) if i % 3 == 0}
+    scores, least = urls.scored(spark.createDataFrame(rows, "url string, verdict string").distinct())
+    held = [r for r in scores.collect() if (r.url, None) in rows]
+    assert len(held) > 150 and sum((r.score >= least) == (r.url not in bad) for r in held) / len(held) > 0.97
+
+
+def test_frequent_grams_change_nothing(spark, monkeypatch):
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(pages())], "page_id long, url string")
+    whole = sorted(map(tuple, urls.judge(df).select("page_id", "verdict", "score").collect()))
+    monkeypatch.setattr(urls, "FREQUENT", 20)
+    assert sorted(map(tuple, urls.judge(df).select("page_id", "verdict", "score").collect())) == whole
 
 
 def test_without_labels_or_rows(spark):
