@@ -38,8 +38,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         ends = np.cumsum(sizes + 1) - 1
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[i:j], 42) for i, j in zip((ends - sizes)[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits set in over half of 64-bit ``values``, as a signed integer; 0 of none."""
     votes = np.zeros(64, np.int64)
-    values = np.array(hashes, "<u8")
     for at in range(0, len(values), 1 << 16):  # bounds the bit matrix of a very long text
         votes += np.unpackbits(values[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * votes > len(values), bitorder="little").view("<i8")[0])
@@ -189,11 +193,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The documents with the least id of each component. Rows that repeat that id
-    are the same document, and one stays; rows without an id can't be told apart
-    and all stay."""
+    """The documents with the least id of each component. Rows that repeat that id and
+    the text are the same document, and one stays; rows that share that id but not the
+    text all stay, as do rows without an id."""
     groups = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, radius)
     keep = groups.where(F.col("id") == F.col("component")).select(F.col("id").alias("_kept_id")).distinct()
     named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(keep, named[id_col] == keep["_kept_id"], "left_semi").dropDuplicates([id_col])
+    kept = named.join(keep, named[id_col] == keep["_kept_id"], "left_semi").dropDuplicates([id_col, text_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
