@@ -31,8 +31,10 @@ def bucket_key(duration: Column, size: Column) -> Column:
 
 
 def normalize_caption(text: Column) -> Column:
-    """Lower case, runs of ASCII white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\x0B\f\r]+", " "))
+    """Folded case, runs of ASCII white space as one space, trimmed. Of the letters that
+    case folding changes and lower case doesn't, sharp s, final sigma and long s are told."""
+    folded = F.replace(F.translate(F.lower(text), "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
+    return F.trim(F.regexp_replace(folded, r"[ \t\n\x0B\f\r]+", " "))
 
 
 def collect_captions(*fields: Column) -> Column:
@@ -126,3 +128,45 @@ def clip_name(item_id: Column) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def to_pixel_bytes(x: Column) -> Column:
+    """[-1, 1] back to 0 ... 255: clamped, then cut off."""
+    return F.floor((F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)) + 1) * 127.5).cast("int")
+
+
+def from_pcm(x: Column) -> Column:
+    return x / 32767.0
+
+
+def destandardize(x: Column, mean: Column, std: Column) -> Column:
+    return x * std + mean
+
+
+def snap_to_bucket(ratio: Column, frames: Column, buckets: list[tuple[str, int, int, int]]) -> Column:
+    """struct(name, frames) of the trained bucket (name, frames, width, height) nearest to a
+    wanted aspect ratio, then to a wanted number of frames; the first of equals."""
+    options = [
+        F.struct(F.round(F.abs(F.ln(F.lit(w / h) / ratio)), 6).alias("far"), F.abs(F.lit(t) - frames).alias("late"), F.lit(i).alias("at"), F.lit(name).alias("name"), F.lit(t).alias("frames"))
+        for i, (name, t, w, h) in enumerate(buckets)
+    ]
+    best = F.array_min(F.array(*options))
+    return F.struct(best["name"].alias("name"), best["frames"].alias("frames"))
+
+
+def audio_length(length: Column | int, frames: Column, default_frames: int) -> Column:
+    """Audio latents of a bucket, in proportion to its frames after the first."""
+    return F.bround(F.lit(length) * (frames - 1) / (default_frames - 1)).cast("long")
+
+
+def first_contained(name: Column, table: dict[str, float]) -> Column:
+    """Value of the first key of ``table`` that stands in ``name``; null if none does."""
+    found = F.lit(None).cast("double")
+    for key, value in reversed(table.items()):
+        found = F.when(F.contains(name, F.lit(key)), F.lit(float(value))).otherwise(found)
+    return found
+
+
+def motion(dx: Column, dy: Column) -> Column:
+    """Direction of a displacement: the larger part decides, the vertical one of equals; rows grow downwards."""
+    return F.when(F.abs(dx) > F.abs(dy), F.when(dx > 0, "right").otherwise("left")).otherwise(F.when(dy > 0, "down").otherwise("up"))

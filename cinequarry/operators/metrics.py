@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,3 +56,14 @@ def channel_stats(features: DataFrame, vector: str = "v") -> DataFrame:
     stats = long.groupBy("channel").agg(F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"))
     top = F.max("std").over(Window.partitionBy())  # as many rows as channels
     return stats.select("channel", "mean", F.greatest(F.col("std"), top * 0.05, F.lit(1e-4)).alias("std"))
+
+
+def available(metrics: dict[str, Callable[[], float]]) -> dict[str, float]:
+    """Values of the metrics that can be told here; one that fails is left out with a warning."""
+    told = {}
+    for name, value in metrics.items():
+        try:
+            told[name] = value()
+        except Exception as e:  # whatever it is, the others still count
+            warnings.warn(f"{name} is left out: {e}", stacklevel=2)
+    return told

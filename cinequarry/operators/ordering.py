@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's folder; only where none is set, a new one is made."""
+    """A reliable checkpoint in the folder that all executors share."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -33,3 +33,25 @@ def exclusive_sum(df: DataFrame, order: list, value: str, name: str) -> DataFram
 def dense_ids(df: DataFrame, order: list, name: str) -> DataFrame:
     """Adds ``name``: 0, 1, 2, ... in ``order``, which has to be total."""
     return exclusive_sum(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", name).drop("_one")
+
+
+def places_within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: 0, 1, 2, ... within each combination of ``keys``, in ``order``.
+
+    Rows are range-partitioned by keys and order together, so a key with a third of all
+    rows spans many parts, whose counts are offsets; equal rows may be placed either way."""
+    ranged = _ranged(df, [*keys, *order])
+    counts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)) - 1
+    return ranged.join(before, [*keys, "_part"]).withColumn(name, (local + F.col("_before")).cast("long")).drop("_part", "_before")
+
+
+def middle_values(df: DataFrame, key: str, value: str, upper: bool = False) -> DataFrame:
+    """(key, middle): median of the values that aren't null, or their upper median: the rows
+    at the middle places, so no key's values are gathered."""
+    some = df.select(key, value).where(F.col(value).isNotNull())
+    placed = places_within(some, [key], [value], "_place")
+    n = some.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    at = [F.floor(F.col("_n") / 2)] if upper else [F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)]
+    return placed.join(n, key).where(F.col("_place").isin(*at)).groupBy(key).agg(F.avg(value).alias("middle"))

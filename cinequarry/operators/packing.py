@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -127,3 +127,33 @@ def patch_place(i, depth: int, height: int, width: int, p: int):
     d, h, w = F.floor(i / (height * width)), F.floor(i / width) % height, i % width
     token = (F.floor(d / p) * (height // p) + F.floor(h / p)) * (width // p) + F.floor(w / p)
     return token.cast("long"), (((d % p) * p + h % p) * p + w % p).cast("long")
+
+
+def _patch_cells(depth: int, height: int, width: int, p: int) -> list[list[int]]:
+    """Cells of each patch, in order of their places in it."""
+    grid = range(0, depth, p), range(0, height, p), range(0, width, p)
+    inside = [(a, b, c) for a in range(p) for b in range(p) for c in range(p)]
+    return [[((d + a) * height + h + b) * width + w + c for a, b, c in inside] for d in grid[0] for h in grid[1] for w in grid[2]]
+
+
+def patches(grid: Column, depth: int, height: int, width: int, p: int) -> Column:
+    """A (depth, height, width) grid, given as one array, as an array of p x p x p patches."""
+    return F.array(*[F.array(*[F.get(grid, F.lit(i)) for i in cells]) for cells in _patch_cells(depth, height, width, p)])
+
+
+def unpatch(tokens: Column, depth: int, height: int, width: int, p: int) -> Column:
+    """The grid again."""
+    back = {i: (t, k) for t, cells in enumerate(_patch_cells(depth, height, width, p)) for k, i in enumerate(cells)}
+    return F.array(*[F.get(F.get(tokens, F.lit(back[i][0])), F.lit(back[i][1])) for i in range(depth * height * width)])
+
+
+def pack_plan(placed: DataFrame, width: int, text_len: int) -> DataFrame:
+    """One row for each bin of slots with offsets (bin, slot, seq_len, x_off, joint_off): used
+    tokens, bounds (array: where each segment begins, padded to ``width`` + 1 entries by the
+    end), and for each slot where its own tokens and its texts stand among all of the bin
+    (inverse: the way back from the joint order). A bin holds at most ``width`` slots."""
+    slots = F.array_sort(F.collect_list(F.struct("slot", "joint_off", "x_off", "seq_len")))
+    bins = placed.groupBy("bin").agg(slots.alias("slots")).withColumn("used", F.element_at("slots", -1)["joint_off"] + F.element_at("slots", -1)["seq_len"] + text_len)
+    tail = F.array_repeat(F.col("used"), F.lit(width + 1) - F.size("slots"))
+    inverse = F.transform("slots", lambda s: F.struct(s["slot"].alias("slot"), (s["joint_off"] - s["x_off"]).alias("x_shift"), (s["joint_off"] + s["seq_len"]).alias("text_at")))
+    return bins.select("bin", "used", F.concat(F.transform("slots", lambda s: s["joint_off"]), tail).alias("bounds"), inverse.alias("inverse"))

@@ -58,3 +58,24 @@ def timesteps(spark: SparkSession, n: int, seed: int = 0, mean: float = 0.0, spr
     which, u = uniform(seed + 10, "id"), uniform(seed + 11, "id")
     t = F.when(which < clean_share, 1.0).when(which < clean_share + uniform_share, u).otherwise(base)
     return spark.range(n).select("id", t.alias("t"), F.greatest(t, uniform(seed + 12, "id")).alias("t2"), (uniform(seed + 13, "id") >= 0.1).alias("kept"))
+
+
+def portable_uniform(seed: int, key: Column) -> Column:
+    """A number in [0, 1) for a key, from the first digits of an MD5: the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string"))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+
+
+def draw_caption(texts: Column, item: Column, seed: int = 0) -> Column:
+    """One of an item's captions, each as likely; null if it has none."""
+    at = F.floor(portable_uniform(seed, item) * F.size(texts)).cast("int")
+    return F.when(F.size(texts) > 0, F.get(texts, at))
+
+
+def draw_from_primary(members: DataFrame, primary: Column, draws: int, seed: int = 0) -> DataFrame:
+    """(draw, item): items (bucket, item) of the primary bucket only, with replacement."""
+    from .ordering import dense_ids
+
+    placed = dense_ids(members.where(F.col("bucket") == primary).select("item"), ["item"], "place")
+    n = placed.agg(F.count(F.lit(1)).alias("n"))
+    wanted = placed.sparkSession.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(n))  # one row
+    return wanted.select("draw", F.floor(portable_uniform(seed, F.col("draw")) * F.col("n")).alias("place")).join(placed, "place").select("draw", "item")

@@ -127,3 +127,26 @@ def frechet_to(stats: DataFrame, other: DataFrame) -> DataFrame:
             yield out
 
     return stats.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", distance double")
+
+
+def frechet_low_rank(mean: np.ndarray, cov: np.ndarray, rows: np.ndarray) -> float:
+    """Distance of a few rows to a Gaussian. Their covariance is C'C / (T - 1), so the
+    product's eigenvalues that aren't zero are those of the T x T matrix C cov C' / (T - 1)."""
+    gap, t = rows.mean(axis=0) - mean, len(rows)
+    centred = (rows - rows.mean(axis=0)) / np.sqrt(max(t - 1, 1))
+    values = np.linalg.eigvalsh(centred @ cov @ centred.T)
+    return float(gap @ gap + np.einsum("ij,ij->", centred, centred) + np.trace(cov) - 2 * np.sqrt(np.clip(values, 0, None)).sum())
+
+
+def video_distances(frames: DataFrame, other: DataFrame, by: str, vector: str = "v") -> DataFrame:
+    """(by, n, distance): each video's frames, which are few, against the Gaussian of ``other`` (one row)."""
+    one = other.select("mean", "cov").limit(1).collect()
+    mean = np.array(one[0].mean) if one else np.zeros(0)
+    cov = np.array(one[0].cov).reshape(len(mean), -1) if one else np.zeros((0, 0))
+    kind = frames.schema[by].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(rows[vector].to_numpy()).astype(np.float64)
+        return pd.DataFrame([[rows[by].iloc[0], len(x), frechet_low_rank(mean, cov, x) if len(mean) else None]], columns=[by, "n", "distance"])
+
+    return frames.select(by, vector).groupBy(by).applyInPandas(run, f"{by} {kind}, n bigint, distance double")

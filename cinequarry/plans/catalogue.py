@@ -1,4 +1,4 @@
 """All registered queries of the library itself."""
 
-from . import curation, metrics, packing, sampling, similarity, windows  # noqa: F401
+from . import cache, curation, metrics, packing, sampling, similarity, windows  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import curation as C
-from ..operators.ordering import dense_ids
+from ..operators.ordering import dense_ids, middle_values, places_within
 from ..sources import fixtures as X
 from .registry import query
 
 NEAREST = """CASE WHEN abs(ln(w / h / (512/384))) <= abs(ln(w / h / (512/288))) AND abs(ln(w / h / (512/384))) <= abs(ln(w / h / (288/512))) THEN '512x384'
   WHEN abs(ln(w / h / (512/288))) <= abs(ln(w / h / (288/512))) THEN '512x288' ELSE '288x512' END"""
 THRESHOLD = "CASE WHEN w / h < 1.0 THEN '288x512' WHEN w / h > 1.55 THEN '512x288' ELSE '512x384' END"
-NORMAL = r"trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+NORMAL = r"trim(regexp_replace(replace(translate(lower(text), 'ςſ', 'σs'), 'ß', 'ss'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 BUCKETS = f"""sized AS (SELECT *, {NEAREST} AS size FROM clip_src),
   numbered AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY duration, item_id) - 1 AS rn FROM sized),
   bucketed AS (SELECT *, CASE WHEN size = '288x512' OR rn % 2 = 0 THEN 10.0::DOUBLE ELSE 20.0::DOUBLE END AS clip_seconds,
@@ -40,7 +40,7 @@ def q03_aspect_disagreement(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT lang, count(DISTINCT {NORMAL}) AS captions, count(*) AS clips FROM documents GROUP BY lang")
 def q04_caption_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return X.table(spark, sf, "documents").groupBy("lang").agg(F.count_distinct(S.normalize_caption(F.col("text"))).alias("captions"), F.count(F.lit(1)).alias("clips"))
+    return X.table(spark, sf, "documents").groupBy("lang").agg(F.count_distinct(F.md5(S.normalize_caption(F.col("text")))).alias("captions"), F.count(F.lit(1)).alias("clips"))
 
 
 CAPTIONS = f"""{X.CAPTION_FIELDS}, firsts AS (SELECT stem, trim(caption) AS caption, min(row(field, pos)) AS place FROM caption_fields WHERE trim(caption) <> '' GROUP BY 1, 2),
@@ -163,9 +163,9 @@ def q21_shape_buckets(spark: SparkSession, sf: str) -> DataFrame:
   v AS (SELECT vec_id, 'src' || label::VARCHAR AS source, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM embeddings) SELECT item_id, vec_id, source, pos FROM p JOIN v USING (source, pos)""")
 def q22_bucket_position_join(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of two tables at the same place of the same bucket."""
-    place = lambda key, order: F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long") - 1
-    p = X.clip_src(spark, sf).select("item_id", "source", place("source", "item_id").alias("pos"))
-    v = X.table(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("src"), F.col("label").cast("string")).alias("source"), place("label", "vec_id").alias("pos"))
+    p = places_within(X.clip_src(spark, sf).select("item_id", "source"), ["source"], ["item_id"], "pos")
+    v = X.table(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("src"), F.col("label").cast("string")).alias("source"))
+    v = places_within(v, ["source"], ["vec_id"], "pos")
     return p.join(v, ["source", "pos"]).select("item_id", "vec_id", "source", "pos")
 
 
@@ -173,10 +173,9 @@ def q22_bucket_position_join(spark: SparkSession, sf: str) -> DataFrame:
   round(sum(n_chars)::DOUBLE / 100 / 3600, 6) AS hours, coalesce(median(n_chars::DOUBLE / 100), 0) AS median_seconds FROM documents GROUP BY lang""")
 def q23_split_summary(spark: SparkSession, sf: str) -> DataFrame:
     n, sources = F.count(F.lit(1)), F.count_distinct("source")
-    return X.table(spark, sf, "documents").groupBy("lang").agg(
-        n.alias("clips"), sources.alias("sources"), (n / F.greatest(sources, F.lit(1))).alias("clips_per_source"),
-        F.round(F.sum("n_chars").cast("double") / 100 / 3600, 6).alias("hours"), F.coalesce(F.median(F.col("n_chars") / 100.0), F.lit(0.0)).alias("median_seconds"),
-    )
+    docs = X.table(spark, sf, "documents").select("lang", "source", "n_chars", (F.col("n_chars") / 100.0).alias("seconds"))
+    counts = docs.groupBy("lang").agg(n.alias("clips"), sources.alias("sources"), (n / F.greatest(sources, F.lit(1))).alias("clips_per_source"), F.round(F.sum("n_chars").cast("double") / 100 / 3600, 6).alias("hours"))
+    return counts.join(middle_values(docs, "lang", "seconds"), "lang", "left").select(*counts.columns, F.coalesce("middle", F.lit(0.0)).alias("median_seconds"))
 
 
 @query(f"""WITH {X.CLIP_SRC}, {CAPTIONS} SELECT item_id, format('{{:05d}}.npz', item_id) AS file_name, source, duration, texts[1] AS caption, len(texts)::BIGINT AS captions

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import metrics as M
+from ..operators.ordering import middle_values
 from ..sources import fixtures as X
 from .registry import query
 
@@ -18,11 +22,9 @@ def q19_hardest_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {X.METRIC_EVENTS} SELECT clip, list_sort(list(loss))[count(*) // 2 + 1] AS upper_median, min(loss) AS least, max(loss) AS most FROM metric_events GROUP BY clip")
 def q24_upper_median(spark: SparkSession, sf: str) -> DataFrame:
-    """Upper median of each clip: the row at its place, so a clip with many rows is sorted with spilling, not collected."""
-    w = Window.partitionBy("clip")
-    df = X.metric_events(spark, sf).select("clip", "loss", F.row_number().over(w.orderBy("loss", "step")).alias("at"), F.count(F.lit(1)).over(w).alias("n"))
-    middle = F.max(F.when(F.col("at") == F.floor(F.col("n") / 2) + 1, F.col("loss")))
-    return df.groupBy("clip").agg(middle.alias("upper_median"), F.min("loss").alias("least"), F.max("loss").alias("most"))
+    df = X.metric_events(spark, sf).select("clip", "loss")
+    ends = df.groupBy("clip").agg(F.min("loss").alias("least"), F.max("loss").alias("most"))
+    return ends.join(middle_values(df, "clip", "loss", upper=True), "clip").select("clip", F.col("middle").alias("upper_median"), "least", "most")
 
 
 STATS = f"""{X.FEAT}, chan AS (SELECT i - 1 AS channel, v[i] AS x FROM feat, range(1, 65) r(i)), s AS (SELECT channel, avg(x) AS mean, stddev_samp(x) AS std FROM chan GROUP BY channel),
@@ -131,12 +133,16 @@ def q43_tumbling_steps(spark: SparkSession, sf: str) -> DataFrame:
 def q55_ema_fold(spark: SparkSession, sf: str) -> DataFrame:
     """Exponential moving average of each bucket's means by flush (rows are flushes, not steps).
 
-    The recurrence m' = 0.9 m + 0.1 x is folded over a bucket's flushes in order."""
+    The recurrence m' = 0.9 m + 0.1 x runs once through a bucket's flushes in order, a
+    hundredth of its steps."""
     flushes = X.metric_events(spark, sf).groupBy("bucket", F.floor((F.col("step") - 1) / 100).alias("flush")).agg(F.avg("loss").alias("loss"))
-    lists = flushes.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("flush", "loss"))).alias("all"))
-    entry = F.array().cast("array<struct<flush:bigint,ema:double>>")
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["flush"].alias("flush"), F.when(F.size(acc) == 0, x["loss"]).otherwise(F.element_at(acc, -1)["ema"] * 0.9 + x["loss"] * 0.1).alias("ema"))))
-    return lists.select("bucket", F.explode(F.aggregate("all", entry, step)).alias("x")).select("bucket", "x.flush", F.round("x.ema", 6).alias("ema"))
+
+    def fold(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("flush")
+        ema = list(accumulate(rows["loss"].to_pylist(), lambda m, x: 0.9 * m + 0.1 * x))
+        return rows.select(["bucket", "flush"]).append_column("ema", pa.array(ema, pa.float64()))
+
+    return flushes.groupBy("bucket").applyInArrow(fold, "bucket string, flush bigint, ema double").withColumn("ema", F.round("ema", 6))
 
 
 @query(f"""WITH {X.FEAT}, l AS (SELECT vec_id, i - 1 AS expert, exp(v[i] * 4) AS e FROM feat, range(1, 9) r(i)), p AS (SELECT vec_id, expert, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM l),
@@ -168,10 +174,12 @@ def q68_probe_report(spark: SparkSession, sf: str) -> DataFrame:
 def q69_bounding_box(spark: SparkSession, sf: str) -> DataFrame:
     x, y = F.col("p_size"), F.col("p_partkey") % 50
     corner = F.avg(((x < 10) & (y < 10)).cast("int"))
-    return X.table(spark, sf, "part").groupBy("p_brand").agg(
+    part = X.table(spark, sf, "part")
+    boxes = part.groupBy("p_brand").agg(
         F.min(x).cast("long").alias("left_x"), F.max(x).cast("long").alias("right_x"), F.min(y).alias("top_y"), F.max(y).alias("bottom_y"), F.round(F.avg(x), 6).alias("centre_x"),
-        F.median("p_retailprice").alias("price"), F.when(F.count(F.lit(1)) >= 5, F.round(corner, 6)).alias("corner"),
+        F.when(F.count(F.lit(1)) >= 5, F.round(corner, 6)).alias("corner"),
     )
+    return boxes.join(middle_values(part, "p_brand", "p_retailprice").withColumnRenamed("middle", "price"), "p_brand", "left")
 
 
 @query(f"WITH {X.FEAT}, b AS (SELECT vec_id, (i - 1) * 40 AS hz, v[i] AS power FROM feat, range(1, 65) r(i) WHERE (i - 1) * 40 > 100 AND (i - 1) * 40 < 2000) SELECT vec_id, arg_max(hz, row(power, -hz))::BIGINT AS dominant FROM b GROUP BY vec_id")

@@ -71,6 +71,5 @@ def q76_pack_flops(spark: SparkSession, sf: str) -> DataFrame:
   SELECT vec_id, token, round(sum(x * (place + 1)), 6) AS digest FROM c GROUP BY vec_id, token""")
 def q75_patchify(spark: SparkSession, sf: str) -> DataFrame:
     """A feature as a 4 x 4 x 4 grid cut into eight patches of 2 x 2 x 2."""
-    cells = X.feat(spark, sf).select("vec_id", F.posexplode("v").alias("i", "x"))
-    token, place = P.patch_place(F.col("i"), 4, 4, 4, 2)
-    return cells.groupBy("vec_id", token.alias("token")).agg(F.round(F.sum(F.col("x") * (place + 1)), 6).alias("digest"))
+    digests = F.transform(P.patches(F.col("v"), 4, 4, 4, 2), lambda x: F.round(F.aggregate(F.transform(x, lambda c, i: c * (i + 1)), F.lit(0.0), lambda t, c: t + c), 6))
+    return X.feat(spark, sf).select("vec_id", F.posexplode(digests).alias("token", "digest"))

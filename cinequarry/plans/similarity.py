@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import similarity as V
+from ..operators.ordering import places_within
 from ..sources import fixtures as X
 from .registry import query
 
@@ -66,8 +67,8 @@ def q50_per_group_frechet(spark: SparkSession, sf: str) -> DataFrame:
   SELECT a.grp::BIGINT AS grp, count(*) AS pairs, round(avg(list_dot_product(a.v, b.v)) * 100, 4) AS score, round(avg(list_distance(a.v, b.v)), 6) AS distance FROM p a JOIN p b ON a.grp = b.grp AND a.pos = b.pos AND a.side = 0 AND b.side = 1 GROUP BY a.grp""")
 def q64_paired_distance(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of two labels paired by place: mean cosine times 100 (of unit vectors) and mean distance."""
-    pos = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    p = X.feat(spark, sf).select((F.floor(F.col("label") / 2)).alias("grp"), (F.col("label") % 2).alias("side"), "v", pos.alias("pos"))
+    placed = places_within(X.feat(spark, sf), ["label"], ["vec_id"], "pos")
+    p = placed.select((F.floor(F.col("label") / 2)).alias("grp"), (F.col("label") % 2).alias("side"), "v", "pos")
     a, b = p.where("side = 0").select("grp", "pos", "v"), p.where("side = 1").select("grp", "pos", F.col("v").alias("w"))
     gap = F.zip_with("v", "w", lambda x, y: x - y)
     both = a.join(b, ["grp", "pos"]).select("grp", S.dot(F.col("v"), F.col("w")).alias("s"), F.sqrt(F.aggregate(gap, F.lit(0.0), lambda t, x: t + x * x)).alias("d"))
