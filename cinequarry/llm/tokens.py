@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import new_path
+from ..sources.shared import new_path
 
 END_ID = 2
 #: Stands for a null id among keys.
@@ -46,7 +46,7 @@ _FOOT, _FOOT_BYTES = "<QQQ", 24
 #: Folders that the buckets of an index are dealt to; buckets that a lookup asks for one by one at most.
 INDEX_PIECES, PRUNED = 256, 256
 #: Bytes of pieces and their ids that a worker keeps, about; twice that while old ones are given up.
-CACHE_BYTES = 112 << 20
+CACHE_BYTES = 96 << 20
 #: Characters of a piece that is kept at most, and bytes that an entry takes besides its piece and ids.
 _LONGEST, _ENTRY = 64, 200
 #: Texts are encoded together up to this many characters.
@@ -160,7 +160,10 @@ class Encoder:
         flat, starts = np.frombuffer(b"".join(ids), f"<u{self.width}"), np.cumsum(sizes) - sizes
         own = sizes[which]
         until = np.concatenate([np.zeros(1, np.int64), np.cumsum(own)])
-        whole = flat[np.repeat(starts[which] - until[:-1], own) + np.arange(until[-1])].tobytes()
+        kind = np.int32 if until[-1] < 1 << 31 else np.int64  # places of ids: a batch's largest arrays
+        at = np.repeat((starts[which] - until[:-1]).astype(kind), own)
+        at += np.arange(until[-1], dtype=kind)
+        whole = flat[at].tobytes()
         edges = (until[cut.offsets.to_numpy()] * self.width).tolist()
         return [whole[i:j] for i, j in zip(edges, edges[1:])]
 
