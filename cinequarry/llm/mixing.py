@@ -32,6 +32,8 @@ FIELD = 1 << 25
 MAX_RATE = 4.0
 #: The descent ends when expected tokens miss the targets by this share in sum, or no longer come nearer.
 ROUNDS, TOLERANCE = 200, 1e-4
+#: Share of what is missing that a step has to take off at least, or it is halved; the shortest step tried.
+GAIN, SHORTEST = 5e-3, 0.1
 
 
 @dataclass(frozen=True)
@@ -133,7 +135,7 @@ def solve(sized: DataFrame, targets: dict[str, float] | None = None, size: float
     sends as many numbers as there are pairs of domains. The residual is scaled by the
     inverse of A D A' (D: 1 / tokens) over the documents that no bound holds, which makes
     a unit step right wherever no further document meets a bound; a step that doesn't
-    come nearer is halved. Targets are never changed: what can't be met is ``missed``."""
+    come nearer by GAIN is halved. Targets are never changed: what can't be met is ``missed``."""
     targets = targets or TARGETS
     weights = np.array(list(targets.values()), float)
     weights = weights / weights.sum()
@@ -154,10 +156,10 @@ def solve(sized: DataFrame, targets: dict[str, float] | None = None, size: float
     aims = weights * (now[at] / weights[at] if size is None else size)
     steps: list[list[float]] = []
     scale = 1.0
-    while len(steps) < rounds and np.abs(now - aims).sum() > TOLERANCE * aims.sum() and np.trace(gram) > 0 and scale > 1e-3:
+    while len(steps) < rounds and np.abs(now - aims).sum() > TOLERANCE * aims.sum() and np.trace(gram) > 0 and scale > SHORTEST:
         step = scale * np.linalg.solve(gram + 1e-5 * np.trace(gram) / k * np.eye(k), now - aims)
         then, then_gram = state([*steps, step.tolist()])
-        if np.linalg.norm(then - aims) < np.linalg.norm(now - aims) * (1 - 1e-4):
+        if np.linalg.norm(then - aims) < np.linalg.norm(now - aims) * (1 - GAIN):
             steps, now, gram, scale = [*steps, step.tolist()], then, then_gram, min(1.0, 2 * scale)
         else:
             scale /= 2
