@@ -22,6 +22,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -77,6 +85,8 @@ def connected_components(links: DataFrame, spark: SparkSession) -> DataFrame:
         step = least.join(goals, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
         step = materialize(step, "labels")
         changed = step.where("label <> old").limit(1).count()
+        discard(labels)
         labels = step.select("node", "label")
         if not changed:
+            discard(both)
             return labels
