@@ -90,3 +90,16 @@ def connected_components(links: DataFrame, spark: SparkSession) -> DataFrame:
         if not changed:
             discard(both)
             return labels
+
+
+def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label: least node of its component) after more ``links``
+    (a, b: long). Only the components that the links touch are searched again, each as
+    one node, so a few new links cost little however large the components are."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joined = connected_components(ends.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")), labels.sparkSession)
+    moved = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    merged = materialize(moved.union(joined.join(labels, "node", "left_anti").select("node", "label")), "labels")
+    discard(joined)
+    return merged
