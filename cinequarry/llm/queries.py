@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, linededup, mixing, neighbours, packing, quality, simhash, tokens, urls, warc
+from . import infilling, licenses, linededup, merkle, mixing, neighbours, online_packing, packing, quality, simhash, tokens, urls, warc
 from ..sources.shared import new_path
 from .common import table
 
@@ -79,6 +79,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_lines", "n_dropped", "all_words", "kept_words", F.md5("text").alias("kept_md5"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = F.when(chosen, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
+    df = merkle.manifest(table(spark, sf_dir, "documents"), changed={"n_chars": changed})
+    df = df.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), merkle.folded(F.col("changed_leaf"), F.col("path")).alias("folded_root"))
+    return df.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = online_packing.pack_online(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = infilling.infill(table(spark, sf_dir, "documents"))
+    restored = infilling.restore(F.col("output"), F.col("form"))
+    return df.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_warc_captures": op1_warc_captures,
     "op2_license_scan": op2_license_scan,
@@ -90,10 +111,12 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_soft_mixing": op9_soft_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_online_packing": op12_online_packing,
+    "op13_infilling": op13_infilling,
 }
 
 
-
 def _urn_sql(kind: str, page: str = "page_id") -> str:
     h = f"md5('{kind}|' || coalesce({page}::VARCHAR, '-') || '|' || digest)"
     parts = " || '-' || ".join(f"substr({h}, {i}, {n})" for i, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
@@ -154,5 +177,48 @@ def _op4_sql() -> str:
   FROM ruled LEFT JOIN scores ON scores.url = ruled.url CROSS JOIN least"""
 
 
+def _told_sql(n_chars: str = "n_chars") -> str:
+    told = (f"coalesce(strlen(({n_chars if c == 'n_chars' else c})::VARCHAR) || ':' || ({n_chars if c == 'n_chars' else c})::VARCHAR, '-')" for c in merkle.COLUMNS)
+    return f"sha256({' || '.join(told)})"
+
+
+#: Whole levels, one after the other, of all trees and then of the tree over them; a leaf's siblings by its place at each level.
+OP11_SQL = f"""WITH RECURSIVE crc AS (SELECT i, crc FROM (WITH RECURSIVE t(i, k, crc) AS (SELECT i, 0, i::UBIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384::UBIGINT) ELSE crc >> 1 END FROM t WHERE k < 8) SELECT i, crc FROM t WHERE k = 8)),
+  steps(doc_id, k, crc) AS (SELECT DISTINCT doc_id, 0, 4294967295::UBIGINT FROM documents WHERE doc_id IS NOT NULL
+    UNION ALL SELECT s.doc_id, s.k + 1, xor(s.crc >> 8, c.crc) FROM steps s JOIN crc c ON c.i = xor(s.crc & 255, ascii(substr(s.doc_id::VARCHAR, s.k + 1, 1))::UBIGINT) WHERE s.k < length(s.doc_id::VARCHAR)),
+  chosen AS (SELECT doc_id FROM steps WHERE k = length(doc_id::VARCHAR) AND xor(crc, 4294967295::UBIGINT) % 7 = 0),
+  told AS (SELECT d.doc_id, coalesce('=' || lang, '') AS tree, {_told_sql()} AS leaf, {_told_sql("n_chars::HUGEINT + (c.doc_id IS NOT NULL)::INT")} AS changed FROM documents d LEFT JOIN chosen c USING (doc_id)),
+  leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM told),
+  nodes(tree, level, idx, hash, n) AS (SELECT tree, 0, idx, leaf, count(*) OVER (PARTITION BY tree) FROM leaves
+    UNION ALL SELECT tree, level + 1, idx // 2, sha256(string_agg(hash, '' ORDER BY idx)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 2, n),
+  subroots AS (SELECT tree, level, hash, row_number() OVER (ORDER BY encode(tree)) - 1 AS idx FROM nodes WHERE n = 1),
+  over_nodes(level, idx, hash, n) AS (SELECT 0, idx, hash, count(*) OVER () FROM subroots
+    UNION ALL SELECT level + 1, idx // 2, sha256(string_agg(hash, '' ORDER BY idx)), (n + 1) // 2 FROM over_nodes WHERE n > 1 GROUP BY level, idx // 2, n),
+  root AS (SELECT level AS top, hash AS root FROM over_nodes WHERE n = 1),
+  ways AS (SELECT l.tree, l.idx, s.level AS height, s.hash AS subroot, s.idx AS place, top, root, s.level + top AS steps, leaf, changed, doc_id FROM leaves l JOIN subroots s USING (tree), root),
+  each AS (SELECT tree, idx, height, place, unnest(range(steps)) AS step FROM ways),
+  beside AS (SELECT e.tree, e.idx, e.step, coalesce(a.hash, b.hash) AS hash, CASE WHEN step < height THEN (e.idx >> step) % 2 ELSE (place >> (step - height)) % 2 END = 1 AS on_left FROM each e
+    LEFT JOIN nodes a ON step < height AND a.tree = e.tree AND a.level = step AND a.idx = xor(e.idx >> step, 1)
+    LEFT JOIN over_nodes b ON step >= height AND b.level = step - height AND b.idx = xor(place >> (step - height), 1)),
+  proofs AS (SELECT tree, idx, sha256(coalesce(string_agg(hash, '' ORDER BY step), '')) AS proof FROM beside GROUP BY ALL),
+  folds(tree, idx, step, hash) AS (SELECT tree, idx, 0, changed FROM ways
+    UNION ALL SELECT tree, idx, f.step + 1, sha256(CASE WHEN b.hash IS NULL THEN f.hash WHEN on_left THEN b.hash || f.hash ELSE f.hash || b.hash END) FROM folds f JOIN beside b USING (tree, idx) WHERE b.step = f.step)
+  SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, f.hash AS folded_root, f.hash = root AS verified
+  FROM ways w JOIN folds f ON f.tree = w.tree AND f.idx = w.idx AND f.step = steps LEFT JOIN proofs p ON p.tree = w.tree AND p.idx = w.idx"""
+
+
+def _op13_sql() -> str:
+    unit = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+    draws = ", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))
+    bare = " OR ".join(f"contains(text, '{x}')" for x in (infilling.PREFIX, infilling.SUFFIX, infilling.MIDDLE))
+    p, s, m = infilling.PREFIX, infilling.SUFFIX, infilling.MIDDLE
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{unit}') AS units, sha256('{infilling.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+  n AS (SELECT *, len(units) AS n, {draws} FROM d),
+  f AS (SELECT *, CASE WHEN text = '' OR {bare} OR h3 % 100 >= {infilling.RATE} THEN 'plain' WHEN h4 % 100 < {infilling.SPM} THEN 'spm' ELSE 'psm' END AS form, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM n),
+  c AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM f)
+  SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{p}' || prefix || '{s}' || suffix || '{m}' || middle ELSE '{s}' || suffix || '{p}' || prefix || '{m}' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM c"""
+
+
 #: The other queries stand on a tokenizer, learned models, trees or iteration; tests hold them against brute force.
-ORACLE_SQL = {"op1_warc_captures": OP1_SQL, "op2_license_scan": _op2_sql(), "op4_url_filter": _op4_sql()}
+ORACLE_SQL = {"op1_warc_captures": OP1_SQL, "op2_license_scan": _op2_sql(), "op4_url_filter": _op4_sql(), "op11_merkle_manifest": OP11_SQL, "op13_infilling": _op13_sql()}
