@@ -31,12 +31,13 @@ def least_squares_level(counts: np.ndarray, n: int) -> int:
     window that goes from l to l + n changes the sum of the counts' squares by
     2 * (counts[l + n] - counts[l] + 1); one less if l is empty or l + n is full, which
     aren't counted. The least sum wins, the fullest of equals."""
-    room = len(counts) - n  # levels 0 .. room - 1 hold n more
-    change = 2 * (counts[n:] - counts[:room] + 1)
-    change[0] -= 1
-    change[-1] -= 1
-    change[1:][counts[1:room] == 0] = np.iinfo(np.int64).max
-    return room - 1 - int(np.argmin(change[::-1]))
+    levels = np.flatnonzero(counts[: len(counts) - n])[::-1]  # those that have a window with room, fullest first
+    change = 2 * (counts[levels + n] - counts[levels] + 1)
+    if len(levels) and levels[0] + n == len(counts) - 1:
+        change[0] -= 1
+    new = 2 * int(counts[n]) + (n < len(counts) - 1)
+    best = int(np.argmin(change)) if len(levels) else -1
+    return int(levels[best]) if best >= 0 and change[best] <= new else 0
 
 
 def _is_power(n: int) -> bool:
@@ -143,17 +144,21 @@ def pack_online(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
 
         def ended() -> pa.RecordBatch:
             nonlocal number
-            rows = []
-            for sequence in windows.done:
-                offset = 0
-                for (doc_id, total), start, ids in sequence:
-                    rows.append((doc_id, start, len(ids), ids.astype("<u4").tobytes(), total, number, offset))
-                    offset += len(ids)
-                number += 1
+            pieces = [p for sequence in windows.done for p in sequence]
+            sizes = np.fromiter(map(len, windows.done), np.int64, len(windows.done))
+            sequence = np.repeat(np.arange(number, number + len(sizes)), sizes)
+            number += len(sizes)
             windows.done = []
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            kinds = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            length = np.fromiter((len(p[2]) for p in pieces), np.int64, len(pieces))
+            until = np.concatenate([np.zeros(1, np.int64), np.cumsum(length)])
+            first = np.repeat(until[:-1][np.cumsum(sizes) - sizes], sizes)
+            ids = np.concatenate([p[2] for p in pieces]).astype("<u4") if pieces else np.zeros(0, "<u4")
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(4 * until), pa.py_buffer(ids)])
+            told = {
+                "doc_id": pa.array([p[0][0] for p in pieces], id_type), "start": pa.array([p[1] for p in pieces], pa.int64()), "length": pa.array(length), "ids": raw.cast(pa.binary()),
+                "doc_tokens": pa.array([p[0][1] for p in pieces], pa.int64()), "sequence_id": pa.array(sequence), "offset": pa.array(until[:-1] - first),
+            }
+            return pa.RecordBatch.from_arrays(list(told.values()), names=list(told))
 
         for batch in batches:
             id_type = batch.schema.field(0).type

@@ -126,7 +126,9 @@ class Encoder:
         known, tails, plain, odd = self.known, [], [], []
         for i in lacking:
             x = pieces[i]
-            if m := _TAIL(x):
+            if x[1:].isalpha() and x[0] in " \n":
+                plain.append(x)
+            elif m := _TAIL(x):
                 tails.append((i, *m.groups()))
             elif x[:1] in (" ", "\n") and x.split(None, 1) == [x[1:]]:
                 plain.append(x)
@@ -154,7 +156,7 @@ class Encoder:
             marked = pc.replace_substring(pc.replace_substring(marked, " ", "\0 "), "\n", "\0\n")
         cut = pc.split_pattern(marked, "\0")
         coded = pc.dictionary_encode(cut.flatten())
-        ids = self.ids_of(coded.dictionary.to_pylist())
+        ids = self.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         which = coded.indices.to_numpy()
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
         flat, starts = np.frombuffer(b"".join(ids), f"<u{self.width}"), np.cumsum(sizes) - sizes
