@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import metrics as M
-from ..operators.ordering import middle_values
+from ..operators.ordering import middle_values, scan
 from ..sources import fixtures as X
 from .registry import query
 
@@ -131,18 +128,11 @@ def q43_tumbling_steps(spark: SparkSession, sf: str) -> DataFrame:
   f AS (SELECT bucket, rn, flush, loss AS ema FROM n WHERE rn = 1 UNION ALL SELECT n.bucket, n.rn, n.flush, 0.9::DOUBLE * f.ema + 0.1::DOUBLE * n.loss FROM f JOIN n ON n.bucket = f.bucket AND n.rn = f.rn + 1)
   SELECT bucket, flush, round(ema, 6) AS ema FROM f""")
 def q55_ema_fold(spark: SparkSession, sf: str) -> DataFrame:
-    """Exponential moving average of each bucket's means by flush (rows are flushes, not steps).
-
-    The recurrence m' = 0.9 m + 0.1 x runs once through a bucket's flushes in order, a
-    hundredth of its steps."""
+    """Exponential moving average of each bucket's means by flush (rows are flushes, not steps):
+    m' = 0.9 m + 0.1 x, from the first mean on."""
     flushes = X.metric_events(spark, sf).groupBy("bucket", F.floor((F.col("step") - 1) / 100).alias("flush")).agg(F.avg("loss").alias("loss"))
-
-    def fold(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("flush")
-        ema = list(accumulate(rows["loss"].to_pylist(), lambda m, x: 0.9 * m + 0.1 * x))
-        return rows.select(["bucket", "flush"]).append_column("ema", pa.array(ema, pa.float64()))
-
-    return flushes.groupBy("bucket").applyInArrow(fold, "bucket string, flush bigint, ema double").withColumn("ema", F.round("ema", 6))
+    ema = scan(flushes, ["bucket"], ["flush"], F.lit(0.9), 0.1 * F.col("loss"), "ema", start=F.col("loss"))
+    return ema.select("bucket", "flush", F.round("ema", 6).alias("ema"))
 
 
 @query(f"""WITH {X.FEAT}, l AS (SELECT vec_id, i - 1 AS expert, exp(v[i] * 4) AS e FROM feat, range(1, 9) r(i)), p AS (SELECT vec_id, expert, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM l),
