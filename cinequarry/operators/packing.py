@@ -2,76 +2,133 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-@dataclass(frozen=True)
-class Layout:
-    """Token counts of one latent shape (channels, frames, height, width) and its audio."""
-
-    channels: int
-    frames: int
-    height: int
-    width: int
-    patch: int = 1
-    patch_t: int = 1
-    audio_channels: int = 0
-    audio_len: int = 0
-
-    @property
-    def t_pad(self) -> int:
-        return -self.frames % self.patch_t
-
-    @property
-    def t_tokens(self) -> int:
-        return (self.frames + self.t_pad) // self.patch_t
-
-    @property
-    def token_dim(self) -> int:
-        return self.channels * self.patch_t * self.patch**2
-
-    @property
-    def token_width(self) -> int:
-        return max(self.token_dim, self.audio_channels)
-
-    @property
-    def grid(self) -> tuple[int, int]:
-        return self.height // self.patch, self.width // self.patch
-
-    @property
-    def seq_len(self) -> int:
-        return self.t_tokens * self.grid[0] * self.grid[1] + self.audio_len
+from .ordering import cut_lineage, dense_ids, places_within, states_before
+from .sampling import portable_uniform
 
 
 VIDEO, AUDIO, TEXT, PAD = range(4)
 
 
-def position_ids(spark: SparkSession, layout: Layout, text_len: int) -> DataFrame:
-    """(pos, t, h, w, modality) of one sample's tokens: video cells row by row, audio on the
-    video's time axis, then text after the last time."""
-    rows, columns = layout.grid
-    cells = layout.t_tokens * rows * columns
-    p, i = F.col("id"), F.col("id") - cells
-    step = layout.t_tokens / layout.audio_len if layout.audio_len else 0.0
-    video, audio = p < cells, p < cells + layout.audio_len
-    after = max(layout.t_tokens - 1.0, (layout.audio_len - 1) * step) + 1
+def with_tokens(layouts: DataFrame) -> DataFrame:
+    """Adds what follows from a layout's shape (frames, rows and columns of latents, audio, and
+    the patch sizes patch and patch_t): times and cells of its video tokens, and seq_len with
+    the audio's tokens. Frames are padded to whole patches."""
+    times = F.ceil(F.col("frames") / F.col("patch_t"))
+    cells = F.floor(F.col("rows") / F.col("patch")) * F.floor(F.col("columns") / F.col("patch"))
+    return layouts.withColumn("times", times.cast("long")).withColumn("cells", cells.cast("long")).withColumn("seq_len", (F.col("times") * F.col("cells") + F.col("audio")).cast("long"))
+
+
+def position_ids(layouts: DataFrame, text_len: int) -> DataFrame:
+    """(layout, pos, t, h, w, modality) of the tokens of every layout (layout and the columns of
+    ``with_tokens``): video cells row by row, audio on the video's time axis, then text after
+    the last time."""
+    each = layouts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("seq_len") + text_len - 1)).alias("pos"))
+    pos, wide = F.col("pos"), F.floor(F.col("columns") / F.col("patch"))
+    i = pos - F.col("times") * F.col("cells")
+    video, audio = i < 0, i < F.col("audio")
+    step = F.when(F.col("audio") > 0, F.col("times") / F.col("audio")).otherwise(0.0)
+    after = F.greatest(F.col("times") - 1.0, (F.col("audio") - 1) * step) + 1
     zero, minus = F.lit(0.0), F.lit(-1.0)
-    return spark.range(layout.seq_len + text_len).select(
-        p.alias("pos"),
-        F.when(video, F.floor(p / (rows * columns)).cast("double")).when(audio, i * step).otherwise(after + (i - layout.audio_len)).alias("t"),
-        F.when(video, (F.floor(p / columns) % rows).cast("double")).when(audio, minus).otherwise(zero).alias("h"),
-        F.when(video, (p % columns).cast("double")).when(audio, minus).otherwise(zero).alias("w"),
+    return each.select(
+        "layout", "pos",
+        F.when(video, F.floor(pos / F.col("cells")).cast("double")).when(audio, i * step).otherwise(after + (i - F.col("audio"))).alias("t"),
+        F.when(video, F.floor((pos % F.col("cells")) / wide).cast("double")).when(audio, minus).otherwise(zero).alias("h"),
+        F.when(video, (pos % wide).cast("double")).when(audio, minus).otherwise(zero).alias("w"),
         F.when(video, VIDEO).when(audio, AUDIO).otherwise(TEXT).cast("long").alias("modality"),
-    )
+    )
 
 
-def budget(layouts: list[Layout], batch: int) -> tuple[int, int]:
-    """Tokens of a bin, and samples it can hold at most."""
-    x_len = max(x.seq_len for x in layouts) * batch
-    return x_len, -(-x_len // min(x.seq_len for x in layouts))
+def budget(layouts: DataFrame, batch: int) -> DataFrame:
+    """One row: tokens of a bin, and samples it can hold at most."""
+    tokens = F.max("seq_len") * batch
+    return layouts.agg(tokens.alias("tokens"), F.ceil(tokens / F.min("seq_len")).alias("samples"))
+
+
+#: Items that are laid out together in one task.
+STREAM_BLOCK = 4096
+
+
+def next_fit(items: DataFrame, order: list[str], size: str, most_tokens: int, most_items: int, block: int = STREAM_BLOCK) -> DataFrame:
+    """``items`` with bin, slot and x_off (long): in ``order``, which has to be total, an item
+    goes to the open bin if its size fits beside the others and they are fewer than
+    ``most_items``, else the next bin opens with it. An item above ``most_tokens`` is alone.
+
+    Where a bin ends follows from where it begins, so items are cut into blocks by their
+    places, each with the few items after it that its last bin can reach. A block tells for
+    each place where a bin may begin in it where the first bin of the next block begins, and
+    how many bins begin in it; these steps are joined (``ordering.states_before``), and then
+    each block lays out its own bins. No task sees more than a block."""
+    if not 0 < most_items <= block:
+        raise ValueError("a bin's items have to fit into a block")
+    placed = cut_lineage(dense_ids(items, order, "_at").withColumn("_block", F.floor(F.col("_at") / block)))
+    near = (F.col("_at") % block < most_items) & (F.col("_block") > 0)
+    met = placed.withColumn("_in", F.explode(F.when(near, F.array("_block", F.col("_block") - 1)).otherwise(F.array("_block"))))
+
+    def ends(sizes: np.ndarray) -> np.ndarray:
+        """Where the bin ends that begins at each item."""
+        until = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        i = np.arange(len(sizes))
+        fits = np.searchsorted(until, until[:-1] + most_tokens, side="right") - 1
+        return np.minimum(np.maximum(fits, i + 1), i + most_items)
+
+    def steps(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_at")
+        own = int((rows["_block"].to_numpy() == key[0].as_py()).sum())
+        end = ends(rows["_size"].to_numpy()).tolist()
+        to, n = [max(0, i - own) for i in range(own + most_items)], [0] * (own + most_items)  # behind the block: places of the next
+        for i in range(own - 1, -1, -1):
+            to[i], n[i] = to[end[i]], n[end[i]] + 1
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "to": pa.array([to[:most_items]], pa.list_(pa.int32())), "adds": pa.array([n[:most_items]], pa.list_(pa.int64()))})
+
+    def laid(rows: pa.Table, begin: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_at")
+        sizes = rows["_size"].to_numpy()
+        own = int((rows["_block"].to_numpy() == rows["_in"].to_numpy()).sum())
+        end, at, number = ends(sizes), begin["state"][0].as_py(), begin["total"][0].as_py()
+        first, last = [], []
+        while at < own:
+            first.append(at)
+            at = int(end[at])
+            last.append(at)
+        first, n = np.array(first, np.int64), np.array(last, np.int64) - np.array(first, np.int64)
+        begins = np.repeat(first, n)
+        taken = first[0] + np.arange(len(begins)) if len(first) else begins
+        before = np.cumsum(sizes) - sizes
+        out = rows.take(pa.array(taken)).select(names)
+        told = [np.repeat(np.arange(number, number + len(n)), n), taken - begins, before[taken] - before[begins]]
+        return pa.Table.from_arrays([*out.columns, *map(pa.array, told)], names=[*names, "bin", "slot", "x_off"])
+
+    names = items.columns
+    kept = met.select(*names, F.col(size).cast("long").alias("_size"), "_at", "_block", "_in")
+    states = states_before(kept.select("_at", "_block", "_in", "_size").groupBy("_in").applyInArrow(steps, "at bigint, to array<int>, adds array<bigint>"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
+    return kept.groupBy("_in").cogroup(states.groupBy("at")).applyInArrow(laid, f"{fields}, bin bigint, slot bigint, x_off bigint")
+
+
+def bin_stream(members: DataFrame, lengths: DataFrame, draws: int, ranks: int, most_tokens: int, most_items: int, seed: int = 0) -> DataFrame:
+    """(rank, bin, slot, x_off, bucket, item): the bins of a whole training stream.
+
+    ``draws`` buckets are drawn by their number of ``members`` (bucket, item), the same for all
+    ranks, and fill bins by ``next_fit`` with the ``lengths`` (bucket, seq_len) of their
+    layouts; so all ranks have the same layouts. Each rank draws its own item of the bucket
+    for each slot. Draws follow from seed, rank and draw. There is a row for each bucket in
+    ``lengths``; a bucket without members is never drawn."""
+    placed = places_within(members.select("bucket", "item"), ["bucket"], ["item"], "place")
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).join(lengths, "bucket")
+    upto = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    bounds = sizes.select(upto.alias("upto"), "bucket", "n", "seq_len").agg(F.array_sort(F.collect_list(F.struct("upto", "bucket", "n", "seq_len"))).alias("bounds"))
+    drawn = members.sparkSession.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(bounds))  # one row
+    hit = F.element_at(F.filter("bounds", lambda b: portable_uniform(seed, F.col("draw")) * F.element_at("bounds", -1)["upto"] < b["upto"]), 1)
+    shapes = drawn.select("draw", hit.alias("b")).select("draw", "b.bucket", "b.n", "b.seq_len")
+    bins = next_fit(shapes, ["draw"], "seq_len", most_tokens, most_items)
+    slots = bins.withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ranks - 1).cast("long"))))
+    own = F.floor(portable_uniform(seed + 1, F.concat_ws("|", "rank", "draw")) * F.col("n")).cast("long")
+    return slots.withColumn("place", own).join(placed, ["bucket", "place"]).select("rank", "bin", "slot", "x_off", "bucket", "item")
 
 
 def first_fit(items: DataFrame, key: str, size: str, most_tokens: int, most_items: int) -> list[tuple[int, int]]:

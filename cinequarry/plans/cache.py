@@ -15,7 +15,7 @@ from ..sources import cache
 from ..sources import fixtures as X
 from ..sources.shared import new_path
 from .curation import BUCKETS, CAPTIONS, NEAREST
-from .packing import BINS, TEXT_LEN, bins
+from .packing import BINS, TEXT_LEN, UNIFORM, bins
 from .registry import query
 
 SPLIT = "CASE WHEN item_id % 10 = 0 THEN 'test' ELSE 'train' END"
@@ -55,9 +55,6 @@ def q78_feature_cache(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("item_id", F.col("bucket_id").alias("bucket"), length.alias("latent_len"), total("latent").alias("latent_sum"), F.col("caption_count").cast("long").alias("captions"), F.get("texts", F.lit(0)).alias("primary_caption"), total("audio").alias("audio_sum"))
 
 
-UNIFORM = "('0x' || substr(md5('{seed}|' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
-
-
 @query(f"""WITH {CAPTIONS} SELECT stem, texts[floor({UNIFORM.format(seed=3, key="stem")} * len(texts))::BIGINT + 1] AS caption, len(texts)::BIGINT AS n FROM clip_captions""")
 def q79_caption_draw(spark: SparkSession, sf: str) -> DataFrame:
     df = C.captions_by_clip(X.caption_fields(spark, sf))

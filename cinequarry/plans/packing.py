@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import packing as P
 from ..sources import fixtures as X
+from .curation import NEAREST
 from .registry import query
 
 #: Every order is a bin, its lines are the slots.
 BINS = """bins AS (SELECT l_orderkey AS bin, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS slot, l_quantity::BIGINT AS seq_len FROM lineitem),
   placed AS (SELECT *, (sum(seq_len) OVER w - seq_len)::BIGINT AS x_off, (sum(seq_len) OVER w - seq_len + slot * 4)::BIGINT AS joint_off FROM bins WINDOW w AS (PARTITION BY bin ORDER BY slot ROWS UNBOUNDED PRECEDING))"""
 TEXT_LEN = 4
+#: A draw in [0, 1), as ``sampling.portable_uniform`` has it.
+UNIFORM = "('0x' || substr(md5('{seed}|' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 
 
 def bins(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,13 +54,54 @@ def q41_segment_expand(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-LAYOUT = P.Layout(16, 5, 8, 12, patch=2, patch_t=2, audio_channels=64, audio_len=11)
+#: Seconds of a clip's window, from its duration, and the layout of its latents: two frames a second and one, cells of 32 pixels.
+SECONDS = "CASE WHEN duration >= 20 THEN 20 WHEN duration >= 10 THEN 10 ELSE 5 END"
+LAYOUTS = f"""{X.CLIP_SRC}, clip_buckets AS (SELECT item_id AS item, ({SECONDS})::VARCHAR || 's_' || {NEAREST} AS bucket FROM clip_src),
+  shapes AS (SELECT DISTINCT bucket, string_split(bucket, 's_')[1]::BIGINT AS seconds, string_split(string_split(bucket, 's_')[2], 'x') AS sides FROM clip_buckets),
+  layouts AS (SELECT bucket, seconds + 1 AS times, (sides[2]::BIGINT // 64) * (sides[1]::BIGINT // 64) AS cells, sides[1]::BIGINT // 64 AS wide, 10 * seconds AS audio, (seconds + 1) * ((sides[2]::BIGINT // 64) * (sides[1]::BIGINT // 64)) + 10 * seconds AS seq_len FROM shapes)"""
 
 
-@query("""SELECT i AS pos, CASE WHEN i < 72 THEN (i // 24)::DOUBLE WHEN i < 83 THEN (i - 72) * (3::DOUBLE / 11) ELSE greatest(2.0, 10 * (3::DOUBLE / 11)) + 1 + (i - 83) END::DOUBLE AS t, (CASE WHEN i < 72 THEN (i // 6) % 4 WHEN i < 83 THEN -1 ELSE 0 END)::DOUBLE AS h,
-  (CASE WHEN i < 72 THEN i % 6 WHEN i < 83 THEN -1 ELSE 0 END)::DOUBLE AS w, (CASE WHEN i < 72 THEN 0 WHEN i < 83 THEN 1 ELSE 2 END)::BIGINT AS modality FROM range(99) r(i)""")
+def clip_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """(bucket, item): clips by the seconds of their window and their size."""
+    duration = F.col("duration")
+    seconds = F.when(duration >= 20, 20).when(duration >= 10, 10).otherwise(5)
+    return X.clip_src(spark, sf).select(S.bucket_key(seconds, S.aspect_by_nearest(F.col("w"), F.col("h"))).alias("bucket"), F.col("item_id").alias("item"))
+
+
+def layouts(buckets: DataFrame) -> DataFrame:
+    """The layout of every bucket that has clips."""
+    parts = F.split("bucket", "s_|x")
+    number = lambda i: F.get(parts, F.lit(i)).cast("long")
+    shapes = buckets.select("bucket").distinct().select(
+        F.col("bucket").alias("layout"), (2 * number(0) + 1).alias("frames"), F.floor(number(2) / 32).alias("rows"), F.floor(number(1) / 32).alias("columns"),
+        (10 * number(0)).alias("audio"), F.lit(2).alias("patch"), F.lit(2).alias("patch_t"),
+    )
+    return P.with_tokens(shapes)
+
+
+@query(f"""WITH {LAYOUTS}, e AS (SELECT *, unnest(range(seq_len + 16)) AS pos FROM layouts), p AS (SELECT *, pos - times * cells AS i, times / audio::DOUBLE AS step FROM e)
+  SELECT bucket AS layout, pos, round(CASE WHEN i < 0 THEN (pos // cells)::DOUBLE WHEN i < audio THEN i * step ELSE greatest(times - 1.0::DOUBLE, (audio - 1) * step) + 1 + (i - audio) END, 9) AS t,
+    (CASE WHEN i < 0 THEN (pos % cells) // wide WHEN i < audio THEN -1 ELSE 0 END)::DOUBLE AS h, (CASE WHEN i < 0 THEN pos % wide WHEN i < audio THEN -1 ELSE 0 END)::DOUBLE AS w,
+    (CASE WHEN i < 0 THEN 0 WHEN i < audio THEN 1 ELSE 2 END)::BIGINT AS modality FROM p""")
 def q42_position_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return P.position_ids(spark, LAYOUT, 16)
+    """Positions of the tokens of every layout that clips have, with 16 of text."""
+    ids = P.position_ids(layouts(clip_buckets(spark, sf)), 16)
+    return ids.withColumn("t", F.round("t", 9))
+
+
+@query(f"""WITH RECURSIVE {LAYOUTS}, members AS (SELECT bucket, item, row_number() OVER (PARTITION BY bucket ORDER BY item) - 1 AS place FROM clip_buckets),
+  sizes AS (SELECT bucket, count(*) AS n FROM members GROUP BY bucket), bounds AS (SELECT bucket, n, seq_len, sum(n) OVER (ORDER BY bucket) AS upto, sum(n) OVER () AS total FROM sizes JOIN layouts USING (bucket)),
+  drawn AS (SELECT i AS draw, min_by(bucket, upto) AS bucket, min_by(n, upto) AS n, min_by(seq_len, upto) AS seq_len FROM range((SELECT count(*) FROM documents)) r(i) JOIN bounds ON {UNIFORM.format(seed=11, key="i")} * total < upto GROUP BY i),
+  f(draw, bin, slot, x_off, used) AS (SELECT draw, 0::BIGINT, 0::BIGINT, 0::BIGINT, seq_len FROM drawn WHERE draw = 0
+    UNION ALL SELECT d.draw, CASE WHEN used + seq_len <= 32768 AND slot < 15 THEN bin ELSE bin + 1 END, CASE WHEN used + seq_len <= 32768 AND slot < 15 THEN slot + 1 ELSE 0 END, CASE WHEN used + seq_len <= 32768 AND slot < 15 THEN used ELSE 0 END,
+      CASE WHEN used + seq_len <= 32768 AND slot < 15 THEN used + seq_len ELSE seq_len END FROM f JOIN drawn d ON d.draw = f.draw + 1),
+  slots AS (SELECT rank, bin, slot, x_off, bucket, floor({UNIFORM.format(seed=12, key="(rank || '|' || draw)")} * n)::BIGINT AS place FROM f JOIN drawn USING (draw), range(4) r(rank))
+  SELECT rank, bin, slot, x_off::BIGINT AS x_off, bucket, item FROM slots JOIN members USING (bucket, place)""")
+def q90_bin_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """As many draws as there are clips, in bins of 32,768 tokens and 16 clips at most, for four ranks."""
+    members = clip_buckets(spark, sf)
+    lengths = layouts(members).select(F.col("layout").alias("bucket"), "seq_len")
+    return P.bin_stream(members, lengths, members.count(), 4, 32_768, 16, seed=11)
 
 
 @query(f"""WITH {BINS}, s AS (SELECT bin, sum(seq_len + 4)::BIGINT AS used, sum((seq_len + 4) * (seq_len + 4))::BIGINT AS sq FROM placed GROUP BY bin)

@@ -54,11 +54,14 @@ def test_first_fit(spark):
 
 
 def test_layouts(spark):
-    layout = packing.Layout(16, 5, 8, 12, patch=2, patch_t=2, audio_channels=64, audio_len=11)
-    assert (layout.t_pad, layout.t_tokens, layout.seq_len, layout.token_dim, layout.token_width) == (1, 3, 83, 128, 128)
-    ids = packing.position_ids(spark, layout, 4).orderBy("pos").collect()
+    columns = "layout string, frames long, rows long, columns long, audio long, patch int, patch_t int"
+    layouts = packing.with_tokens(spark.createDataFrame([("a", 5, 8, 12, 11, 2, 2), ("b", 1, 8, 12, 0, 2, 1)], columns))
+    assert [tuple(r) for r in layouts.select("layout", "times", "cells", "seq_len").orderBy("layout").collect()] == [("a", 3, 24, 83), ("b", 1, 24, 24)]
+    ids = packing.position_ids(layouts.where("layout = 'a'"), 4).orderBy("pos").collect()
     assert len(ids) == 87 and (ids[71].t, ids[71].h, ids[71].w) == (2.0, 3.0, 5.0) and ids[-1].modality == packing.TEXT
-    assert packing.budget([layout, packing.Layout(16, 1, 8, 12, patch=2)], 4) == (332, 14)
+    assert (ids[72].t, ids[72].h) == (0.0, -1.0) and ids[83].t == max(2.0, 10 * 3 / 11) + 1
+    assert [r.t for r in packing.position_ids(layouts.where("layout = 'b'"), 2).orderBy("pos").collect()][-2:] == [1.0, 2.0]
+    assert tuple(packing.budget(layouts, 4).first()) == (332, 14)
 
 
 def test_masked_and_macro_means(spark):
