@@ -2,73 +2,272 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path
+
 #: Rows of either side that meet in one task.
 BLOCK = 4096
-
-
-def _blocks(df: DataFrame, key: str, rows: int, block: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(max(1, -(-rows // block)))).cast("int")
-
-
-def best_anchors(candidates: DataFrame, anchors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(id, anchor, similarity): for each candidate the anchor with the largest inner
-    product, the smallest id of equals. Both sides have id and v.
-
-    Sides meet block by block as matrices; a block gives one row for each candidate, so
-    nothing is emitted for a pair."""
-    n, m = candidates.count(), anchors.count()
-    left_blocks, right_blocks = max(1, -(-n // block)), max(1, -(-m // block))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = candidates.select(F.col("id").alias("id"), "v", _blocks(candidates, "id", n, block).alias("a")).withColumn("b", every(right_blocks))
-    right = anchors.select(F.col("id").alias("anchor"), F.col("v").alias("w"), _blocks(anchors, "id", m, block).alias("b")).withColumn("a", every(left_blocks))
+#: Anchors of a cell on average; cells, and bytes of their centres, at most.
+CELL, MOST_CELLS, CENTRE_BYTES = 1024, 4096, 32 << 20
+#: Groups that a round of choices looks at, rows of each it takes along, and choices at most.
+GROUPS, TAKEN, MOST_CHOSEN = 64, 256, 100_000
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _vectors(rows: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
+    return np.array(rows.column(column).to_pylist(), np.float64).reshape(rows.num_rows, -1)
+
+
+class Cells:
+    """Cells of anchors around centres, and how near to a vector an anchor of each can be."""
+
+    def __init__(self, centres: np.ndarray) -> None:
+        self.centres = centres
+        self.norms = np.linalg.norm(centres, axis=1)
+        self.reach = self.angle = self.longest = np.zeros(len(centres))
+        self.sizes = np.zeros(len(centres), np.int64)
+
+    def angles(self, x: np.ndarray, dots: np.ndarray) -> np.ndarray:
+        """Between each vector and each centre; none to a vector of length zero."""
+        scale = np.linalg.norm(x, axis=1)[:, None] * self.norms
+        return np.arccos(np.clip(np.divide(dots, scale, out=np.ones_like(dots), where=scale > 0), -1, 1))
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Nearest centre of each vector, its distance, angle and the vector's length."""
+        dots = x @ self.centres.T
+        at = (self.norms**2 - 2 * dots).argmin(axis=1)
+        row = np.arange(len(x))
+        length = np.linalg.norm(x, axis=1)
+        angle = np.where(length * self.norms[at] > 0, self.angles(x, dots)[row, at], np.pi)
+        return at, np.linalg.norm(x - self.centres[at], axis=1), angle, length
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        """The largest inner product that an anchor of each cell can have with each vector: by
+        its distance from the centre, and by the angle that is left at least."""
+        dots = x @ self.centres.T
+        length = np.linalg.norm(x, axis=1)[:, None]
+        left = np.where(self.norms > 0, np.maximum(0, self.angles(x, dots) - self.angle), 0)
+        most = np.minimum(dots + length * self.reach, length * self.longest * np.maximum(0, np.cos(left)))
+        return np.where(self.sizes > 0, most + 1e-9 * (1 + length * self.longest), -np.inf)
+
+
+def _cells_of(anchors: DataFrame, m: int, cell: int) -> tuple[DataFrame, Cells]:
+    """Anchors (anchor, w, cell) and their cells. Centres are anchors drawn by a hash."""
+    dims = len(anchors.select("v").first().v)
+    k = max(1, min(-(-m // cell), MOST_CELLS, CENTRE_BYTES // (8 * max(1, dims))))
+    cells = Cells(np.array([r.v for r in anchors.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(k).collect()], np.float64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at, reach, angle, length = cells.place(_vectors(batch, "w"))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (at.astype(np.int32), reach, angle, length))], names=["anchor", "w", "cell", "reach", "angle", "length"])
+
+    placed = written(anchors.select(F.col("id").alias("anchor"), F.col("v").alias("w")).mapInArrow(run, "anchor bigint, w array<double>, cell int, reach double, angle double, length double"), "anchors")
+    told = placed.groupBy("cell").agg(F.max("reach"), F.max("angle"), F.max("length"), F.count(F.lit(1))).collect()
+    cells.reach, cells.angle, cells.longest = np.zeros(k), np.zeros(k), np.zeros(k)
+    for at, *row in told:
+        cells.reach[at], cells.angle[at], cells.longest[at], cells.sizes[at] = row
+    return placed.select("anchor", "w", "cell"), cells
+
+
+def _met(asks: DataFrame, placed: DataFrame, sizes: np.ndarray, block: int) -> DataFrame:
+    """(id, m: struct of similarity and -anchor, seen): the best anchor among the cells asked.
+
+    A cell's askers and anchors meet block by block as matrices, each side copied for the
+    other's blocks; a block gives one row for each asker."""
+    spark = asks.sparkSession
+    each = asks.select("id", "v", F.explode("cells").alias("cell"))
+    askers = {r.cell: r.n for r in each.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    blocks = spark.createDataFrame([(c, -(-n // block), -(-int(sizes[c]) // block)) for c, n in askers.items()], "cell int, left_blocks int, right_blocks int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    left = each.join(F.broadcast(blocks), "cell").select("cell", "id", "v", own("id", "left_blocks").alias("a"), every("right_blocks").alias("b"))
+    right = placed.join(F.broadcast(blocks), "cell").select("cell", "anchor", "w", own("anchor", "right_blocks").alias("b"), every("left_blocks").alias("a"))
 
     def run(l: pa.Table, r: pa.Table) -> pa.Table:
         out: list = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if l.num_rows and r.num_rows:
             r = r.sort_by("anchor")
-            x, y = (np.array(t[c].to_pylist(), np.float64) for t, c in ((l, "v"), (r, "w")))
-            s = x @ y.T
+            s = _vectors(l, "v") @ _vectors(r, "w").T
             at = s.argmax(axis=1)
             out = [l["id"].to_numpy(), r["anchor"].to_numpy()[at], s[np.arange(len(at)), at]]
-        return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["id", "anchor", "similarity"])
-
-    pairs = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(run, "id bigint, anchor bigint, similarity double")
-    best = pairs.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("anchor")).alias("anchor"))).alias("m"))
-    return best.select("id", (-F.col("m.anchor")).alias("anchor"), F.col("m.similarity").alias("similarity"))
-
-
-def select_diverse(candidates: DataFrame, per_group: int, weight: float) -> list[tuple]:
-    """Greedy choice of ``per_group`` rows for each group, groups in order of size then name:
-    the largest similarity less ``weight`` times the largest similarity to what has been
-    chosen; of equals the larger similarity, then the larger id. Candidates have id, grp, v
-    and similarity.
-
-    A choice is one pass over the group in which Spark keeps the best row; the driver
-    holds the chosen rows only."""
-    from ..functions.scalars import dot
-
-    groups = [r.grp for r in candidates.groupBy("grp").count().orderBy("count", "grp").collect()]
-    chosen: list[tuple] = []
-    vectors: list[list[float]] = []
-    for group in groups:
-        pool = candidates.where(F.col("grp") == group)
-        for _ in range(per_group):
-            near = F.greatest(F.lit(0.0), F.lit(0.0), *[dot(F.col("v"), F.split(F.lit(",".join(map(repr, v))), ",").cast("array<double>")) for v in vectors])
-            free = pool.where(~F.col("id").isin([c[0] for c in chosen])) if chosen else pool
-            best = free.select("id", "similarity", "v", (F.col("similarity") - weight * near).alias("score")).orderBy(F.desc("score"), F.desc("similarity"), F.desc("id")).limit(1).collect()
-            if not best:
-                break
-            chosen.append((best[0].id, group, best[0].similarity, best[0].score))
-            vectors.append(list(best[0].v))
-    return chosen
+        return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array([r.num_rows] * len(out[0]), pa.int64())], names=["id", "anchor", "similarity", "seen"])
+
+    pairs = left.groupBy("cell", "a", "b").cogroup(right.groupBy("cell", "a", "b")).applyInArrow(run, "id bigint, anchor bigint, similarity double, seen bigint")
+    return pairs.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("anchor")).alias("minus"))).alias("m"), F.sum("seen").alias("more"))
+
+
+def best_anchors(candidates: DataFrame, anchors: DataFrame, block: int = BLOCK, cell: int = CELL) -> DataFrame:
+    """(id, anchor, similarity, seen): for each candidate the anchor with the largest inner
+    product, the smallest id of equals, and how many anchors it was compared with. Both
+    sides have id (long, distinct) and v. Without anchors there are no rows.
+
+    Exact without all pairs: anchors lie in cells around centres drawn from them. How near
+    an anchor of a cell can be to a candidate follows from the cell's reach and angle. A
+    candidate visits cells in order of that bound, twice as many in each round, and is done
+    when the next bound is below its best. Where vectors have no clusters, as random ones
+    of many dimensions, no bound holds much back and most cells are visited."""
+    m = anchors.count()
+    kind = "id bigint, anchor bigint, similarity double, seen bigint"
+    if not m:
+        return candidates.sparkSession.createDataFrame([], kind)
+    placed, cells = _cells_of(anchors, m, cell)
+
+    def asking(count: int) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                most = cells.bounds(_vectors(batch, "v"))
+                order = np.argsort(-most, axis=1, kind="stable")
+                best, at = batch.column("similarity").to_numpy(zero_copy_only=False), batch.column("at").to_numpy()
+                asked = [[int(c) for c in row[i : i + count] if bound[c] > -np.inf and not bound[c] < b] for row, bound, b, i in zip(order, most, best, at, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(asked, pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
+
+        return run
+
+    state = candidates.select("id", "v", F.lit(None).cast("long").alias("anchor"), F.lit(float("-inf")).alias("similarity"), F.lit(0).cast("long").alias("seen"), F.lit(0).alias("at"))
+    done, count = [], 1
+    while True:
+        asks = written(state.mapInArrow(asking(count), "id bigint, v array<double>, anchor bigint, similarity double, seen bigint, at int, cells array<int>"), "asks")
+        done.append(asks.where(F.size("cells") == 0))
+        asks = asks.where(F.size("cells") > 0)
+        if not asks.limit(1).count():
+            break
+        old = F.struct("similarity", (-F.col("anchor")).alias("minus"))
+        both = asks.join(_met(asks, placed, cells.sizes, block), "id").withColumn("best", F.when(F.col("anchor").isNull(), F.col("m")).otherwise(F.greatest(old, "m")))
+        state = both.select("id", "v", (-F.col("best.minus")).alias("anchor"), F.col("best.similarity").alias("similarity"), (F.col("seen") + F.col("more")).alias("seen"), (F.col("at") + count).alias("at"))
+        state = written(state, "best")
+        count *= 2
+    return reduce(DataFrame.union, done).select("id", "anchor", "similarity", "seen")
+
+
+def _choose(top: pd.DataFrame, before: np.ndarray, order: list[str], left: dict[str, int], weight: float, taken: int) -> tuple[list[tuple], pd.DataFrame]:
+    """Choices (id, grp, similarity, score, v) among the rows taken along, and the others of
+    these with their running maxima as they are now.
+
+    A row that wasn't taken along can't beat the last one of its group that was, whose bound
+    is stale. So choices go on while the best one is above it, and end at the first that isn't."""
+    near = top["near"].to_numpy(copy=True)
+    vectors = np.stack(top["v"].to_numpy()) if len(top) else np.zeros((0, 0))
+    if len(before) and len(top):
+        near = np.maximum(near, (vectors @ before.T).max(axis=1))
+    similarity, ids = top["similarity"].to_numpy(), top["id"].to_numpy()
+    free, choices = np.ones(len(top), bool), []
+    for group in order:
+        at = np.flatnonzero(top["grp"].to_numpy() == group)
+        floor = None
+        if len(at) > taken:
+            stale = [(similarity[i] - weight * top["near"].iloc[i], similarity[i], ids[i], i) for i in at]
+            *floor, last = min(stale)
+            at = at[at != last]
+        for _ in range(left[group]):
+            own = at[free[at]]
+            best = max(((similarity[i] - weight * near[i], similarity[i], ids[i], i) for i in own), default=None)
+            if best is None or (floor is not None and list(best[:3]) <= floor):
+                return choices, top.assign(near=near)[free]
+            i = best[3]
+            free[i] = False
+            choices.append((int(ids[i]), group, float(similarity[i]), float(best[0]), vectors[i].tolist()))
+            near = np.maximum(near, vectors @ vectors[i])
+    return choices, top.assign(near=near)[free]
+
+
+_CHOICES = "place long, id long, grp string, similarity double, score double, v array<double>, near double"
+
+
+def _choosing(order: list[str], wanted: dict[str, int], number: int, weight: float, taken: int) -> Callable:
+    """A round's choices, numbered from ``number`` on, and the running maxima of the other rows."""
+
+    def run(top: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        before = np.stack(held["v"].to_numpy()) if len(held) else np.zeros((0, 0))
+        picks, seen = _choose(top, before, order, wanted, weight, taken)
+        out = [(number + i, *p, None) for i, p in enumerate(picks)] + [(None, r.id, r.grp, r.similarity, None, None, r.near) for r in seen.itertuples()]
+        return pd.DataFrame(out, columns=["place", "id", "grp", "similarity", "score", "v", "near"])
+
+    return run
+
+
+def _nearer(chosen: np.ndarray) -> Callable:
+    """Running maxima by all that has been chosen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = np.maximum(batch.column("near").to_numpy(), (_vectors(batch, "v") @ chosen.T).max(axis=1))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "grp", "similarity")), pa.array(near)], names=["id", "grp", "similarity", "near"])
+
+    return run
+
+
+def select_diverse(candidates: DataFrame, per_group: int, weight: float, partial: bool = False, taken: int = TAKEN, groups: int = GROUPS) -> DataFrame:
+    """(place, id, grp, similarity, score): a greedy choice of ``per_group`` rows for each
+    group, groups in order of size, then name: the largest similarity less ``weight`` (0 or
+    more) times the largest similarity to what has been chosen (0 at least); of equals the
+    larger similarity, then the larger id. Candidates have id (long, distinct), grp (string),
+    v and similarity. A group with too few raises, or with ``partial`` gives what it has.
+
+    Lazy: a row's score can only fall, so its score by the running maximum that it had when
+    it was last looked at is a bound. A round takes along the rows with the best bounds of
+    the groups that are next, ``taken`` of each, chooses among them as long as the best one
+    beats every bound left behind, and writes back their running maxima. Only if a round
+    chooses nothing, the maxima of all rows of these groups are told anew. So rounds follow
+    from how often bounds mislead, not from how many rows are chosen. Choices are a report:
+    MOST_CHOSEN at most, whose vectors go to the task that chooses."""
+    spark = candidates.sparkSession
+    if weight < 0:
+        raise ValueError("bounds hold for weights of 0 or more")
+    sizes = [(r.grp, r["count"]) for r in candidates.groupBy("grp").count().orderBy("count", "grp").limit(MOST_CHOSEN + 1).collect()]
+    if not partial and (short := [g for g, n in sizes if n < per_group]):
+        raise ValueError(f"not enough candidates for {short[0]}: {per_group} wanted")
+    left = {g: min(n, per_group) for g, n in sizes}
+    if sum(left.values()) > MOST_CHOSEN:
+        raise ValueError(f"more than {MOST_CHOSEN} choices")
+    rows = written(candidates.select("id", F.col("grp").cast("string").alias("grp"), F.col("similarity").cast("double").alias("similarity"), F.col("v").cast("array<double>").alias("v")), "candidates")
+    maxima = rows.select("id", "grp", "similarity", F.lit(0.0).alias("near"))
+    chosen: list[DataFrame] = []
+    while order := [g for g, n in left.items() if n][:groups]:
+        ahead = maxima.where(F.col("grp").isin(order))
+        bound = F.col("similarity") - weight * F.col("near")
+        best = Window.partitionBy("grp").orderBy(bound.desc(), F.desc("similarity"), F.desc("id"))
+        top = ahead.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= taken + 1).drop("_n").join(rows.select("id", "v"), "id")
+        held = reduce(DataFrame.union, chosen).select("v") if chosen else rows.select("v").limit(0)
+        number = sum(min(n, per_group) for _, n in sizes) - sum(left.values())
+        wanted = {g: left[g] for g in order}
+
+        one = lambda df: df.withColumn("_one", F.lit(0)).groupBy("_one")
+        looked = written(one(top.select("id", "grp", "similarity", "near", "v")).cogroup(one(held)).applyInPandas(_choosing(order, wanted, number, weight, taken), _CHOICES), "choices")
+        picks = looked.where(F.col("place").isNotNull())
+        found = {r.grp: r.n for r in picks.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
+        left = {g: n - found.get(g, 0) for g, n in left.items()}
+        if found:
+            chosen.append(picks)
+            now = looked.select("id", F.col("near").alias("now"), F.col("place").isNotNull().alias("gone"))
+            maxima = maxima.join(now, "id", "left").where(~F.coalesce("gone", F.lit(False)))
+            maxima = maxima.select("id", "grp", "similarity", F.greatest("near", F.coalesce("now", F.lit(0.0))).alias("near"))
+        elif chosen:
+            near = _nearer(np.array([r.v for r in held.collect()], np.float64))
+            told = maxima.where(F.col("grp").isin(order)).join(rows.select("id", "v"), "id").mapInArrow(near, "id bigint, grp string, similarity double, near double")
+            maxima = told.union(maxima.where(~F.col("grp").isin(order)))
+        maxima = written(maxima.where(F.col("grp").isin([g for g, n in left.items() if n])), "maxima")
+    if not chosen:
+        return spark.createDataFrame([], "place long, id long, grp string, similarity double, score double")
+    return reduce(DataFrame.union, chosen).select("place", "id", "grp", "similarity", "score")
 
 
 def gaussian(features: DataFrame, by: list[str], vector: str = "v") -> DataFrame:

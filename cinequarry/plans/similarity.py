@@ -33,11 +33,10 @@ def q45_similarity_band(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def q46_greedy_mmr(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.ordering import cut_lineage
-
+    """Two diverse candidates of each label whose nearest anchor is near enough."""
     f = X.feat(spark, sf).select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("grp"), "v")
-    pool = cut_lineage(anchored(spark, sf).select("id", "similarity").join(f, "id").where(F.col("similarity") >= 0.3))
-    return spark.createDataFrame(V.select_diverse(pool, 2, 0.5), "id long, grp string, similarity double, score double")
+    pool = anchored(spark, sf).select("id", "similarity").join(f, "id").where(F.col("similarity") >= 0.3)
+    return V.select_diverse(pool, 2, 0.5, partial=True).select("id", "grp", "similarity", "score")
 
 
 @query(f"WITH {X.FEAT}, x AS (SELECT label, v[1] AS a, v[2] AS b, v[3] AS c, v[4] AS d FROM feat) SELECT label::BIGINT AS label, count(*) AS n, " + ", ".join(f"round(coalesce(covar_samp({p}, {q}), 0), 6) AS c_{p}{q}" for i, p in enumerate("abcd") for q in "abcd"[i:]) + " FROM x GROUP BY label")

@@ -85,31 +85,6 @@ def test_gaussian_and_frechet(spark):
     assert abs(similarity.frechet(np.array(g["x"].mean), np.array(g["x"].cov), np.array(g["y"].mean), np.array(g["y"].cov)) - want) < 1e-8
 
 
-def test_best_anchors_in_blocks(spark):
-    rng = np.random.default_rng(4)
-    a, b = rng.normal(size=(120, 5)), rng.normal(size=(90, 5))
-    b[7] = b[3]
-    frame = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<double>")
-    want = [(i, int((b @ v).argmax())) for i, v in enumerate(a)]
-    for block in (4096, 25):
-        got = similarity.best_anchors(frame(a), frame(b), block).collect()
-        assert sorted((r.id, r.anchor) for r in got) == want
-
-
-def test_greedy_choice(spark):
-    rng = np.random.default_rng(5)
-    v = rng.normal(size=(40, 4))
-    v /= np.linalg.norm(v, axis=1)[:, None]
-    rows = [(i, f"g{i % 3}", v[i].tolist(), round(float(rng.random()), 3)) for i in range(40)]
-    got = similarity.select_diverse(spark.createDataFrame(rows, "id long, grp string, v array<double>, similarity double"), 3, 0.5)
-    chosen = []
-    for g in sorted({r[1] for r in rows}, key=lambda g: (sum(r[1] == g for r in rows), g)):
-        for _ in range(3):
-            score = lambda r: r[3] - 0.5 * max([0.0] + [float(np.dot(r[2], v[c])) for c in chosen])
-            chosen.append(max((r for r in rows if r[1] == g and r[0] not in chosen), key=lambda r: (score(r), r[3], r[0]))[0])
-    assert [c[0] for c in got] == chosen
-
-
 def test_cover_sizes(spark):
     rows = [(i, i / 10, 100, 90) for i in range(20)] + [(50, 9.0, 80, 100), (51, 8.0, 200, 100), (52, 10.0, 200, 100)]
     df = spark.createDataFrame(rows, "item_id long, duration double, w int, h int")
