@@ -75,6 +75,43 @@ GNU = {"gnu general public license": ("gpl", (2, 3)), "gnu lesser general public
 #: Creative Commons licences: elements of the name, and versions.
 CC, CC_VERSIONS = ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"), ("2.0", "3.0", "4.0")
 
+#: Titles of licences and the identifiers of SPDX lines, by the licence's name; a title stands on a line of its own.
+TITLES = {
+    "Apache-2.0": ("apache license", "apache license version 2 0", "apache license version 2 0 january 2004"),
+    "MIT": ("the mit license", "mit license", "the mit license mit"),
+    "ISC": ("isc license", "the isc license"),
+    "0BSD": ("bsd zero clause license", "zero clause bsd"),
+    "BSD-2-Clause": ("bsd 2 clause license", "the 2 clause bsd license"),
+    "BSD-3-Clause": ("bsd 3 clause license", "the 3 clause bsd license"),
+    "MPL-2.0": ("mozilla public license version 2 0",),
+    "Zlib": ("zlib license", "the zlib license"),
+    "Unlicense": ("the unlicense",),
+    "BSL-1.0": ("boost software license version 1 0", "boost software license version 1 0 august 17th 2003"),
+    "WTFPL": ("do what the fuck you want to public license",),
+    "EPL-2.0": ("eclipse public license v 2 0", "eclipse public license version 2 0"),
+    "CC0-1.0": ("cc0 1 0 universal", "creative commons zero v1 0 universal"),
+    "GPL-2.0-only": ("gnu general public license version 2 june 1991",),
+    "GPL-3.0-only": ("gnu general public license version 3 29 june 2007",),
+    "LGPL-3.0-only": ("gnu lesser general public license version 3 29 june 2007",),
+    "AGPL-3.0-only": ("gnu affero general public license version 3 19 november 2007",),
+}
+#: Licences that have no title above but are named in SPDX lines.
+SPDX_ONLY = ("GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "BSD-4-Clause", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+for _licence, _titles in TITLES.items():
+    SENTENCES |= {x: f"title-{_licence}" for x in _titles}
+for _licence in (*TITLES, *SPDX_ONLY):
+    _told = _licence.lower().replace("-", " ").replace(".", " ")
+    SENTENCES |= {f"spdx license identifier {_told}": f"spdx-{_licence}"}
+
+#: What stands for a holder's own name in sentences, after normalising: (pattern, what it becomes). Other sentences aren't touched.
+HOLDERS = (
+    ("^neither the name of .{1,120}? nor the names of (?:its|their|the) contributors may be used", "neither the name of the copyright holder nor the names of its contributors may be used"),
+    ("^nor the names of (?:its|their|the) contributors may be used", "neither the name of the copyright holder nor the names of its contributors may be used"),
+    ("^this software is provided by .{1,120}? as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
+    ("^(?:portions )?(?:copyright|c) .{1,200}? all rights reserved$", "copyright all rights reserved"),
+)
+SENTENCES |= {"copyright all rights reserved": "reserved"}
+
 for _name, (_short, _versions) in GNU.items():
     _grant = f"it and or modify it under the terms of the {_name} as published by the free software foundation"
     SENTENCES |= {f"you can redistribute {_grant}": f"{_short}-terms"}
@@ -112,16 +149,24 @@ RULES = (
     ("EPL-2.0", ("epl-2-notice",)),
     ("CC0-1.0", ("cc0-waiver",)),
     *[(f"CC-{x.upper()}-{v}", (f"cc-{x}-{v[0]}-notice",)) for x in CC for v in CC_VERSIONS],
-    ("Proprietary", ("reserved",)),
+    *[(x, (f"title-{x}",)) for x in TITLES],
+    *[(x, (f"spdx-{x}",)) for x in (*TITLES, *SPDX_ONLY)],
 )
+#: Told if no rule fits: a reservation of rights beside a licence is that licence's copyright line.
+NO_LICENCE = ("Proprietary", "reserved")
 #: Sentences end at . ! ? ; or : before white space, and at a line without letters and digits (such as a comment mark alone).
 SENTENCE_END = r"[.!?;:](?:[\x20\x09-\x0D]|$)|\n[^A-Za-z0-9\n]*\n"
+#: The tag of an SPDX line, whose colon ends no sentence, and what stands for it.
+SPDX_TAG = (r"SPDX-License-Identifier:[\x20\x09]*", "SPDX-License-Identifier ")
 
 
 def normalised(sentence: Column) -> Column:
     """Lower case, and a single space for whatever is no letter or digit: line ends, comment
-    and list marks, quotes and punctuation."""
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+    and list marks, quotes and punctuation. Holders' names in known sentences become one."""
+    plain = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+    for pattern, common in HOLDERS:
+        plain = F.regexp_replace(plain, pattern, common)
+    return plain
 
 
 def sentence_ids(text: Column) -> Column:
@@ -138,7 +183,7 @@ def sentence_ids(text: Column) -> Column:
         """The whole sentence if it is known, else what its lines are."""
         return F.when(found[0].isNotNull(), F.slice(found, 1, 1)).otherwise(found)
 
-    parts = F.split(F.coalesce(text, F.lit("")), SENTENCE_END)
+    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), *SPDX_TAG), SENTENCE_END)
     return F.array_compact(F.flatten(F.transform(F.transform(parts, read), first)))
 
 
@@ -153,13 +198,17 @@ def licences(ids: Column) -> Column:
                 mine = mine & ~fits[before]
         fits.append(told.rlike(" " + " (?:.* )?".join(map(re.escape, need)) + " "))
         out.append(F.when(mine, F.lit(name)))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+    name, reserved = NO_LICENCE
+    found = F.array_distinct(F.array_compact(F.array(*out)))
+    return F.when((F.size(found) == 0) & F.array_contains(ids, reserved), F.array(F.lit(name))).otherwise(found)
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with sentence_ids and licences (array<string>, empty if none).
 
-    Every sentence is normalised and looked up, however long. A null or empty text has
+    Every sentence is normalised and looked up, however long; titles and SPDX lines, which
+    name one licence, are sentences too, and holders' names in BSD clauses don't matter. A
+    reservation of all rights counts as a licence only where no other is found. A null or empty text has
     none. Repeated rows are scanned one by one; other columns pass through, and columns
     of these names are replaced."""
     df = docs.withColumn("sentence_ids", sentence_ids(F.col(text_col)))

@@ -112,8 +112,9 @@ def _places(texts: list[str], runs: _Runs, depth: int, similarity: float) -> tup
 
 
 def places_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, line: int, node: long, fixed: int, first: int): the templates of every line
-    with a token, RUNS for each. Rows without an id are left out."""
+    """(id, row: long, line: int, node: long, fixed: int, first: int): the templates of every
+    line with a token, RUNS for each; ``row`` tells rows of one id apart by their texts. Rows
+    without an id are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = _Runs()
@@ -125,12 +126,13 @@ def places_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
                 if held < _CHUNK and at + 1 < len(texts):
                     continue
                 row, *columns = _places(texts[begin : at + 1], runs, depth, similarity)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + begin)), *map(pa.array, columns)], names=["id", "line", "node", "fixed", "first"])
+                at_row = pa.array(row + begin)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at_row), batch.column(2).take(at_row), *map(pa.array, columns)], names=["id", "row", "line", "node", "fixed", "first"])
                 begin, held = at + 1, 0
 
     kind = docs.schema[id_col].dataType.simpleString()
-    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return named.mapInArrow(run, f"id {kind}, line int, node bigint, fixed int, first int")
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
+    return named.mapInArrow(run, f"id {kind}, row bigint, line int, node bigint, fixed int, first int")
 
 
 def recurring(places: DataFrame, evidence: int = EVIDENCE) -> DataFrame:
@@ -167,14 +169,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A recurring template's lines go from all documents; with ``keep_first`` the document
     with the least id keeps them. Null texts stay null, rows without an id stay whole,
     rows that repeat an id are counted one by one, but no template recurs that is under
-    one id only, and they lose lines alike. Other columns pass through; columns of the
-    names above are replaced, and those named _id, _gone and _kept dropped."""
-    docs = docs.drop(*{"_id", "_gone", "_kept"} - {id_col, text_col})
+    one id only; each loses its own lines, rows that repeat id and text the same ones. Other
+    columns pass through; columns of the names above are replaced, and those named _id,
+    _row, _gone and _kept dropped."""
+    docs = docs.drop(*{"_id", "_row", "_gone", "_kept"} - {id_col, text_col})
     places = materialize(places_of(docs, id_col, text_col, similarity=similarity), "line-places")
-    met = places.select("id", "line", "node").join(materialize(recurring(places, evidence), "recurring-templates"), "node")
+    met = places.select("id", "row", "line", "node").join(materialize(recurring(places, evidence), "recurring-templates"), "node")
     met = met.where(F.col("id") != F.col("least_id")) if keep_first else met
-    gone = met.groupBy("id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("id", "_id")
-    df = docs.join(gone, docs[id_col] == gone["_id"], "left").drop("_id")
+    gone = met.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("line").alias("_gone"))
+    df = docs.join(gone, (docs[id_col] == gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_row"]), "left").drop("_id", "_row")
     cut = F.col("_gone").isNotNull() & F.col(text_col).isNotNull()
     n_words = lambda t: F.size(F.array_remove(F.split(F.coalesce(t, F.lit("")), WORD_SEPARATOR), "")).cast("long")
     breaks = F.length(text := F.coalesce(F.col(text_col), F.lit(""))) - F.length(F.translate(text, "\n", ""))

@@ -140,11 +140,19 @@ def _op2_sql() -> str:
         above = [fits[j] for j, (_, other) in enumerate(licenses.RULES[:i]) if set(need) <= set(other)]
         by_name.setdefault(name, []).append("(" + " AND NOT ".join([fits[i], *above]) + ")")
     names = ", ".join(f"CASE WHEN {' OR '.join(c)} THEN {quote(n)} END" for n, c in by_name.items())
-    plain = lambda x: f"MAP {{{known}}}[trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))]"
-    return f"""WITH s AS (SELECT doc_id, string_split_regex(coalesce(text, ''), {quote(licenses.SENTENCE_END)}) AS parts FROM documents),
+    def plain(x: str) -> str:
+        x = f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+        for pattern, common in licenses.HOLDERS:
+            x = f"regexp_replace({x}, {quote(pattern)}, {quote(common)})"
+        return f"MAP {{{known}}}[{x}]"
+
+    tag, plain_tag = licenses.SPDX_TAG
+    name, reserved = licenses.NO_LICENCE
+    return f"""WITH s AS (SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), {quote(tag)}, {quote(plain_tag)}, 'g'), {quote(licenses.SENTENCE_END)}) AS parts FROM documents),
   k AS (SELECT doc_id, list_transform(parts, lambda x: CASE WHEN {plain("x")} IS NOT NULL THEN [{plain("x")}] ELSE list_transform(string_split(x, chr(10)), lambda y: {plain("y")}) END) AS found FROM s),
-  i AS (SELECT doc_id, list_filter(flatten(found), lambda x: x IS NOT NULL) AS ids FROM k)
-  SELECT doc_id, len(ids)::BIGINT AS n_known, array_to_string(ids, ' ') AS sentence_ids, array_to_string(list_filter([{names}], lambda x: x IS NOT NULL), ' ') AS licences FROM i"""
+  i AS (SELECT doc_id, list_filter(flatten(found), lambda x: x IS NOT NULL) AS ids FROM k),
+  l AS (SELECT *, list_filter([{names}], lambda x: x IS NOT NULL) AS told FROM i)
+  SELECT doc_id, len(ids)::BIGINT AS n_known, array_to_string(ids, ' ') AS sentence_ids, CASE WHEN len(told) = 0 AND list_contains(ids, {quote(reserved)}) THEN {quote(name)} ELSE array_to_string(told, ' ') END AS licences FROM l"""
 
 
 def _op4_sql() -> str:

@@ -52,3 +52,28 @@ def test_standard_texts(spark):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     assert [got[i].licences for i in range(len(want))] == [x for _, x in want]
     assert got[3].sentence_ids == ["apache-2-notice", "apache-2-compliance", "apache-2-copy", "apache-2-as-is"]
+
+
+def licences_of(spark, texts):
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [r.licences for r in sorted(got, key=lambda r: r.doc_id)]
+
+
+def test_copyright_lines_and_holders(spark):
+    """A licence's own copyright line is no other licence, and holders have names of their own."""
+    line = "Copyright (c) 2020, Foo Inc. All rights reserved.\n\n"
+    other = "Copyright (c) 1990 The Regents of the University\nAll rights reserved.\n\n"
+    held = lambda name: BSD_3.replace("the copyright holder nor", f"{name} nor")
+    as_is = 'THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+    texts = [line + BSD_3, other + BSD_2, line + held("the University"), other + held("Foo Inc.") + as_is, line + MIT, line, other, "Copyright 2021 Foo. All rights reserved", "no word of it"]
+    want = [["BSD-3-Clause"], ["BSD-2-Clause"], ["BSD-3-Clause"], ["BSD-3-Clause"], ["MIT"], ["Proprietary"], ["Proprietary"], ["Proprietary"], []]
+    assert licences_of(spark, texts) == want
+    assert licences_of(spark, [wrapped(t, "# ") for t in texts]) == want
+
+
+def test_titles_and_spdx_lines(spark):
+    texts = [
+        "MIT License\n\nCopyright (c) 2020 Foo\n\nsome words", "// SPDX-License-Identifier: Apache-2.0\n#include <x>", "/* SPDX-License-Identifier: GPL-2.0-or-later */", "                 Apache License\n           Version 2.0, January 2004\n        http://www.apache.org/licenses/\n",
+        "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nwords", "# SPDX-License-Identifier: MIT\n\n" + BSD_2, "we like the MIT license and others", "SPDX-License-Identifier: LicenseRef-own",
+    ]
+    assert licences_of(spark, texts) == [["MIT"], ["Apache-2.0"], ["GPL-2.0-or-later"], ["Apache-2.0"], ["GPL-3.0-only"], ["BSD-2-Clause", "MIT"], [], []]

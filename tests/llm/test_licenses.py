@@ -16,8 +16,14 @@ TEXTS = [
 
 def naive(text):
     ids = []
-    for part in re.split(licenses.SENTENCE_END, text or ""):
-        plain = lambda x: " ".join(re.findall("[a-z0-9]+", x.lower()))
+
+    def plain(x):
+        x = " ".join(re.findall("[a-z0-9]+", x.lower()))
+        for pattern, common in licenses.HOLDERS:
+            x = re.sub(pattern, common, x)
+        return x
+
+    for part in re.split(licenses.SENTENCE_END, re.sub("SPDX-License-Identifier:[ \t]*", "SPDX-License-Identifier ", text or "")):
         for x in [part] if plain(part) in licenses.SENTENCES else part.split("\n"):
             if plain(x) in licenses.SENTENCES:
                 ids.append(licenses.SENTENCES[plain(x)])
@@ -30,7 +36,7 @@ def naive(text):
     for i, (name, need) in enumerate(licenses.RULES):
         if fits(need) and not any(set(need) <= set(other) and fits(other) for _, other in licenses.RULES[:i]) and name not in out:
             out.append(name)
-    return ids, out
+    return ids, out or (["Proprietary"] if "reserved" in ids else [])
 
 
 def test_scan(spark):

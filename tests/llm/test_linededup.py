@@ -29,12 +29,12 @@ def naive(docs, keep_first=False):
         for at, line in enumerate((text or "").split("\n") if doc_id is not None else []):
             for key, fixed in templates(line.split()) if line.split() else []:
                 of.setdefault((key, fixed), set()).add((row, doc_id))
-                lines.append((doc_id, at, (key, fixed)))
+                lines.append((doc_id, text, at, (key, fixed)))
     gone = {}
-    for doc_id, at, key in lines:
+    for doc_id, text, at, key in lines:
         ids = {i for _, i in of[key]}
         if len(ids) > 1 and key[1] * (len(of[key]) - 1) >= L.EVIDENCE and not (keep_first and doc_id == min(ids)):
-            gone.setdefault(doc_id, set()).add(at)
+            gone.setdefault((doc_id, text), set()).add(at)
     return gone
 
 
@@ -63,7 +63,7 @@ def test_matches_brute_force(spark):
         want = naive(rows, keep_first)
         got = {r.doc_id: (r.n_dropped, r.text, r.n_lines, r.kept_words, r.all_words) for r in L.dedup_lines(docs, keep_first=keep_first).collect()}
         for doc_id, text in rows:
-            gone = want.get(doc_id, set())
+            gone = want.get((doc_id, text), set())
             left = None if text is None else "\n".join(x for at, x in enumerate(text.split("\n")) if at not in gone)
             assert got[doc_id] == (len(gone), left, len((text or "").split("\n")), len((left or "").split()), len((text or "").split())), doc_id
         assert not any(i in got and got[i][0] for i in (None, 102, 103, 104))
@@ -78,7 +78,7 @@ def test_documents_are_counted_once(spark):
     assert naive(rows) == {} and L.dedup_lines(docs).where("n_dropped > 0").count() == 0
     more = rows + [(i, f"seen {i} times in the log") for i in range(3, 9)]
     got = {r.doc_id: r.n_dropped for r in L.dedup_lines(spark.createDataFrame(more, "doc_id long, text string")).collect()}
-    assert got == {i: len(x) for i, x in naive(more).items()} == {1: 7, **{i: 1 for i in range(2, 9)}}
+    assert got == {i: len(x) for (i, _), x in naive(more).items()} == {1: 7, **{i: 1 for i in range(2, 9)}}
 
 
 def test_variable_field_in_any_run(spark):
@@ -116,3 +116,14 @@ def test_empty_and_repeated_ids(spark):
     docs = spark.createDataFrame([(1, "same text of a document that has more than sixteen words in it so that it could be dropped"), (1, "same text of a document that has more than sixteen words in it so that it could be dropped")], "doc_id long, text string")
     assert L.dedup_lines(docs).where("n_dropped > 0").count() == 0
     assert L.dedup_lines(docs.where(F.lit(False))).count() == 0
+
+
+def test_rows_of_one_id_lose_their_own_lines(spark):
+    """A line that recurs nowhere stays, whatever lines other rows of its id lose."""
+    common = "a line of ten words that several of the documents hold"
+    rows = [(50, f"{common}\nfirst row only"), (50, f"a unique line that no other document has got at all\n{common}"), (51, common), (52, f"x\n{common}"), (52, f"x\n{common}")]
+    want = naive(rows)
+    got = sorted((r.doc_id, r.text, r.n_dropped) for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    left = lambda i, t: "\n".join(x for at, x in enumerate(t.split("\n")) if at not in want.get((i, t), set()))
+    assert got == sorted((i, left(i, t), len(want.get((i, t), set()))) for i, t in rows)
+    assert (50, "a unique line that no other document has got at all", 1) in got and (50, "first row only", 1) in got
