@@ -270,11 +270,11 @@ def select_diverse(candidates: DataFrame, per_group: int, weight: float, partial
     return reduce(DataFrame.union, chosen).select("place", "id", "grp", "similarity", "score")
 
 
-def gaussian(features: DataFrame, by: list[str], vector: str = "v") -> DataFrame:
-    """(by..., n, mean, cov) with n - 1 in the covariance, which is zero for a single row.
+def moments(features: DataFrame, by: list[str], vector: str = "v") -> DataFrame:
+    """(by..., n, s, p): counts, sums and products (row by row), which add up over any parts.
 
-    Every batch of rows becomes counts, sums and products of its groups before anything
-    is shuffled, so a group's size doesn't matter. Matrices are row by row."""
+    Every batch of rows becomes those of its groups before anything is shuffled, so a
+    group's size doesn't matter."""
     keys = [f for f in features.schema if f.name in by]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -283,21 +283,41 @@ def gaussian(features: DataFrame, by: list[str], vector: str = "v") -> DataFrame
                 x = np.stack(part[vector].to_numpy()).astype(np.float64)
                 yield pd.DataFrame([[*key, len(x), x.sum(axis=0), (x.T @ x).ravel()]], columns=[*by, "n", "s", "p"])
 
-    def whole(parts: pd.DataFrame) -> pd.DataFrame:
-        n, s, p = parts["n"].sum(), np.sum(np.stack(parts["s"]), axis=0), np.sum(np.stack(parts["p"]), axis=0)
-        mean = s / n
-        cov = (p.reshape(len(s), -1) - n * np.outer(mean, mean)) / (n - 1) if n > 1 else np.zeros((len(s), len(s)))
-        return pd.DataFrame([[*parts[by].iloc[0], n, mean, cov.ravel()]], columns=[*by, "n", "mean", "cov"])
-
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys)
     parts = features.select(*by, vector).mapInPandas(partial, f"{names}, n bigint, s array<double>, p array<double>")
-    parts = parts.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(16)))
+    return merged(merged(parts.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(16))), [*by, "_salt"]).drop("_salt"), by)
+
+
+def merged(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Moments of the same keys added up."""
 
     def some(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([[*rows[by].iloc[0], rows["n"].sum(), np.sum(np.stack(rows["s"]), axis=0), np.sum(np.stack(rows["p"]), axis=0)]], columns=[*by, "n", "s", "p"])
 
-    salted = parts.groupBy(*by, "_salt").applyInPandas(some, f"{names}, n bigint, s array<double>, p array<double>")
-    return salted.groupBy(*by).applyInPandas(whole, f"{names}, n bigint, mean array<double>, cov array<double>")
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema if f.name in by)
+    return parts.select(*by, "n", "s", "p").groupBy(*by).applyInPandas(some, f"{names}, n bigint, s array<double>, p array<double>")
+
+
+def of_moments(stats: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., n, mean, cov) with n - 1 in the covariance, which is zero for a single row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for *key, n, s, p in batch.itertuples(index=False):
+                s, p = np.asarray(s), np.asarray(p)
+                mean = s / n
+                cov = (p.reshape(len(s), -1) - n * np.outer(mean, mean)) / (n - 1) if n > 1 else np.zeros((len(s), len(s)))
+                out.append([*key, n, mean, cov.ravel()])
+            yield pd.DataFrame(out, columns=[*by, "n", "mean", "cov"])
+
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema if f.name in by)
+    return stats.select(*by, "n", "s", "p").mapInPandas(run, f"{names}, n bigint, mean array<double>, cov array<double>")
+
+
+def gaussian(features: DataFrame, by: list[str], vector: str = "v") -> DataFrame:
+    """(by..., n, mean, cov) of the groups. Matrices are row by row."""
+    return of_moments(moments(features, by, vector), by)
 
 
 def frechet(mean_a: np.ndarray, cov_a: np.ndarray, mean_b: np.ndarray, cov_b: np.ndarray) -> float:

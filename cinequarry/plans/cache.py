@@ -11,7 +11,7 @@ from ..operators import packing as P
 from ..operators import sampling as R
 from ..operators import similarity as V
 from ..operators.ordering import places_within
-from ..sources import cache
+from ..sources import cache, moments, npz
 from ..sources import fixtures as X
 from ..sources.shared import new_path
 from .curation import BUCKETS, CAPTIONS, NEAREST
@@ -162,3 +162,29 @@ def q89_ordered_members(spark: SparkSession, sf: str) -> DataFrame:
     """Members of each size in order of (duration, source, width, height): a row for each."""
     clips = X.clip_src(spark, sf).withColumn("size", S.aspect_by_nearest(F.col("w"), F.col("h"))).drop("text")
     return places_within(clips, ["size"], ["duration", "source", "w", "h", "item_id"], "place").select("size", "place", "item_id")
+
+
+@query(f"""WITH {X.FEAT} SELECT printf('%05d.npz', vec_id // {FRAMES_PER_CLIP}) AS name, count(*) AS frames, round(sum(list_sum(v)), 6) AS total, round(arg_max(v[1], vec_id), 9) AS last_first FROM feat GROUP BY vec_id // {FRAMES_PER_CLIP}""")
+def q91_array_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A file of arrays for each clip (twelve frames), written and read back by the data source."""
+    clips = X.feat(spark, sf).groupBy(F.floor(F.col("vec_id") / FRAMES_PER_CLIP).alias("clip")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("r"))
+    flat = clips.select("clip", F.flatten("r.v").alias("values"), F.array(F.size("r"), F.size(F.get("r.v", F.lit(0)))).alias("shape"))
+    path = new_path(spark, "clips")
+    npz.write_arrays(flat.select(S.clip_name(F.col("clip")).alias("name"), npz.array_of(F.col("values"), F.col("shape")).alias("frames")), path)
+    back = npz.read_array(spark, path, "frames").select("name", "shape", npz.values_of(F.col("data")).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    last = F.get("v", ((F.col("shape")[0] - 1) * F.col("shape")[1]).cast("int"))
+    return back.select("name", F.col("shape")[0].alias("frames"), F.round(total, 6).alias("total"), F.round(last, 9).alias("last_first"))
+
+
+@query(f"""WITH {X.FEAT}, x AS (SELECT label::BIGINT AS label, v[1] AS a, v[2] AS b FROM feat) SELECT label, n, mean_a, mean_b, c_aa, c_ab, c_bb FROM (SELECT max(label) AS label, count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(var_samp(a), 6) AS c_aa, round(covar_samp(a, b), 6) AS c_ab, round(var_samp(b), 6) AS c_bb FROM x)""")
+def q94_moment_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean and covariance of features that arrive in two parts: the second update opens the new files alone."""
+    f = X.feat(spark, sf).select("label", F.slice("v", 1, 2).alias("v"))
+    files, store = new_path(spark, "features"), new_path(spark, "moments")
+    for part in ("label % 2 = 0", "label % 2 <> 0 or label is null"):
+        f.where(part).write.mode("append").parquet(files)
+        g = moments.update(spark, store, files, "v")
+    last = f.agg(F.max("label").cast("long").alias("label"))
+    cells = {"mean_a": F.col("mean")[0], "mean_b": F.col("mean")[1], "c_aa": F.col("cov")[0], "c_ab": F.col("cov")[1], "c_bb": F.col("cov")[3]}
+    return last.join(F.broadcast(g)).select("label", "n", *[F.round(c, 6).alias(x) for x, c in cells.items()])  # one row each

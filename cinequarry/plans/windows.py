@@ -97,3 +97,32 @@ def q59_session_gap(spark: SparkSession, sf: str) -> DataFrame:
 def q60_event_windows(spark: SparkSession, sf: str) -> DataFrame:
     e = X.table(spark, sf, "events").groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
     return e.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "mean")
+
+
+@query(f"""WITH {X.FEAT}, p AS (SELECT vec_id // 30 AS clip, vec_id % 30 AS frame, v[1] AS value, row_number() OVER (PARTITION BY vec_id // 30 ORDER BY vec_id) - 1 AS place FROM feat),
+  c AS (SELECT clip, frame, CASE WHEN place = 0 THEN 0 ELSE 1 + (place - 1) // 4 END AS chunk FROM p), d AS (SELECT *, CASE WHEN chunk = 0 THEN 0 ELSE 1 + (chunk - 1) * 4 END AS first_place FROM c)
+  SELECT d.clip, d.frame, d.chunk, concat_ws(' ', a.frame, b.frame) AS carried_frames, round(coalesce(a.value + b.value, b.value), 9) AS carried_sum
+  FROM d LEFT JOIN p a ON a.clip = d.clip AND a.place = d.first_place - 2 LEFT JOIN p b ON b.clip = d.clip AND b.place = d.first_place - 1""")
+def q92_chunk_carry(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of clips (thirty frames) with the numbers and values of the frames carried into each."""
+    from ..streaming.metrics import carried_batch
+
+    rows = X.feat(spark, sf).select(F.floor(F.col("vec_id") / 30).alias("clip"), (F.col("vec_id") % 30).alias("frame"), F.col("v")[0].alias("value"))
+    total = F.when(F.size("carried") > 0, F.aggregate("carried.value", F.lit(0.0), lambda s, x: s + x))
+    return carried_batch(rows).select("clip", "frame", "chunk", F.array_join(F.col("carried.frame").cast("array<string>"), " ").alias("carried_frames"), F.round(total, 9).alias("carried_sum"))
+
+
+@query(f"""WITH {X.FRAMES}, r AS (SELECT clip, frame, min(md5(text)) AS value FROM frames GROUP BY clip, frame), k AS (SELECT DISTINCT clip FROM r),
+  n AS (SELECT clip, win, slot, 2 * (win + slot) AS frame FROM k, range(2) w(win), range(2) s(slot)),
+  s AS (SELECT clip, count(*) FILTER (frame < 4) + max(CASE WHEN frame >= 4 THEN 1 ELSE 0 END) AS seen FROM r GROUP BY clip)
+  SELECT n.clip, n.win, n.slot, n.frame, r.value, s.seen::BIGINT AS seen FROM n JOIN s USING (clip) LEFT JOIN r ON r.clip = n.clip AND r.frame = n.frame""")
+def q93_served_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Two overlapping windows of two seconds, a frame a second of two, from one pass over a clip's
+    frames that ends at the last one needed."""
+    from ..functions.udtf import serve_windows
+
+    r = X.frames(spark, sf).groupBy("clip", "frame").agg(F.min(F.md5("text")).alias("value"))
+    pairs = F.array(*[F.struct(F.lit(w).cast("long").alias("win"), F.lit(s).cast("long").alias("slot"), F.lit(2 * (w + s)).cast("long").alias("frame")) for w in range(2) for s in range(2)])
+    needs = r.select("clip").distinct().select("clip", F.explode(pairs).alias("n")).select("clip", "n.*")
+    served = serve_windows(r, needs)
+    return served.select("clip", F.col("win").cast("long").alias("win"), F.col("slot").cast("long").alias("slot"), "frame", "value", "seen")
