@@ -168,17 +168,23 @@ def solve(sized: DataFrame, targets: dict[str, float] | None = None, size: float
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, size: float | None = None) -> DataFrame:
     """One row for each document: doc_id, n_tokens (long: words), p_<domain> (double,
-    posteriors, sum 1) and rate (double, how often the document should be drawn).
+    posteriors, sum 1) and rate (double, how often the document should be drawn); and, the
+    same in each row, wanted_<domain> and expected_<domain> (double, tokens of the mixture
+    by the targets and by the rates) and missed (double, share of the wanted tokens that isn't
+    met, in sum).
 
     Null and empty texts have no tokens, the prior as posterior and a rate like any
     other. Repeated rows are each a document. With no labelled documents all domains
     are equally likely. A domain that has fewer tokens than its target is repeated, up to
-    MAX_RATE; what is missing then shows in expected tokens. Extra columns are not read."""
+    MAX_RATE; targets that can't be met show in expected tokens. Extra columns are not read."""
     model = learn(docs, labels)
     sized = materialize(with_posteriors(docs.select("doc_id", "text"), model).select("doc_id", "_n", "_p"), "posteriors")
-    steps = solve(sized, targets, size).steps
+    mixture = solve(sized, targets, size)
     names = list(targets or TARGETS)
-    return sized.select("doc_id", F.col("_n").cast("long").alias("n_tokens"), *[F.round(F.col("_p")[i], 6).alias(f"p_{x}") for i, x in enumerate(names)], F.round(rate_after(steps), 6).alias("rate"))
+    told = {f"{kind}_{x}": round(v, 3) for kind, values in (("wanted", mixture.wanted), ("expected", mixture.expected)) for x, v in zip(names, values, strict=True)}
+    told["missed"] = round(mixture.missed, 6)
+    posteriors = [F.round(F.col("_p")[i], 6).alias(f"p_{x}") for i, x in enumerate(names)]
+    return sized.select("doc_id", F.col("_n").cast("long").alias("n_tokens"), *posteriors, F.round(rate_after(mixture.steps), 6).alias("rate"), *[F.lit(v).alias(x) for x, v in told.items()])
 
 
 def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, size: float | None = None) -> DataFrame:

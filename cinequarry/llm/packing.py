@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import WORD_SEPARATOR
+from .common import WORD_SEPARATOR, materialize
 
 #: Permitted sequence lengths.
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -77,6 +77,25 @@ def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tu
     return place, start, [held_by(n)[1] for n in filled]
 
 
+def _spread(rows: DataFrame, group_bytes: int) -> DataFrame:
+    """Adds _deal: 0, or for rows of an id and text that are more than ``group_bytes``
+    together, their number among the parts that they fill, in turn.
+
+    There are at most as many such pairs as groups, so they can be broadcast. Where there are
+    any, rows are written first: numbers that go by places in a table must not change if a task is
+    run again."""
+    key = F.xxhash64("doc_id", "text")
+    bytes_of = F.octet_length("text").cast("long")
+    by = rows.select(key.alias("_key"), bytes_of.alias("_b")).groupBy("_key").agg(F.sum("_b").alias("_b"), F.count(F.lit(1)).alias("_c"))
+    large = by.where((F.col("_b") > group_bytes) & (F.col("_c") > 1)).select("_key", F.ceil(F.col("_b") / group_bytes).alias("_parts"))
+    large = materialize(large, "repeated")
+    if not large.limit(1).count():
+        return rows.withColumn("_deal", F.lit(0).cast("long"))
+    numbered = materialize(rows, "documents").withColumn("_at", F.monotonically_increasing_id()).withColumn("_key", key)
+    dealt = numbered.join(F.broadcast(large), "_key", "left")
+    return dealt.withColumn("_deal", F.coalesce(F.pmod("_at", "_parts"), F.lit(0).cast("long"))).drop("_at", "_key", "_parts")
+
+
 def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacities: tuple[int, ...] = CAPACITIES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """The packed sequences, a row for each bin: bin_id (string, unique), bin_capacity and
     n_tokens (long), doc_ids, members (array of structs, in order: doc_id, piece (int, from
@@ -88,12 +107,14 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     and keeps its text as it is. One without words (null, empty) has one piece of length 0,
     in the bin of another if there is room. Pieces are dealt by a hash of id, place and text
     to groups of about ``group_bytes`` of text, each packed in one task: longest first, ties
-    by id, then piece. Repeated rows are packed once each. Texts are shuffled once. Other
-    columns are not read."""
+    by id, then piece. Repeated rows are packed once each; those of one id and text that are
+    more than a group together are dealt to as many groups as they fill (see ``_spread``).
+    Texts are shuffled once. Other columns are not read."""
     most = max(capacities)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     groups = max(1, -(-total // group_bytes))
+    rows = _spread(rows, group_bytes)
     rows = rows.withColumn("_w", F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), WORD_SEPARATOR), "")).withColumn("_n", F.size("_w"))
     last = F.greatest(F.ceil(F.col("_n") / most).cast("int") - 1, F.lit(0))
 
@@ -101,8 +122,8 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         text = F.when(F.col("_n") <= most, F.col("text")).otherwise(F.array_join(F.slice("_w", k * most + 1, most), " "))
         return F.struct(k.alias("piece"), (k.cast("long") * most).alias("piece_start"), F.least(F.col("_n") - k * most, F.lit(most)).cast("long").alias("n_tokens"), text.alias("text"))
 
-    pieces = rows.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), last), piece)).alias("p")).select("doc_id", "p.*")
-    pieces = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "text"), F.lit(groups)).cast("int"))
+    pieces = rows.select("doc_id", "_deal", F.explode(F.transform(F.sequence(F.lit(0), last), piece)).alias("p")).select("doc_id", "_deal", "p.*")
+    pieces = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "text", "_deal"), F.lit(groups)).cast("int")).drop("_deal")
     kind = pieces.schema["doc_id"].dataType.simpleString()
     schema = StructType.fromDDL(f"bin_id string, bin_capacity bigint, n_tokens bigint, doc_ids array<{kind}>, members array<struct<doc_id: {kind}, piece: int, piece_start: bigint, n_tokens: bigint, bin_start: bigint>>, texts array<string>")
     arrow = to_arrow_schema(schema)

@@ -50,6 +50,10 @@ def test_targets_are_met(spark, tables):
         w = np.array(list((targets or mixing.TARGETS).values()))
         aims = w / w[0] * now[0]
         missed = np.abs(have - aims).sum() / aims.sum()
+        told = got[0]
+        assert np.allclose([told.wanted_good, told.wanted_poor, told.wanted_toxic], aims, rtol=1e-4)
+        assert np.allclose([told.expected_good, told.expected_poor, told.expected_toxic], have, rtol=1e-3, atol=1e-3 * aims.sum())
+        assert abs(told.missed - missed) < 2e-3
         assert missed < 1e-3 or np.linalg.norm(have - aims) <= 1.05 * nonnegative(n, p, aims) + 1e-3 * aims.sum(), (targets, have, aims)
 
 

@@ -119,3 +119,17 @@ def test_sequences_hold_their_texts(spark):
     for r in got:
         assert [m.doc_id for m in r.members] == r.doc_ids and r.n_tokens == sum(len(t.split()) for t in r.texts) <= r.bin_capacity
         assert [m.n_tokens for m in r.members] == [len(t.split()) for t in r.texts]
+
+
+def test_repeated_rows_fill_several_groups(spark):
+    """A third of the rows have one id and one text: they are dealt to groups like any others."""
+    rows = [(i, f"w{i} " * 40) for i in range(400)] + [(7, "same words " * 20)] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    size = sum(len(t) for _, t in rows)
+    got = packing.sequences(docs, group_bytes=size // 30).collect()
+    assert sorted((i, t) for r in got for i, t in zip(r.doc_ids, r.texts, strict=True)) == sorted(rows)
+    copies = {}
+    for r in got:
+        group = r.bin_id.split("-")[0]
+        copies[group] = copies.get(group, 0) + sum(t.startswith("same") for t in r.texts)
+    assert sum(copies.values()) == 200 and sum(n > 0 for n in copies.values()) >= 5 and max(copies.values()) <= 80
