@@ -12,11 +12,9 @@ from pyspark.sql.types import StringType
 
 from .common import WORD_SEPARATOR, materialize
 
-#: Leading tokens that, after the token count, lead to a node of the tree.
-DEPTH = 4
-#: Runs into which the other tokens are cut. A template fixes all of them but one.
-RUNS = 3
-#: Share of a line's tokens that have to be fixed; a line with fewer is its own template, digits and all.
+#: Leading tokens that, after the token count, lead to a leaf of the tree.
+DEPTH = 2
+#: Share of a line's tokens that a template has to fix; a line with fewer that hold no digit is its own template, digits and all.
 SIMILARITY = 0.6
 #: Fixed tokens that a recurring template must have repeated: tokens * (documents - 1).
 EVIDENCE = 16
@@ -72,8 +70,8 @@ def _tokens(raw: np.ndarray, runs: _Runs) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _places(texts: list[str], runs: _Runs, depth: int, similarity: float) -> tuple[np.ndarray, ...]:
-    """Row, line, node, fixed tokens and whether it is the first of its document, for every
-    line with a token and each of its templates."""
+    """Row, line, leaf, shape, fixed tokens and whether it is the shape's first of its
+    document, for every line with a token."""
     raw = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
     counts = np.fromiter((x.count("\n") + 1 for x in texts), np.int64, len(texts))
     row = np.repeat(np.arange(len(texts)), counts)
@@ -85,36 +83,24 @@ def _places(texts: list[str], runs: _Runs, depth: int, similarity: float) -> tup
     row, line, sizes, until = row[some], line[some], sizes[some], until[some]
     since = until - sizes
     open_fields = np.concatenate([np.zeros(1, np.int64), np.cumsum(variable)])
-    fields = lambda i, j: open_fields[j] - open_fields[i]
-    loose = sizes - fields(since, until) < similarity * sizes
+    fixed = sizes - (open_fields[until] - open_fields[since])
+    loose = fixed < similarity * sizes
     masked = np.where(variable, np.uint64(0), hashes)
-    lead = since + np.minimum(depth, sizes)
-    cuts = [lead + (until - lead) * i // RUNS for i in range(RUNS + 1)]
-    start = _mixed(runs(masked, since, lead) ^ _mixed(sizes.astype(np.uint64)))
-    told = [runs(masked, cuts[i], cuts[i + 1]) for i in range(RUNS)]
-    nodes, fixed = [], []
-    for left_out in range(RUNS):
-        node, n = start, (lead - since) - fields(since, lead)
-        for i in range(RUNS):
-            node = _mixed(node * np.uint64(_BASE) + (np.uint64(left_out + 1) if i == left_out else told[i]))
-            n = n + (0 if i == left_out else cuts[i + 1] - cuts[i] - fields(cuts[i], cuts[i + 1]))
-        nodes.append(node[~loose])
-        fixed.append(n[~loose])
-    nodes.append(_mixed(runs(hashes, since[loose], until[loose]) ^ _mixed(sizes[loose].astype(np.uint64) + np.uint64(_SPREAD))))
-    fixed.append(sizes[loose])
-    row = np.concatenate([*[row[~loose]] * RUNS, row[loose]])
-    line = np.concatenate([*[line[~loose]] * RUNS, line[loose]])
-    node = np.concatenate(nodes).view(np.int64)
+    told = _mixed(sizes.astype(np.uint64))
+    own = _mixed(runs(hashes, since, until) ^ _mixed(sizes.astype(np.uint64) + np.uint64(_SPREAD)))
+    shape = np.where(loose, own, _mixed(runs(masked, since, until) ^ told)).view(np.int64)
+    leaf = np.where(loose, own, _mixed(runs(masked, since, since + np.minimum(depth, sizes)) ^ told)).view(np.int64)
     first = np.zeros(len(row), np.int32)
-    order = np.lexsort((node, row))
-    first[order] = np.concatenate([[1], (np.diff(row[order]) != 0) | (np.diff(node[order]) != 0)])[: len(row)]
-    return row, line.astype(np.int32), node, np.concatenate(fixed).astype(np.int32), first
+    order = np.lexsort((shape, row))
+    first[order] = np.concatenate([[1], (np.diff(row[order]) != 0) | (np.diff(shape[order]) != 0)])[: len(row)]
+    return row, line.astype(np.int32), leaf, shape, np.where(loose, sizes, fixed).astype(np.int32), first
 
 
 def places_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, row: long, line: int, node: long, fixed: int, first: int): the templates of every
-    line with a token, RUNS for each; ``row`` tells rows of one id apart by their texts. Rows
-    without an id are left out."""
+    """(id, row: long, line: int, leaf: long, shape: long, fixed: int, first: int): where in
+    the tree every line with a token goes, and its shape: its tokens, fields that hold a digit
+    left open. ``row`` tells rows of one id apart by their texts. Rows without an id are left
+    out. A line with too few fixed tokens is a leaf of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = _Runs()
@@ -127,19 +113,77 @@ def places_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
                     continue
                 row, *columns = _places(texts[begin : at + 1], runs, depth, similarity)
                 at_row = pa.array(row + begin)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at_row), batch.column(2).take(at_row), *map(pa.array, columns)], names=["id", "row", "line", "node", "fixed", "first"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at_row), batch.column(2).take(at_row), *map(pa.array, columns)], names=["id", "row", "line", "leaf", "shape", "fixed", "first"])
                 begin, held = at + 1, 0
 
     kind = docs.schema[id_col].dataType.simpleString()
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
-    return named.mapInArrow(run, f"id {kind}, row bigint, line int, node bigint, fixed int, first int")
+    return named.mapInArrow(run, f"id {kind}, row bigint, line int, leaf bigint, shape bigint, fixed int, first int")
 
 
-def recurring(places: DataFrame, evidence: int = EVIDENCE) -> DataFrame:
-    """(node, least_id): templates that recur across documents. A template is in a document
-    once, however many of its lines are; the documents have two ids at least."""
-    nodes = places.groupBy("node").agg(F.min("id").alias("least_id"), F.max("id").alias("most_id"), F.sum("first").alias("docs"), F.max("fixed").alias("fixed"))
-    return nodes.where((F.col("least_id") < F.col("most_id")) & (F.col("fixed") * (F.col("docs") - 1) >= evidence)).select("node", "least_id")
+def _token_keys(texts_and_lines: DataFrame) -> DataFrame:
+    """(shape, docs, n: int, keys: array<long>) of (text, lines: array of line, shape, leaf and
+    docs): one key for each token without a digit, of leaf, place in the line and token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = _Runs()
+        for batch in batches:
+            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+                lines = text.as_py().split("\n")
+                out: list[tuple] = []
+                for x in wanted.as_py():
+                    hashes, _, variable = _tokens(np.frombuffer(lines[x["line"]].encode("utf-8", "surrogatepass"), np.uint8), runs)
+                    place = _mixed(np.arange(1, len(hashes) + 1, dtype=np.uint64) ^ np.int64(x["leaf"]).view(np.uint64))
+                    out.append((x["shape"], x["docs"], len(hashes), _mixed(place ^ hashes)[~variable].view(np.int64)))
+                shapes, docs, sizes, keys = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(shapes, pa.int64()), pa.array(docs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["shape", "docs", "n", "keys"])
+
+    return texts_and_lines.mapInArrow(run, "shape bigint, docs bigint, n int, keys array<bigint>")
+
+
+def templates_of(docs: DataFrame, shapes: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(shape, template: long, fixed: int) of the shapes (see ``shapes_of``) that share their
+    leaf with others.
+
+    Every token of a shape has a support: documents of the leaf's lines that hold it at its
+    place, equal lines of a document once. A template fixes those of a shape's tokens whose
+    support is at least that of the last of the ``similarity`` share of its tokens that have
+    most, and generalises the others: they vary while the rest stays. It depends on the leaf's
+    lines as a set, not on their order, and no line is compared with another."""
+    crowded = shapes.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("least_id").alias("a"), F.max("most_id").alias("b"))
+    some = shapes.join(crowded.where("n > 1 and a < b").select("leaf"), "leaf")
+    # One document's line stands for a shape; what is gathered is at most a document's lines.
+    stands = some.groupBy(F.col("at.id").alias("_id"), F.col("at.row").alias("_row")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "shape", "leaf", "docs")).alias("lines"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    held = texts.join(stands, (F.col("id") == F.col("_id")) & (F.xxhash64("text") == F.col("_row"))).select("text", "lines")
+    keys = _token_keys(held).groupBy("shape").agg(F.first("docs").alias("docs"), F.first("n").alias("n"), F.first("keys").alias("keys"))  # rows that repeat id and text
+    keys = materialize(keys, "token-keys")
+    tokens = keys.select("shape", "docs", "n", F.explode("keys").alias("key"))
+    supported = tokens.join(tokens.groupBy("key").agg(F.sum("docs").alias("support")), "key")
+    lines = supported.groupBy("shape").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("support", "key")), asc=False).alias("told"))
+    lines = lines.withColumn("least", F.col("told")[F.ceil(F.lit(similarity) * F.col("n")).cast("int") - 1]["support"])
+    lines = lines.withColumn("told", F.sort_array(F.transform(F.filter("told", lambda x: x["support"] >= F.col("least")), lambda x: x["key"])))
+    return lines.select("shape", F.xxhash64("told").alias("template"), F.size("told").alias("fixed"))
+
+
+def shapes_of(places: DataFrame) -> DataFrame:
+    """(shape, leaf, fixed, docs, least_id, most_id, at: where it is first). A shape is in a
+    document once, however many of its lines are."""
+    place = F.min(F.struct("id", "row", "line")).alias("at")
+    return places.groupBy("shape").agg(F.min("leaf").alias("leaf"), F.max("fixed").alias("fixed"), F.sum("first").alias("docs"), F.min("id").alias("least_id"), F.max("id").alias("most_id"), place)
+
+
+def recurring(places: DataFrame, shapes: DataFrame, templates: DataFrame, evidence: int = EVIDENCE) -> DataFrame:
+    """(shape, least_id): shapes that recur across documents, by themselves or by their
+    template. The documents have two ids at least."""
+    recurs = (F.col("least_id") < F.col("most_id")) & (F.col("fixed") * (F.col("docs") - 1) >= evidence)
+    several = templates.join(shapes.select("shape", "docs", "least_id", "most_id"), "shape").groupBy("template")
+    several = several.agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("docs"), F.max("fixed").alias("fixed"), F.min("least_id").alias("least_id"), F.max("most_id").alias("most_id"))
+    # A document may hold several shapes of a template: counted out only where the sum could do.
+    likely = templates.join(several.where((F.col("n") > 1) & recurs).select("template", "least_id", "most_id"), "template")
+    exact = places.select("shape", "id", "row").join(likely, "shape").groupBy("template").agg(F.count_distinct("id", "row").alias("docs"), F.max("fixed").alias("fixed"), F.min("least_id").alias("least_id"), F.max("most_id").alias("most_id"))
+    of_template = templates.join(exact.where(recurs).select("template", "least_id"), "template").select("shape", "least_id")
+    return shapes.where(recurs).select("shape", "least_id").union(of_template).groupBy("shape").agg(F.min("least_id").alias("least_id"))
 
 
 @F.arrow_udf(StringType())
@@ -159,11 +203,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines end at ``\\n``; a token is a run without ASCII white space; tokens with a digit
     are variable fields. From the root, a line goes by its token count, then its DEPTH
-    leading tokens, then the others, of which one of RUNS runs is passed over: what ends
-    in one node agrees in two thirds of its tokens or more, the rest are variable. So a
-    line has RUNS templates, whatever other lines there are, and goes if one of them
-    recurs: if its fixed tokens, times the documents that it is in besides one, are
-    ``evidence`` or more. Lines with too few fixed tokens, such as rows of numbers, recur
+    leading tokens. In the leaf, those of its other tokens that vary while ``similarity`` of
+    them stay are variable as well: see ``templates_of``. A line goes if its template, or the
+    line as it is but for fields with digits, recurs: if its fixed tokens, times the documents
+    that it is in besides one, are ``evidence`` or more; of a template's documents, rows that
+    repeat id and text are one. Lines with too few fixed tokens, such as rows of numbers, recur
     only if they are equal.
 
     A recurring template's lines go from all documents; with ``keep_first`` the document
@@ -174,7 +218,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     _row, _gone and _kept dropped."""
     docs = docs.drop(*{"_id", "_row", "_gone", "_kept"} - {id_col, text_col})
     places = materialize(places_of(docs, id_col, text_col, similarity=similarity), "line-places")
-    met = places.select("id", "row", "line", "node").join(materialize(recurring(places, evidence), "recurring-templates"), "node")
+    shapes = materialize(shapes_of(places), "line-shapes")
+    templates = materialize(templates_of(docs, shapes, id_col, text_col, similarity), "line-templates")
+    met = places.select("id", "row", "line", "shape").join(materialize(recurring(places, shapes, templates, evidence), "recurring-templates"), "shape")
     met = met.where(F.col("id") != F.col("least_id")) if keep_first else met
     gone = met.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("line").alias("_gone"))
     df = docs.join(gone, (docs[id_col] == gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_row"]), "left").drop("_id", "_row")

@@ -1,3 +1,4 @@
+import math
 import random
 import time
 
@@ -7,37 +8,53 @@ from pyspark.sql import functions as F
 from cinequarry.llm import linededup as L
 
 
-def templates(words):
-    """(key, fixed tokens) of a line's templates."""
-    masked = ["\0" if any(c.isdigit() and c.isascii() for c in w) else w for w in words]
-    if sum(w != "\0" for w in masked) < L.SIMILARITY * len(words):
-        return [(("as it is", *words), len(words))]
-    lead, rest = masked[: L.DEPTH], masked[L.DEPTH :]
-    runs = [rest[len(rest) * i // L.RUNS : len(rest) * (i + 1) // L.RUNS] for i in range(L.RUNS)]
-    out = []
-    for left_out in range(L.RUNS):
-        told = [tuple(r) if i != left_out else None for i, r in enumerate(runs)]
-        fixed = sum(w != "\0" for w in lead + [w for r in told if r for w in r])
-        out.append(((len(words), tuple(lead), *told, left_out), fixed))
-    return out
+def mask(words):
+    return tuple("\0" if any(c.isdigit() and c.isascii() for c in w) else w for w in words)
 
 
 def naive(docs, keep_first=False):
-    """Dictionaries of all templates' documents."""
-    of, lines = {}, []
+    """A plain template tree: leaves by token count and leading tokens, in each the support of
+    every token at its place, templates of the tokens with most; dictionaries of documents."""
+    tree, lines = {}, []
     for row, (doc_id, text) in enumerate(docs):
         for at, line in enumerate((text or "").split("\n") if doc_id is not None else []):
-            for key, fixed in templates(line.split()) if line.split() else []:
-                of.setdefault((key, fixed), set()).add((row, doc_id))
-                lines.append((doc_id, text, at, (key, fixed)))
+            if words := line.split():
+                shape = mask(words)
+                if sum(w != "\0" for w in shape) < L.SIMILARITY * len(words):
+                    shape = leaf = ("as it is", *words)
+                else:
+                    leaf = (len(words), shape[: L.DEPTH])
+                tree.setdefault(leaf, {}).setdefault(shape, []).append((row, doc_id, text))
+                lines.append((doc_id, text, at, leaf, shape))
+    goes = {}
+    for leaf, shapes in tree.items():
+        support, by_template = {}, {}
+        for shape, where in shapes.items():
+            for place in enumerate(shape):
+                support[place] = support.get(place, 0) + len({r for r, *_ in where})
+        for shape, where in shapes.items():
+            fixed = len(shape) - 1 if shape[0] == "as it is" else sum(w != "\0" for w in shape)
+            check(goes, shape, {i for _, i, _ in where}, len({r for r, *_ in where}), fixed)
+            if leaf[0] != "as it is" and len(shapes) > 1:
+                told = sorted((support[p] for p in enumerate(shape) if p[1] != "\0"), reverse=True)
+                least = told[math.ceil(L.SIMILARITY * len(shape)) - 1]
+                by_template.setdefault(tuple(p for p in enumerate(shape) if p[1] != "\0" and support[p] >= least), []).append(shape)
+        for template, own in by_template.items():
+            where = [x for shape in own for x in shapes[shape]]
+            for shape in own if len(own) > 1 else []:
+                check(goes, shape, {i for _, i, _ in where}, len({x[1:] for x in where}), len(template))
     gone = {}
-    for doc_id, text, at, key in lines:
-        ids = {i for _, i in of[key]}
-        if len(ids) > 1 and key[1] * (len(of[key]) - 1) >= L.EVIDENCE and not (keep_first and doc_id == min(ids)):
+    for doc_id, text, at, _, shape in lines:
+        if shape in goes and not (keep_first and doc_id == goes[shape]):
             gone.setdefault((doc_id, text), set()).add(at)
     return gone
 
 
+def check(goes, shape, ids, docs, fixed):
+    if len(ids) > 1 and fixed * (docs - 1) >= L.EVIDENCE:
+        goes[shape] = min(goes.get(shape, min(ids)), *ids)
+
+
 def corpus():
     rng = random.Random(11)
     word = lambda: rng.choice("ab cd ef gh ij kl mn op".split()) + rng.choice("qrstuvwxyz")
@@ -49,6 +66,10 @@ def corpus():
             lines.insert(2, passages[i % 9 // 3])
         if i % 2:
             lines.append(f"Posted on 20{i}-01-0{i % 9} by user {i} in the forum")
+        if i % 5 < 2:
+            lines.append(f"this page was last changed by {word()} who is {word()} of the {word()} group and may say so")
+        if i % 5 == 2:
+            lines.append(f"this page was first seen by {word()} at the time of the {word()} fair and may say so")
         if i % 7 == 0:
             lines += ["All rights reserved.", "", "   "]
         docs.append((i, "\n".join(lines)))
@@ -89,6 +110,29 @@ def test_variable_field_in_any_run(spark):
         assert L.dedup_lines(docs).where("n_dropped = 1").count() == (2 if goes else 0), at
 
 
+def test_variable_words_are_found_from_the_lines(spark):
+    """Two words that vary, in different thirds of the line, beside another template of the
+    same leaf; a leading word that varies leads to another leaf."""
+    rng = random.Random(5)
+    made = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = [(i, f"we thank our reader {made()} for the kind letter on {made()} that came to the desk") for i in range(40)]
+    rows += [(i, f"we thank our donors of {made()} for the large gift to {made()} that went to the school") for i in range(40, 60)]
+    rows += [(i, f"{made()} is the reader whose kind letter of the week came to the desk today") for i in range(60, 100)]
+    got = {r.doc_id: r.n_dropped for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: int(i < 60) for i in range(100)}
+    assert {i for i, _ in naive(rows)} == set(range(60))
+
+
+def test_order_of_rows_does_not_matter(spark):
+    rows = corpus()
+    told = []
+    for seed in (0, 1):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + 6 * seed)
+        told.append(sorted(map(str, L.dedup_lines(docs).select("doc_id", "text", "n_dropped").collect())))
+    assert told[0] == told[1]
+
+
 def test_hot_node_with_many_unlike_lines(spark):
     """Leading fields alike, everything else not: no line is compared with another."""
     rng = random.Random(3)
