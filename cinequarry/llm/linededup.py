@@ -142,7 +142,7 @@ def _token_keys(texts_and_lines: DataFrame) -> DataFrame:
 
 
 def templates_of(docs: DataFrame, shapes: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(shape, template: long, fixed: int) of the shapes (see ``shapes_of``) that share their
+    """(shape, template: long, fixed: int, variable: int) of the shapes (see ``shapes_of``) that share their
     leaf with others.
 
     Every token of a shape has a support: documents of the leaf's lines that hold it at its
@@ -161,9 +161,9 @@ def templates_of(docs: DataFrame, shapes: DataFrame, id_col: str = "doc_id", tex
     tokens = keys.select("shape", "docs", "n", F.explode("keys").alias("key"))
     supported = tokens.join(tokens.groupBy("key").agg(F.sum("docs").alias("support")), "key")
     lines = supported.groupBy("shape").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("support", "key")), asc=False).alias("told"))
-    lines = lines.withColumn("least", F.col("told")[F.ceil(F.lit(similarity) * F.col("n")).cast("int") - 1]["support"])
+    lines = lines.withColumn("size", F.size("told")).withColumn("least", F.col("told")[F.ceil(F.lit(similarity) * F.col("n")).cast("int") - 1]["support"])
     lines = lines.withColumn("told", F.sort_array(F.transform(F.filter("told", lambda x: x["support"] >= F.col("least")), lambda x: x["key"])))
-    return lines.select("shape", F.xxhash64("told").alias("template"), F.size("told").alias("fixed"))
+    return lines.select("shape", F.xxhash64("told").alias("template"), F.size("told").alias("fixed"), (F.col("size") - F.size("told")).alias("variable"))
 
 
 def shapes_of(places: DataFrame) -> DataFrame:
@@ -175,12 +175,13 @@ def shapes_of(places: DataFrame) -> DataFrame:
 
 def recurring(places: DataFrame, shapes: DataFrame, templates: DataFrame, evidence: int = EVIDENCE) -> DataFrame:
     """(shape, least_id): shapes that recur across documents, by themselves or by their
-    template. The documents have two ids at least."""
+    template. The documents have two ids at least. A template's wordings have to be more than
+    its words that vary: a pair of texts in which some words differ tells an edit, no field."""
     recurs = (F.col("least_id") < F.col("most_id")) & (F.col("fixed") * (F.col("docs") - 1) >= evidence)
     several = templates.join(shapes.select("shape", "docs", "least_id", "most_id"), "shape").groupBy("template")
-    several = several.agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("docs"), F.max("fixed").alias("fixed"), F.min("least_id").alias("least_id"), F.max("most_id").alias("most_id"))
+    several = several.agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("docs"), F.max("fixed").alias("fixed"), F.max("variable").alias("variable"), F.min("least_id").alias("least_id"), F.max("most_id").alias("most_id"))
     # A document may hold several shapes of a template: counted out only where the sum could do.
-    likely = templates.join(several.where((F.col("n") > 1) & recurs).select("template", "least_id", "most_id"), "template")
+    likely = templates.join(several.where((F.col("n") > 1) & (F.col("n") > F.col("variable")) & recurs).select("template", "least_id", "most_id"), "template")
     exact = places.select("shape", "id", "row").join(likely, "shape").groupBy("template").agg(F.count_distinct("id", "row").alias("docs"), F.max("fixed").alias("fixed"), F.min("least_id").alias("least_id"), F.max("most_id").alias("most_id"))
     of_template = templates.join(exact.where(recurs).select("template", "least_id"), "template").select("shape", "least_id")
     return shapes.where(recurs).select("shape", "least_id").union(of_template).groupBy("shape").agg(F.min("least_id").alias("least_id"))
@@ -207,7 +208,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     them stay are variable as well: see ``templates_of``. A line goes if its template, or the
     line as it is but for fields with digits, recurs: if its fixed tokens, times the documents
     that it is in besides one, are ``evidence`` or more; of a template's documents, rows that
-    repeat id and text are one. Lines with too few fixed tokens, such as rows of numbers, recur
+    repeat id and text are one, and it has more wordings than words that vary. Lines with too few fixed tokens, such as rows of numbers, recur
     only if they are equal.
 
     A recurring template's lines go from all documents; with ``keep_first`` the document
