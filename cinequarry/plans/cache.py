@@ -188,3 +188,19 @@ def q94_moment_store(spark: SparkSession, sf: str) -> DataFrame:
     last = f.agg(F.max("label").cast("long").alias("label"))
     cells = {"mean_a": F.col("mean")[0], "mean_b": F.col("mean")[1], "c_aa": F.col("cov")[0], "c_ab": F.col("cov")[1], "c_bb": F.col("cov")[3]}
     return last.join(F.broadcast(g)).select("label", "n", *[F.round(c, 6).alias(x) for x, c in cells.items()])  # one row each
+
+
+@query(f"""WITH {X.CLIP_SRC}, {BUCKETS}, held AS (SELECT item_id, bucket, embedding::DOUBLE[] AS v FROM bucketed JOIN embeddings ON vec_id = item_id),
+  ends AS (SELECT bucket, min(item_id) AS a, max(item_id) AS b FROM held GROUP BY bucket)
+  SELECT item_id, bucket, len(v)::BIGINT AS latent_len, round(list_sum(v), 6) AS latent_sum FROM held JOIN ends USING (bucket) WHERE item_id IN (a, b)""")
+def q95_point_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The first and the last item of every bucket, looked up by zones and Bloom filters in a
+    written cache of all items."""
+    items = C.assign_buckets(X.clip_src(spark, sf).drop("text")).select("item_id", F.col("bucket").alias("bucket_id"))
+    latents = X.feat(spark, sf).select(F.col("vec_id").alias("item_id"), F.col("v").alias("latent"))
+    path = new_path(spark, "zoned-cache")
+    cache.write_cache(path, items, latents, C.captions_by_clip(X.caption_fields(spark, sf)))
+    cache.write_zones(spark, path)
+    ends = spark.read.parquet(f"{path}/latents").groupBy("bucket_id").agg(F.min("item_id").alias("a"), F.max("item_id").alias("b"))  # a row for each bucket
+    df = cache.look_up(spark, path, sorted({i for r in ends.collect() for i in (r.a, r.b)}))
+    return df.select("item_id", F.col("bucket_id").alias("bucket"), F.size("latent").cast("long").alias("latent_len"), F.round(F.aggregate("latent", F.lit(0.0), lambda s, x: s + x), 6).alias("latent_sum"))

@@ -21,6 +21,27 @@ def test_cache_round_trip(spark, tmp_path):
         cache.write_cache(f"{tmp_path}/c", items, latents, captions)
 
 
+def test_point_lookup_reads_one_file(spark, tmp_path):
+    path = f"{tmp_path}/c"
+    items = spark.range(0, 6000, 3).select(F.col("id").alias("item_id"), (F.xxhash64("id") % 2).cast("int").alias("bucket_id"))
+    latents = items.select("item_id", F.array(F.col("item_id") * 1.5).alias("latent"))
+    captions = spark.createDataFrame([], "stem long, texts array<string>")
+    cache.write_cache(path, items, latents, captions)
+    spark.read.parquet(f"{path}/latents").repartition(8, "item_id").write.partitionBy("bucket_id").parquet(f"{tmp_path}/d/latents")
+    cache.write_zones(spark, f"{tmp_path}/d")
+    held = spark.read.parquet(f"{tmp_path}/d/latents")
+    files = {r.item_id: r.file for r in held.select("item_id", F.col("_metadata.file_path").alias("file")).collect()}
+    assert len(set(files.values())) > 10
+    keys = list(range(0, 6000, 60))
+    told = [(r.item_id, r.file) for r in cache.files_of(spark, f"{tmp_path}/d", keys + [1, 2, 7001]).collect()]
+    assert {(k, files[k]) for k in keys} <= set(told) and len(told) <= 1.2 * len(keys)
+    found = cache.look_up(spark, f"{tmp_path}/d", [300])
+    assert [r.latent for r in found.collect()] == [[450.0]] and len(found.inputFiles()) <= 2
+    for absent in ([301], [300, 9000]):
+        with pytest.raises(LookupError, match=str(absent[-1])):
+            cache.look_up(spark, f"{tmp_path}/d", absent)
+
+
 def test_low_rank_distance(spark):
     rng = np.random.default_rng(0)
     real, video = rng.normal(size=(500, 16)), rng.normal(0.3, 1.4, size=(12, 16))
