@@ -369,3 +369,34 @@ def video_distances(frames: DataFrame, other: DataFrame, by: str, vector: str =
         return pd.DataFrame([[rows[by].iloc[0], len(x), frechet_low_rank(mean, cov, x) if len(mean) else None]], columns=[by, "n", "distance"])
 
     return frames.select(by, vector).groupBy(by).applyInPandas(run, f"{by} {kind}, n bigint, distance double")
+
+
+def balance(rows: DataFrame, vector_col: str, rounds: int = 8, tolerance: float = 0.0) -> DataFrame:
+    """``rows`` with ``vector_col`` as positive matrix rows whose sums are brought to 1 and
+    whose columns' sums to rows / columns, in turn, ``rounds`` times or until the columns'
+    sums after a scaling of rows are within ``tolerance`` of that share. Entries are exponents.
+
+    A row's own scale follows from the columns' scales, so a round is one sum by column and
+    only as many numbers as there are columns reach the driver. Rows with a null vector or
+    one of another length than most don't take part."""
+    usable = rows.where(F.col(vector_col).isNotNull() & ~F.exists(vector_col, lambda x: x.isNull() | F.isnan(x)))
+    shape = usable.groupBy(F.size(vector_col).alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
+    if shape is None or not shape.d:
+        return usable
+    entries = usable.where(F.size(vector_col) == shape.d).withColumn(vector_col, F.transform(vector_col, F.exp))
+    scales = [1.0] * shape.d
+
+    def scaled(of: list[float]) -> DataFrame:
+        """Rows that sum to 1 once columns have these scales."""
+        by = F.zip_with(vector_col, F.array(*map(F.lit, of)), lambda x, c: x * c)
+        return entries.withColumn(vector_col, by).withColumn(vector_col, F.transform(vector_col, lambda x: x / F.aggregate(vector_col, F.lit(0.0), lambda s, y: s + y)))
+
+    share = shape.n / shape.d
+    for _ in range(rounds):
+        sums = {r.j: r.s for r in scaled(scales).select(F.posexplode(vector_col).alias("j", "x")).groupBy("j").agg(F.sum("x").alias("s")).collect()}
+        last, scales = scales, [c * share / sums[j] for j, c in enumerate(scales)]
+        if max(abs(s / share - 1) for s in sums.values()) <= tolerance:
+            break
+    # The last scaling is that of columns, after that of rows by the scales before it.
+    by = F.array(*[F.lit(c / b) for c, b in zip(scales, last, strict=True)])
+    return scaled(last).withColumn(vector_col, F.zip_with(vector_col, by, lambda x, c: x * c))

@@ -82,3 +82,20 @@ def q74_pooled_eval(spark: SparkSession, sf: str) -> DataFrame:
     f = X.feat(spark, sf)
     real = V.gaussian(f.select("v", F.lit(0).alias("pool")), ["pool"])
     return V.frechet_to(V.gaussian(hash_sample(f, "vec_id", 200, seed=7).select("v", F.lit(0).alias("pool")), ["pool"]), real).select("n", F.round("distance", 6).alias("distance"))
+
+
+def _balanced_sql(rounds: int) -> str:
+    """Rows, then columns, in turn."""
+    steps = [f"e0 AS (SELECT vec_id, j, exp(v[j]) AS x FROM feat, range(1, (SELECT max(len(v)) FROM feat) + 1) t(j)), s AS (SELECT count(DISTINCT vec_id) / count(DISTINCT j)::DOUBLE AS share FROM e0)"]
+    for i in range(rounds):
+        steps.append(f"r{i} AS (SELECT vec_id, j, x / sum(x) OVER (PARTITION BY vec_id) AS x FROM e{i})")
+        steps.append(f"e{i + 1} AS (SELECT vec_id, j, x * share / sum(x) OVER (PARTITION BY j) AS x FROM r{i}, s)")
+    return ", ".join(steps)
+
+
+@query(f"WITH {X.FEAT}, {_balanced_sql(8)} SELECT vec_id, round(sum(x), 6) AS row_sum, round(max(x), 6) AS greatest, round(min(x), 6) AS least FROM e8 GROUP BY vec_id")
+def q96_balanced_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """The embeddings as a matrix of exponents, rows and columns scaled in turn eight times."""
+    df = V.balance(X.feat(spark, sf).select("vec_id", "v"), "v")
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return df.select("vec_id", F.round(total, 6).alias("row_sum"), F.round(F.array_max("v"), 6).alias("greatest"), F.round(F.array_min("v"), 6).alias("least"))

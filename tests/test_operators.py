@@ -125,3 +125,19 @@ def test_config(tmp_path):
     for bad in ("a", "=1", "a..b=1", "d.x=1"):
         with pytest.raises(ValueError):
             config.override({"d": "x"}, bad)
+
+
+def test_balanced_matrix(spark):
+    x = np.random.default_rng(3).normal(size=(40, 5))
+    rows = [(i, r.tolist(), "x") for i, r in enumerate(x)] + [(90, None, "x"), (91, [1.0], "x"), (92, [float("nan")] * 5, "x")]
+    df = spark.createDataFrame(rows, "i long, v array<double>, last string").repartition(3)
+    for rounds in (1, 3):
+        want = np.exp(x)
+        for _ in range(rounds):
+            want = want / want.sum(axis=1, keepdims=True)
+            want = want * 8 / want.sum(axis=0)
+        got = {r.i: r.v for r in similarity.balance(df, "v", rounds).collect()}
+        assert sorted(got) == list(range(40)) and np.allclose([got[i] for i in range(40)], want)
+    done = np.array([r.v for r in similarity.balance(df, "v", 100, 1e-9).collect()])
+    assert np.allclose(done.sum(axis=0), 8) and np.allclose(done.sum(axis=1), 1)
+    assert similarity.balance(df.where("i < 0"), "v").count() == 0
