@@ -162,21 +162,29 @@ def with_offsets(bins: DataFrame, text_len: int = 0) -> DataFrame:
     return bins.withColumn("x_off", x).withColumn("joint_off", x + (F.row_number().over(Window.partitionBy("bin").orderBy("slot")) - 1) * text_len)
 
 
-def bin_tokens(bins: DataFrame, joint_len: int, text_len: int) -> DataFrame:
-    """(bin, pos, segment, source, is_text) for every position of every bin: a slot's noised
-    tokens, its text, and in the end the padding as a segment of its own. ``source`` is the
-    place among the bin's noised tokens or texts; null for padding."""
-    placed = with_offsets(bins, text_len)
-    seq, text = F.col("seq_len"), F.lit(text_len)
-    each = placed.select("bin", "slot", "x_off", "joint_off", "seq_len", F.explode(F.sequence(F.lit(0).cast("long"), seq + text - 1)).alias("i"))
-    own = each.select(
-        "bin", (F.col("joint_off") + F.col("i")).alias("pos"), F.col("slot").alias("segment"),
-        F.when(F.col("i") < seq, F.col("x_off") + F.col("i")).otherwise(F.col("slot") * text_len + F.col("i") - seq).alias("source"), (F.col("i") >= seq).alias("is_text"),
+def bin_runs(bins: DataFrame, joint_len: int, text_len: int) -> DataFrame:
+    """(bin, pos, n, segment, source, is_text): the runs of positions of every bin, ``n`` from
+    ``pos`` on: a slot's noised tokens, its text, and in the end the padding as a segment of its
+    own. ``source`` is the first position's place among the bin's noised tokens or texts and
+    goes up with it; null for padding. Runs of no positions are left out."""
+    whole = Window.partitionBy("bin")
+    placed = with_offsets(bins, text_len).withColumn("used", F.max(F.col("joint_off") + F.col("seq_len") + text_len).over(whole)).withColumn("last", F.max("slot").over(whole))
+    size, slot, used = F.col("seq_len"), F.col("slot"), F.col("used")
+    seq, text = F.when(size > 0, size).otherwise(0), F.when(size >= 0, text_len).otherwise(size + text_len)
+    run = lambda pos, n, segment, source, is_text: F.struct(
+        pos.cast("long").alias("pos"), n.cast("long").alias("n"), segment.cast("long").alias("segment"), source.cast("long").alias("source"), F.lit(is_text).alias("is_text")
+    )
+    runs = F.array(
+        run(F.col("joint_off"), seq, slot, F.col("x_off"), False), run(F.col("joint_off") + seq, text, slot, slot * text_len + seq - size, True),
+        run(used, F.when(slot == F.col("last"), joint_len - used), slot + 1, F.lit(None), False),
     )
-    ends = placed.groupBy("bin").agg(F.max(F.col("joint_off") + seq + text).alias("used"), (F.max("slot") + 1).alias("segment"))
-    rest = F.when(F.col("used") < joint_len, F.sequence(F.col("used"), F.lit(joint_len - 1).cast("long")))
-    pad = ends.select("bin", F.explode(rest).alias("pos"), "segment", F.lit(None).cast("long").alias("source"), F.lit(False).alias("is_text"))
-    return own.unionByName(pad)
+    return placed.select("bin", F.explode(runs).alias("r")).select("bin", "r.*").where("n > 0")
+
+
+def bin_tokens(bins: DataFrame, joint_len: int, text_len: int) -> DataFrame:
+    """(bin, pos, segment, source, is_text) for every position of the runs of every bin."""
+    each = bin_runs(bins, joint_len, text_len).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return each.select("bin", (F.col("pos") + F.col("i")).alias("pos"), "segment", (F.col("source") + F.col("i")).alias("source"), "is_text")
 
 
 def patch_place(i, depth: int, height: int, width: int, p: int):
