@@ -15,6 +15,8 @@ NEAREST = """CASE WHEN abs(ln(w / h / (512/384))) <= abs(ln(w / h / (512/288)))
   WHEN abs(ln(w / h / (512/288))) <= abs(ln(w / h / (288/512))) THEN '512x288' ELSE '288x512' END"""
 THRESHOLD = "CASE WHEN w / h < 1.0 THEN '288x512' WHEN w / h > 1.55 THEN '512x288' ELSE '512x384' END"
 NORMAL = r"trim(regexp_replace(replace(translate(lower(text), 'ςſ', 'σs'), 'ß', 'ss'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+#: Clips whose windows are told apart in one task.
+PART_CLIPS = 1 << 15
 BUCKETS = f"""sized AS (SELECT *, {NEAREST} AS size FROM clip_src),
   numbered AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY duration, item_id) - 1 AS rn FROM sized),
   bucketed AS (SELECT *, CASE WHEN size = '288x512' OR rn % 2 = 0 THEN 10.0::DOUBLE ELSE 20.0::DOUBLE END AS clip_seconds,
@@ -73,9 +75,14 @@ def q07_overlapping_windows(spark: SparkSession, sf: str) -> DataFrame:
     max(round_even((start + i / 8.0::DOUBLE) * 29.97::DOUBLE, 0)::BIGINT) AS last_frame FROM slots GROUP BY item_id, start"""
 )
 def q08_frame_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    slots = C.windows_of(X.clip_src(spark, sf), 5.0).select("item_id", "start", F.explode(F.sequence(F.lit(0), S.frame_count(F.lit(5.0), 8.0) - 1)).alias("i"))
-    frame = S.source_frame(F.col("i"), F.col("start"), 8.0, 29.97)
-    return slots.groupBy("item_id", "start").agg(F.count_distinct(frame).alias("frames"), F.min(frame).alias("first_frame"), F.max(frame).alias("last_frame"))
+    """Frames follow from a window's start, so windows stay rows with an array of their own;
+    clips are dealt to as many tasks as the table's rows ask for."""
+    clips = X.clip_src(spark, sf).select("item_id", "duration")
+    clips = clips.repartition(-(-clips.count() // PART_CLIPS) or 1, "item_id")
+    slots = F.sequence(F.lit(0), S.frame_count(F.lit(5.0), 8.0) - 1)
+    frames = F.transform(slots, lambda i: S.source_frame(i, F.col("start"), 8.0, 29.97))
+    windows = C.windows_of(clips, 5.0).select("item_id", "start").distinct().withColumn("frames", frames)
+    return windows.select("item_id", "start", F.size(F.array_distinct("frames")).cast("long").alias("frames"), F.array_min("frames").alias("first_frame"), F.array_max("frames").alias("last_frame"))
 
 
 @query(f"WITH {X.CLIP_SRC} SELECT item_id, duration, quality::BIGINT AS quality FROM clip_src JOIN labels ON item_id = doc_id WHERE duration >= 10 AND w > 0 AND h > 0 AND trim(text) <> ''")

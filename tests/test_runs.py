@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from cinequarry.operators import packing
+from cinequarry.plans import curation
 from cinequarry.plans import packing as plans
 from conftest import SF
 
@@ -32,3 +33,19 @@ def test_runs_are_few(spark, monkeypatch):
     assert packing.bin_runs(bins, 600, 4).count() <= 3 * lines
     assert "Generate explode(sequence" not in plans.q41_segment_expand(spark, SF)._jdf.queryExecution().toString()
     assert plans.q41_segment_expand(spark, SF).agg(F.min("positions")).first()[0] == 600
+
+
+def test_schedule_by_windows(spark, tmp_path, monkeypatch):
+    """Windows aren't multiplied by their slots, and repeated clips are one."""
+    monkeypatch.setattr(curation, "PART_CLIPS", 2)
+    rows = [(1, 700), (1, 1600), (2, 1600), (3, 10), (4, None), (5, 520), (None, 600)]
+    docs = spark.createDataFrame([(i, "t", "en", "s", n) for i, n in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    df = curation.q08_frame_schedule(spark, str(tmp_path))
+    want = set()
+    for i, n in rows:
+        for start in [5.0 * k for k in range(6) if n is not None and 5.0 * k + 5 <= n / 100 - 0.2]:
+            frames = {round((start + s / 8) * 29.97) for s in range(41)}
+            want.add((i, start, len(frames), min(frames), max(frames)))
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
