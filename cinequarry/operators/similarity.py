@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import new_path
 
-#: Rows of either side that meet in one task.
-BLOCK = 4096
+#: Rows of either side that meet as a matrix, and blocks of either side that one task holds.
+BLOCK, BLOCKS = 4096, 8
 #: Anchors of a cell on average; cells, and bytes of their centres, at most.
 CELL, MOST_CELLS, CENTRE_BYTES = 1024, 4096, 32 << 20
 #: Groups that a round of choices looks at, rows of each it takes along, and choices at most.
@@ -29,7 +29,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def _vectors(rows: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
-    return np.array(rows.column(column).to_pylist(), np.float64).reshape(rows.num_rows, -1)
+    lists = rows.column(column)
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
 
 
 class Cells:
@@ -86,29 +88,56 @@ def _cells_of(anchors: DataFrame, m: int, cell: int) -> tuple[DataFrame, Cells]:
 
 
 def _met(asks: DataFrame, placed: DataFrame, sizes: np.ndarray, block: int) -> DataFrame:
-    """(id, m: struct of similarity and -anchor, seen): the best anchor among the cells asked.
+    """(id, m: struct of similarity and -anchor, more): the best anchor among the cells asked.
 
-    A cell's askers and anchors meet block by block as matrices, each side copied for the
-    other's blocks; a block gives one row for each asker."""
+    Cells make bundles of BLOCKS blocks of anchors, so an asker is copied once for each bundle
+    that it asks and not for each cell. A bundle's askers and anchors are dealt to parts of as
+    many blocks, each side copied for the other's parts. Within a part a cell's anchors meet
+    its own askers block by block as matrices; a part gives one row for each asker."""
     spark = asks.sparkSession
-    each = asks.select("id", "v", F.explode("cells").alias("cell"))
-    askers = {r.cell: r.n for r in each.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = spark.createDataFrame([(c, -(-n // block), -(-int(sizes[c]) // block)) for c, n in askers.items()], "cell int, left_blocks int, right_blocks int")
+    part = BLOCKS * block
+    bundle_of = (np.cumsum(sizes) - sizes) // part
+    held = np.bincount(bundle_of, weights=sizes)
+    bundles = F.broadcast(spark.createDataFrame([([int(x) for x in bundle_of],)], "bundles array<int>"))  # one row
+    of = lambda c: F.get("bundles", c)
+    each = asks.select("id", "v", "cells").join(bundles).withColumn("bundle", F.explode(F.array_distinct(F.transform("cells", of))))
+    each = each.select("id", "v", "bundle", F.filter("cells", lambda c: of(c) == F.col("bundle")).alias("cells"))
+    askers = {r.bundle: r.n for r in each.groupBy("bundle").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = spark.createDataFrame([(b, -(-n // part), max(1, int(held[b]) // part)) for b, n in askers.items()], "bundle int, left_parts int, right_parts int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    left = each.join(F.broadcast(blocks), "cell").select("cell", "id", "v", own("id", "left_blocks").alias("a"), every("right_blocks").alias("b"))
-    right = placed.join(F.broadcast(blocks), "cell").select("cell", "anchor", "w", own("anchor", "right_blocks").alias("b"), every("left_blocks").alias("a"))
+    asked = asks.select(F.explode("cells").alias("cell")).distinct()
+    left = each.join(F.broadcast(parts), "bundle").select("bundle", "id", "v", "cells", own("id", "left_parts").alias("a"), every("right_parts").alias("b"))
+    right = placed.join(F.broadcast(asked), "cell", "left_semi").join(bundles).withColumn("bundle", of(F.col("cell"))).join(F.broadcast(parts), "bundle")
+    right = right.select("bundle", "cell", "anchor", "w", own("anchor", "right_parts").alias("b"), every("left_parts").alias("a"))
 
     def run(l: pa.Table, r: pa.Table) -> pa.Table:
-        out: list = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if l.num_rows and r.num_rows:
-            r = r.sort_by("anchor")
-            s = _vectors(l, "v") @ _vectors(r, "w").T
-            at = s.argmax(axis=1)
-            out = [l["id"].to_numpy(), r["anchor"].to_numpy()[at], s[np.arange(len(at)), at]]
-        return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array([r.num_rows] * len(out[0]), pa.int64())], names=["id", "anchor", "similarity", "seen"])
-
-    pairs = left.groupBy("cell", "a", "b").cogroup(right.groupBy("cell", "a", "b")).applyInArrow(run, "id bigint, anchor bigint, similarity double, seen bigint")
+        n = l.num_rows
+        best, at, seen = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if n and r.num_rows:
+            r = r.sort_by([("cell", "ascending"), ("anchor", "ascending")])
+            x, y, anchor, cell = _vectors(l, "v"), _vectors(r, "w"), r["anchor"].to_numpy(), r["cell"].to_numpy()
+            lists = l["cells"].to_pylist()
+            row, want = np.repeat(np.arange(n), [len(c) for c in lists]), np.concatenate(lists)
+            order = np.argsort(want, kind="stable")
+            row, want = row[order], want[order]
+            for c in np.unique(cell):
+                own_rows = row[slice(*np.searchsorted(want, [c, c + 1]))]
+                first, last = np.searchsorted(cell, [c, c + 1])
+                for i in range(0, len(own_rows), block):
+                    some = own_rows[i : i + block]
+                    for j in range(first, last, block):
+                        s = x[some] @ y[j : min(j + block, last)].T
+                        k = s.argmax(axis=1)
+                        s, k = s[np.arange(len(k)), k], anchor[j + k]
+                        same = (s == best[some]) | (np.isnan(s) & np.isnan(best[some]))
+                        good = (seen[some] == 0) | (s > best[some]) | (np.isnan(s) & ~np.isnan(best[some])) | (same & (k < at[some]))
+                        best[some[good]], at[some[good]] = s[good], k[good]
+                        seen[some] += min(j + block, last) - j
+        got = seen > 0
+        return pa.table({"id": pa.array(l["id"].to_numpy()[got], pa.int64()), "anchor": pa.array(at[got]), "similarity": pa.array(best[got]), "seen": pa.array(seen[got])})
+
+    pairs = left.groupBy("bundle", "a", "b").cogroup(right.groupBy("bundle", "a", "b")).applyInArrow(run, "id bigint, anchor bigint, similarity double, seen bigint")
     return pairs.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("anchor")).alias("minus"))).alias("m"), F.sum("seen").alias("more"))
 
 
