@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import WORD_SEPARATOR, materialize
+from .common import WORD_SEPARATOR, discard, materialize
 
 #: Leading tokens that, after the token count, lead to a node of the tree.
 DEPTH = 4
@@ -174,9 +174,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     _row, _gone and _kept dropped."""
     docs = docs.drop(*{"_id", "_row", "_gone", "_kept"} - {id_col, text_col})
     places = materialize(places_of(docs, id_col, text_col, similarity=similarity), "line-places")
-    met = places.select("id", "row", "line", "node").join(materialize(recurring(places, evidence), "recurring-templates"), "node")
+    met = places.select("id", "row", "line", "node").join(templates := materialize(recurring(places, evidence), "recurring-templates"), "node")
     met = met.where(F.col("id") != F.col("least_id")) if keep_first else met
-    gone = met.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("line").alias("_gone"))
+    gone = materialize(met.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("line").alias("_gone")), "recurring-lines")
+    discard(places, templates)
     df = docs.join(gone, (docs[id_col] == gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_row"]), "left").drop("_id", "_row")
     cut = F.col("_gone").isNotNull() & F.col(text_col).isNotNull()
     n_words = lambda t: F.size(F.array_remove(F.split(F.coalesce(t, F.lit("")), WORD_SEPARATOR), "")).cast("long")
