@@ -74,3 +74,21 @@ def test_parities_lose_no_alike_pair():
                 n_alike, n_folded = n_alike + 1, n_folded + (len(odd[i]) != len(odd[j]))
                 assert 9 * differ <= len(sets[i]) + len(sets[j])
     assert n_alike > 50 and n_folded
+
+
+def test_few_sets_are_wanted(spark, monkeypatch):
+    """Among a million sets in pairs, few others are taken for wanted ones; no pair is lost."""
+    few, kept = [], resemblance.materialize
+
+    def told(df, name):
+        out = kept(df, name)
+        if name == "wanted-sets":
+            few.append(out.count())
+        return out
+
+    monkeypatch.setattr(resemblance, "materialize", told)
+    one = resemblance.packed(resemblance.shingle_set("a b c d e f g"))
+    sets = spark.range(2 * 10**6).select(F.xxhash64("id").alias("fp"), F.lit(one).alias("items"))
+    pairs = spark.range(0, 10**6, 2).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b"))
+    assert resemblance._counted(pairs, sets, True).count() == 500_000
+    assert 10**6 <= few[0] < 1.1 * 10**6
