@@ -110,10 +110,14 @@ def shard_links(fps: list[int], radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def _masks(bits: list[int], blocks: int, agree: int) -> list[int]:
-    """Masks of every choice of ``agree`` out of ``blocks`` runs of ``bits``."""
-    runs = [sum(1 << b for b in bits[len(bits) * i // blocks : len(bits) * (i + 1) // blocks]) for i in range(blocks)]
-    return [sum(x) for x in combinations(runs, agree)]
+def _runs(bits: list[int], blocks: int) -> list[int]:
+    """Masks of ``blocks`` runs of ``bits``."""
+    return [sum(1 << b for b in bits[len(bits) * i // blocks : len(bits) * (i + 1) // blocks]) for i in range(blocks)]
+
+
+def _rest(mask: int, radius: int) -> list[int]:
+    """Masks of radius + 1 runs of the bits that ``mask`` leaves: within ``radius`` bits, one is equal."""
+    return _runs([b for b in range(64) if not mask >> b & 1], radius + 1)
 
 
 def _signed(x: int) -> int:
@@ -124,55 +128,85 @@ def _longs(masks: list[int]) -> Column:
     return F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
 
 
+def _equal(fps: np.ndarray, mask: int) -> Iterator[np.ndarray]:
+    """The groups of two or more of ``fps`` that are equal in ``mask``."""
+    keys = fps & np.int64(_signed(mask))
+    order = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.diff(keys[order], prepend=keys[order[:1]] ^ 1))
+    ends = np.append(starts[1:], len(fps))
+    for i in np.flatnonzero(ends - starts > 1).tolist():
+        yield fps[order[starts[i] : ends[i]]]
+
+
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS, target: int = SHARD_TARGET, limit: int = SHARD_LIMIT) -> DataFrame:
     """(a, b): links that connect all distinct ``fp`` within ``radius`` bits.
 
-    Of m blocks at least m - radius are equal in two such fingerprints, so they
-    meet in the shard of some choice of m - radius blocks; m grows with the number
-    of fingerprints so that shards stay small. A shard above ``limit`` is dealt out
-    again by radius + 1 runs of its other bits, of which one must be equal too."""
+    Of m blocks at least m - radius are equal in two such fingerprints; m grows with the
+    number of fingerprints so that trees stay small. The first equal block is one of the
+    first radius + 1, and by these alone fingerprints are dealt to tasks: radius + 1 copies of
+    each, however many there are. A task searches a tree for each choice of
+    m - radius - 1 later blocks, and one of more than ``limit`` by runs of its other bits.
+    What far more share than others, ``limit`` at least, is dealt out again by radius + 1
+    runs of its other bits, of which one must be equal too."""
     total, m = fps.count(), radius + 1
     while m < 16 and total > target * 2 ** (64 * (m - radius) // m):
         m += 1
-    masks = _masks(list(range(64)), m, m - radius)
-    below = [_masks([b for b in range(64) if not x >> b & 1], radius + 1, 1) for x in masks]
-    dealt = fps.select("fp", F.posexplode(_longs(masks)).alias("way", "mask")).select("fp", "way", F.col("fp").bitwiseAND(F.col("mask")).alias("shard"))
-    hot = dealt.groupBy("way", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("way", "shard", F.lit(True).alias("hot"))
-    again = F.element_at(F.array(*[_longs([m | x for m in ms]) for x, ms in zip(masks, below, strict=True)]), F.col("way") + 1)
+    blocks = _runs(list(range(64)), m)
+    first = blocks[: radius + 1]
+    below = [_rest(x, radius) for x in first]
+    most = max(limit, 4 * total >> 64 // m)
+    # By way, and by way and run of what is dealt out again: the bits that are equal, and choices of those that have to be.
+    searched = {i: (x, [sum(c) for c in combinations(blocks[i + 1 :], m - radius - 1)]) for i, x in enumerate(first)}
+    searched |= {(i + 1) * (radius + 1) + j: (x | y, [0]) for i, x in enumerate(first) for j, y in enumerate(below[i])}
+
+    dealt = fps.select("fp", F.posexplode(_longs(first)).alias("way", "mask")).select("fp", "way", F.col("fp").bitwiseAND(F.col("mask")).alias("shard"))
+    hot = dealt.groupBy("way", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("way", "shard", F.lit(True).alias("hot"))
+    again = F.element_at(F.array(*[_longs([x | y for y in ys]) for x, ys in zip(first, below, strict=True)]), F.col("way") + 1)
     dealt = dealt.join(hot, ["way", "shard"], "left").select(
-        "fp", "way", F.posexplode(F.when(F.col("hot"), F.transform(again, lambda m: F.col("fp").bitwiseAND(m))).otherwise(F.array("shard"))).alias("part", "shard"), F.coalesce("hot", F.lit(False)).alias("hot")
+        "fp", "way", "hot", F.posexplode(F.when(F.col("hot"), F.transform(again, lambda m: F.col("fp").bitwiseAND(m))).otherwise(F.array("shard"))).alias("part", "shard")
     )
-    dealt = dealt.select(F.xxhash64("way", "hot", "part", "shard").alias("shard"), "fp")  # shards that share a key by chance are searched as one
+    dealt = dealt.select(F.when(F.col("hot"), (F.col("way") + 1) * (radius + 1) + F.col("part")).otherwise(F.col("way")).alias("way"), "shard", "fp")
+
+    def trees(way: int, fps: np.ndarray) -> Iterator[np.ndarray]:
+        same, choices = searched[way]
+        for mask in choices:
+            for group in _equal(fps, mask):
+                if len(group) > limit:
+                    for x in _rest(same | mask, radius):
+                        yield from _equal(group, x)
+                else:
+                    yield group
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def shards() -> Iterator[list[int]]:
+        def shards() -> Iterator[tuple[int, np.ndarray]]:
             last, held = None, []
             for batch in batches:
-                keys, values = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                cuts = np.flatnonzero(np.diff(keys)) + 1
+                ways, keys, values = (c.to_numpy() for c in batch.columns)
+                cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(ways) != 0)) + 1
                 for i, part in enumerate(np.split(values, cuts)):
                     if not len(part):
                         continue
-                    key = keys[cuts[i - 1] if i else 0]
-                    if key != last and held:
-                        yield held
+                    at = cuts[i - 1] if i else 0
+                    if last is not None and (ways[at], keys[at]) != last:
+                        yield int(last[0]), np.concatenate(held)
                         held = []
-                    last = key
-                    held += part.tolist()
+                    last = ways[at], keys[at]
+                    held.append(part)
             if held:
-                yield held
+                yield int(last[0]), np.concatenate(held)
 
         found: list[tuple[int, int]] = []
-        for fps in shards():
-            if len(fps) > 1:
-                found += [(fps[i], fps[j]) for i, j in shard_links(fps, radius)]
-            if len(found) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
-                found = []
+        for way, own in shards():
+            for tree in trees(way, own) if len(own) > 1 else ():
+                values = tree.tolist()
+                found += [(values[i], values[j]) for i, j in shard_links(values, radius)]
+                if len(found) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+                    found = []
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
-    return dealt.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.repartition("way", "shard").sortWithinPartitions("way", "shard", "fp").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

@@ -66,6 +66,26 @@ def test_links_of_every_shard_split(spark):
         assert [labels.get(f, f) for f in sorted(fps)] == want
 
 
+def test_copies_of_a_fingerprint_do_not_grow_with_the_table(spark, monkeypatch):
+    """With more fingerprints the blocks are more (here 5, 6 and 8), but not the rows dealt to tasks."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from cinequarry.llm.common import connected_components
+
+    dealt, plain = [], DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda df, *columns: dealt.append(df.count()) or plain(df, *columns))
+    rng = random.Random(11)
+    centres = [rng.getrandbits(64) for _ in range(100)]
+    values = {rng.choice(centres) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))) for _ in range(500)}
+    fps = [v - (1 << 64) if v >> 63 else v for v in values]
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    want = naive_components(sorted(fps), sorted(values, key=lambda v: v - (1 << 64) if v >> 63 else v))
+    for target in (64, 2**-10, 2**-20):
+        labels = dict(map(tuple, connected_components(simhash.fingerprint_links(df, 4, target, 4096), spark).collect()))
+        assert [labels.get(f, f) for f in sorted(fps)] == want
+    assert dealt == [5 * len(fps)] * 3
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
