@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -45,25 +44,48 @@ LOAD = 4
 _FOOT, _FOOT_BYTES = "<QQQ", 24
 #: Folders that the buckets of an index are dealt to; buckets that a lookup asks for one by one at most.
 INDEX_PIECES, PRUNED = 256, 256
-#: Bytes of pieces and their ids that a worker keeps, about; twice that while old ones are given up.
+#: Bytes of pieces, their ids and the table that finds them that a worker keeps, about; twice that while old ones are given up.
 CACHE_BYTES = 96 << 20
 #: Characters of a piece that is kept at most, and bytes that an entry takes besides its piece and ids.
-_LONGEST, _ENTRY = 64, 200
+_LONGEST, _ENTRY = 64, 96
 #: Texts are encoded together up to this many characters.
 _CHUNK = 1 << 23
 #: What a byte-level pre-tokenizer takes for white space; a piece begins with a space or line end that none comes before.
 _SPACE = r"[\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _CUT = r"([^\x00" + _SPACE[1:] + r")([ \n])"
-#: A space or line end, Latin letters, then what is no letter, digit or white space.
-_TAIL = re.compile(r"([ \n][A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([^\w\s]+)").fullmatch
+#: A space or line end with Latin letters, and what follows from the first ASCII sign or digit on: a pre-tokenizer cuts between them.
+_LATIN = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]"
+_PART = r"(?s)^([ \n]" + _LATIN + r"+)([!-@\[-`{-~].*)$"
+#: A space or line end, then no more white space, whether the tokenizer's or another's.
+_SIMPLE = r"^[ \n][^" + _SPACE[1:-1] + r"\x{1c}-\x{1f}]+$"
+
+#: Ids of items one after the other, and how many each has.
+Ids = tuple[np.ndarray, np.ndarray]
+
+
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    """0, then where each item ends."""
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+
+
+def _gathered(ids: Ids, which: np.ndarray) -> Ids:
+    """The ids of the items ``which``."""
+    flat, sizes = ids
+    own = sizes[which]
+    until = _ends(own)
+    kind = np.int32 if max(until[-1], len(flat)) < 1 << 31 else np.int64  # places of ids: a batch's largest arrays
+    at = np.repeat(((_ends(sizes)[:-1])[which] - until[:-1]).astype(kind), own)
+    at += np.arange(until[-1], dtype=kind)
+    return flat[at], own
 
 
 class Encoder:
     """Encodes whole texts with a tokenizer of the ``tokenizers`` library.
 
     A byte-level pre-tokenizer always cuts where white space follows something else, and
-    looks at nothing that is further back. So texts are cut there, each distinct piece is
-    encoded once and its ids are kept as long as there is room; new pieces are encoded as
+    looks at nothing that is further back; nor does it where letters end. So texts are cut
+    there, each distinct piece is encoded once and its ids are kept as long as there is room,
+    in arrays, so that a batch's pieces are looked up at once; new pieces are encoded as
     one text, whose ids part where a token begins with a space or line end. A text that
     names a special token, and any text if the tokenizer is of another kind, is encoded as
     a whole."""
@@ -81,8 +103,9 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for x, i in vocabulary.items() if x[:1] in ("\u0120", "\u010a")]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.none: Ids = np.zeros(0, f"<u{width}"), np.zeros(0, np.int64)
+        self.known, self.known_ids = pa.array([], pa.large_string()), self.none
+        self.older, self.older_ids = self.known, self.none
         self.held = 0
 
     @staticmethod
@@ -95,56 +118,50 @@ class Encoder:
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, f"<u{self.width}").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def keep(self, pieces: list[str], ids: list[bytes]) -> None:
-        self.known.update(zip(pieces, ids, strict=True))
-        self.held += sum(map(len, pieces)) + sum(map(len, ids)) + _ENTRY * len(pieces)
+    def keep(self, pieces: pa.Array, ids: Ids) -> None:
+        self.known = pa.concat_arrays([self.known, pieces])
+        self.known_ids = tuple(np.concatenate(x) for x in zip(self.known_ids, ids, strict=True))
+        self.held += (pc.sum(pc.binary_length(pieces)).as_py() or 0) + ids[0].nbytes + _ENTRY * len(pieces)
         if self.held > CACHE_BYTES:
-            self.older, self.known, self.held = self.known, {}, 0
+            self.older, self.older_ids = self.known, self.known_ids
+            self.known, self.known_ids, self.held = pieces[:0], self.none, 0
 
-    def together(self, pieces: list[str]) -> list[bytes]:
+    def each(self, pieces: list[str]) -> Ids:
+        ids = self.raw(pieces)
+        return np.frombuffer(b"".join(ids), self.none[0].dtype), np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+
+    def together(self, pieces: list[str]) -> Iterator[Ids]:
         """Ids of pieces that begin with their only space or line end."""
-        out: list[bytes] = []
         for at in range(0, len(pieces), 64):  # the tokenizer's time grows faster than a text's length
             some = pieces[at : at + 64]
-            whole = self.raw(["".join(some)])[0]
-            cuts = [*(np.flatnonzero(self.opens[np.frombuffer(whole, f"<u{self.width}")]) * self.width).tolist(), len(whole)]
-            out += [whole[i:j] for i, j in zip(cuts, cuts[1:])] if len(cuts) == len(some) + 1 else self.raw(some)
-        return out
-
-    def ids_of(self, pieces: list[str]) -> list[bytes]:
+            whole = self.each(["".join(some)])[0]
+            cuts = np.flatnonzero(self.opens[whole])
+            yield (whole, np.diff(cuts, append=len(whole))) if len(cuts) == len(some) else self.each(some)
+
+    def encoded(self, pieces: pa.Array) -> Ids:
+        """Ids of new pieces."""
+        simple = pc.match_substring_regex(pieces, _SIMPLE).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
+        texts, n = pieces.take(pa.array(order)).to_pylist(), int(simple.sum())
+        ids = [self.none, *self.together(texts[:n]), self.each(texts[n:])]
+        return _gathered(tuple(map(np.concatenate, zip(*ids, strict=True))), np.argsort(order))
+
+    def ids_of(self, pieces: pa.Array) -> Ids:
         """Ids of distinct pieces, kept or new."""
-        out = list(map(self.known.get, pieces))
-        lacking = [i for i, x in enumerate(out) if x is None]
-        if not lacking:
-            return out
-        found: dict[str, bytes] = {}
-        if self.older:
-            for i in lacking:
-                out[i] = self.older.get(pieces[i])
-            found = {pieces[i]: out[i] for i in lacking if out[i] is not None}
-            lacking = [i for i in lacking if out[i] is None]
-        known, tails, plain, odd = self.known, [], [], []
-        for i in lacking:
-            x = pieces[i]
-            if x[1:].isalpha() and x[0] in " \n":
-                plain.append(x)
-            elif m := _TAIL(x):
-                tails.append((i, *m.groups()))
-            elif x[:1] in (" ", "\n") and x.split(None, 1) == [x[1:]]:
-                plain.append(x)
-            else:
-                odd.append(x)
-        simple = list(dict.fromkeys(plain + [h for _, h, _ in tails if h not in known and h not in found]))
-        found.update(zip(simple, self.together(simple), strict=True))
-        found.update(zip(odd, self.raw(odd), strict=True))
-        ends = list({t for *_, t in tails})
-        parts = dict(zip(ends, self.raw(ends), strict=True))
-        for i, h, t in tails:
-            found[pieces[i]] = (found[h] if h in found else known[h]) + parts[t]
-        for i in lacking:
-            out[i] = found[pieces[i]]
-        short = [x for x in found if len(x) <= _LONGEST]
-        self.keep(short, [found[x] for x in short])
+        places = lambda x, among: pc.fill_null(pc.index_in(x, value_set=among), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        which = places(pieces, self.known)
+        lacking = np.flatnonzero(which < 0)
+        if not len(lacking):
+            return _gathered(self.known_ids, which)
+        rest = pieces.take(pa.array(lacking))
+        at = places(rest, self.older) + len(self.known)
+        new = at < len(self.known)
+        at[new] = len(self.known) + len(self.older) + np.arange(new.sum())
+        which[lacking] = at
+        told = self.known_ids, self.older_ids, self.encoded(rest.filter(pa.array(new)))
+        out = _gathered(tuple(map(np.concatenate, zip(*told, strict=True))), which)
+        short = np.flatnonzero(pc.less_equal(pc.utf8_length(rest), _LONGEST).to_numpy(zero_copy_only=False))
+        self.keep(rest.take(pa.array(short)), _gathered(out, lacking[short]))
         return out
 
     def together_cut(self, texts: list[str]) -> list[bytes]:
@@ -156,17 +173,12 @@ class Encoder:
             marked = pc.replace_substring(pc.replace_substring(marked, " ", "\0 "), "\n", "\0\n")
         cut = pc.split_pattern(marked, "\0")
         coded = pc.dictionary_encode(cut.flatten())
-        ids = self.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        which = coded.indices.to_numpy()
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
-        flat, starts = np.frombuffer(b"".join(ids), f"<u{self.width}"), np.cumsum(sizes) - sizes
-        own = sizes[which]
-        until = np.concatenate([np.zeros(1, np.int64), np.cumsum(own)])
-        kind = np.int32 if until[-1] < 1 << 31 else np.int64  # places of ids: a batch's largest arrays
-        at = np.repeat((starts[which] - until[:-1]).astype(kind), own)
-        at += np.arange(until[-1], dtype=kind)
-        whole = flat[at].tobytes()
-        edges = (until[cut.offsets.to_numpy()] * self.width).tolist()
+        parted = pc.split_pattern(pc.replace_substring_regex(coded.dictionary, _PART, r"\1" + "\0" + r"\2"), "\0")
+        parts = pc.dictionary_encode(parted.flatten())
+        flat, sizes = _gathered(self.ids_of(parts.dictionary), parts.indices.to_numpy())
+        flat, sizes = _gathered((flat, np.diff(_ends(sizes)[parted.offsets.to_numpy()])), coded.indices.to_numpy())
+        whole = flat.tobytes()
+        edges = (_ends(sizes)[cut.offsets.to_numpy()] * self.width).tolist()
         return [whole[i:j] for i, j in zip(edges, edges[1:])]
 
     def __call__(self, texts: list[str]) -> list[bytes]:

@@ -82,6 +82,15 @@ def test_cache_gives_up_old_pieces(monkeypatch):
         assert len(encode.known) + len(encode.older) < 400
 
 
+def test_a_word_is_kept_once_whatever_follows():
+    encode, want = tokens.Encoder(PATH, 2), whole()
+    texts = ["so " + " ".join("word" + s for s in (",", ".", ";", "-like", "'s", "2", "_x", "...", "")), "so\nword, naïve's naïve. naïve"]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() for x in encode(texts)] == [want(x) for x in texts]
+    kept = [str(x) for x in encode.known]
+    assert [sum(x.startswith(w) for x in kept) for w in (" word", "\nword", " naïve")] == [1, 1, 1]
+
+
 def test_store_keyed_access(spark):
     docs = spark.range(3000).select((F.col("id") * 1_000_003 - 500_000_000).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
     store = tokens.write_store(docs, PATH)
